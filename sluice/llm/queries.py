@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import near_dedup, packing
+from sluice.llm import line_dedup, near_dedup, packing
 from sluice.llm.common import table
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stay in each document."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked at a similarity of 0.8 of their two-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
@@ -20,8 +25,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_line_dedup": op5_line_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+                  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+        common AS (
+            SELECT key, max(doc_id) AS max_doc FROM lines WHERE length(key) >= 20
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        marked AS (
+            SELECT l.doc_id, l.pos, l.line, c.key IS NULL OR c.max_doc = l.doc_id AS stays
+            FROM lines l LEFT JOIN common c ON l.key = c.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
+}
