@@ -5,15 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import line_dedup, near_dedup, packing
+from sluice.llm import line_dedup, near_dedup, packing, quality_classifier, quality_rules
 from sluice.llm.common import table
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that stay in each document."""
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and the forest's verdict for every document."""
+    return quality_rules.rule_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked at a similarity of 0.8 of their two-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
@@ -25,7 +35,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
