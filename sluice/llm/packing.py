@@ -27,47 +27,72 @@ CAPACITY = 4096
 END_ID = 1
 #: Ranks within a length are dealt over so many salts, so that a length that many pieces share is not one task.
 SALTS = 64
-#: Words remembered by a task; the memory is emptied when full.
-REMEMBERED_WORDS = 400_000
+#: Words and runs of text remembered by a task.
+REMEMBERED_WORDS = 500_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
     """Ids of a word-level BPE file as little-endian unsigned 32-bit bytes, equal to the library's own.
 
-    The file lower-cases, splits into words and merges inside a word, so a word's ids do not depend on its
-    neighbours: each distinct word goes through the library once, and repeated words are looked up. Texts that
-    hold a special token's string, which the library matches before splitting, go through it whole.
+    The file lower-cases, splits at white space and into words, and merges inside a word, so a word's ids do not
+    depend on its neighbours. Runs without white space are looked up first, then their words; only words not met
+    yet go through the library. Texts that hold a special token's string, which the library matches before
+    splitting, or a separator that only Python counts as white space, go through it whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = regex.compile("|".join(regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
+        whole = [regex.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.whole = regex.compile("|".join([*whole, r"[\x1c-\x1f]"]))
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.known: dict[str, bytes] = {}
+        self.known_runs: dict[str, bytes] = {}
+        self.known_words: dict[str, bytes] = {}
+        self.older_runs: dict[str, bytes] = {}
 
     def _library_ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if self.special.search(text):
+        if self.whole.search(text):
             return self._library_ids(text)
-        if not text.isascii():
-            # Unlike str.lower(), the library lower-cases a final sigma without looking at its neighbours.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        words = self.words.findall(text.lower())
-        known = self.known
+        runs = text.split()
         try:
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(map(self.known_runs.__getitem__, runs))
         except KeyError:
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-            fresh = [w for w in dict.fromkeys(words) if w not in known]
-            for word, got in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, dtype="<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
+            self._learn_runs(runs)
+            return b"".join(map(self.known_runs.__getitem__, runs))
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        if len(self.known_runs) > REMEMBERED_WORDS:  # what is met again comes back from the older half
+            self.older_runs, self.known_runs = self.known_runs, {}
+        known, older = self.known_runs, self.older_runs
+        fresh = [run for run in dict.fromkeys(runs) if run not in known]
+        known.update((run, older[run]) for run in fresh if run in older)
+        split = {run: self.words.findall(self._normal(run)) for run in fresh if run not in older}
+        if len(self.known_words) > REMEMBERED_WORDS:
+            self.known_words.clear()
+        self._learn_words(list(dict.fromkeys(w for words in split.values() for w in words if w not in self.known_words)))
+        for run, words in split.items():
+            known[run] = b"".join(map(self.known_words.__getitem__, words))
+
+    @staticmethod
+    def _normal(run: str) -> str:
+        # Unlike str.lower(), the library lower-cases a final sigma without looking at its neighbours.
+        return run.lower() if run.isascii() else unicodedata.normalize("NFC", run).replace("\u03a3", "\u03c3").lower()
+
+    def _learn_words(self, words: list[str]) -> None:
+        if not words:
+            return
+        got = self.library.encode(" ".join(words), add_special_tokens=False)
+        starts = np.flatnonzero(np.diff(np.array([-1, *(-1 if x is None else x for x in got.word_ids)], dtype=np.int64)))
+        if len(starts) != len(words):  # a word that the library splits otherwise
+            self.known_words.update((w, self._library_ids(w)) for w in words)
+            return
+        ids, ends = np.array(got.ids, dtype="<u4").tobytes(), [*starts[1:].tolist(), len(got.ids)]
+        self.known_words.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(words, starts.tolist(), ends, strict=True))
 
 
 @functools.lru_cache(maxsize=2)
