@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import line_dedup, near_dedup, packing, quality_classifier, quality_rules
+from sluice.llm import fingerprints, line_dedup, near_dedup, packing, piece_codec, quality_classifier, quality_rules
 from sluice.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return piece_codec.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that stay in each document."""
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
@@ -29,6 +34,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document, of its edited text, and their likeness to it and the next one's."""
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -36,9 +46,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op4_sentencepiece_codec": op4_sentencepiece_codec,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
