@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import fingerprints, line_dedup, near_dedup, packing, piece_codec, quality_classifier, quality_rules
+from sluice.llm import fingerprints, license_scan, line_dedup, near_dedup, packing, piece_codec, quality_classifier, quality_rules
 from sluice.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence places and labels of every document."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return piece_codec.encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -46,6 +51,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_license_scan": op3_license_scan,
     "op4_sentencepiece_codec": op4_sentencepiece_codec,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
@@ -55,6 +61,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_license_scan": license_scan.oracle(),
     "op5_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
