@@ -7,19 +7,17 @@ threshold are left there; all others are confirmed on the full sets.
 
 Texts with equal sets form one class, and only the class's smallest document goes on. Within a bucket of a band,
 documents are first compared with the bucket's smallest one only. Once the confirmed links are joined to
-components, the buckets that still hold several components are compared across components, in bounded blocks, until
-no untested pair is left: no candidate link between components is lost, and a bucket of copies is never expanded
-into all its pairs.
+components, every bucket that still holds several components is compared across them, in blocks of bounded size.
+A block joins components as it finds links, so it gives back fewer links than it has documents: no candidate link
+between components is lost, and a bucket of copies is never expanded into all its pairs.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +31,8 @@ BITS = 4
 #: Pairs estimated this far below the threshold (over five standard deviations of 128 places) can't reach it.
 MARGIN = 0.2
 #: Documents in a block of a large bucket; confirmations for one copy of a hub's text.
-BLOCK = 1024
+BLOCK = 512
 HUB_MEMBERS = 256
-#: Untested pairs that a block offers a round, for each document in it; what is left over is offered in later rounds.
-OFFERS = 16
-REMEMBERED_WORDS = 400_000
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U64 = np.uint64
 
 
@@ -51,26 +44,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted distinct hashes of a text's k-word shingles; with fewer words, of the whole sequence; without, none."""
+    """Sorted distinct hashes of a text's k-word shingles; with fewer words, of the whole sequence; without, none.
+
+    A-Z count as a-z, and words are divided by the bytes 20 and 09-0D (hexadecimal). A word's hash is a polynomial
+    in its bytes, each taken through a random table, so that all words are hashed at once from running sums.
+    """
 
     def __init__(self, shingle_words: int):
         self.k = shingle_words
         self.factors = _mix(np.arange(1, shingle_words + 1, dtype=_U64)) | _U64(1)
-        self.known: dict[str, int] = {}
-
-    def _word(self, word: str) -> int:
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known.clear()
-        got = self.known[word] = xxhash.xxh3_64_intdigest(word)
-        return got
+        self.table = _mix(np.arange(77_000, 77_256, dtype=_U64))
+        self.blank = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+        self.base = 0x9E3779B97F4A7C15
+        self._powers(4096)
+
+    def _powers(self, n: int) -> None:
+        inverse = pow(self.base, -1, 1 << 64)
+        ones = np.ones(n, dtype=_U64)
+        up, down = ones.copy(), ones.copy()
+        up[1:], down[1:] = _U64(self.base), _U64(inverse)
+        self.up, self.down = np.cumprod(up, dtype=_U64), np.cumprod(down, dtype=_U64)
 
     def __call__(self, text: str) -> np.ndarray:
-        # bytes.lower() changes A-Z only
-        words = WORD.findall(text.encode().lower().decode())
-        if not words:
+        data = np.frombuffer(text.encode().lower(), dtype=np.uint8)  # bytes.lower() changes A-Z only
+        turns = np.flatnonzero(np.diff(self.blank[data], prepend=True, append=True))
+        if not len(turns):
             return np.zeros(0, _U64)
-        known, word = self.known, self._word
-        hashes = np.array([known[w] if w in known else word(w) for w in words], dtype=_U64)
+        if len(data) >= len(self.up):
+            self._powers(2 * len(data))
+        running = np.zeros(len(data) + 1, dtype=_U64)
+        np.cumsum(self.table[data] * self.down[: len(data)], out=running[1:])
+        starts, ends = turns[::2], turns[1::2]
+        hashes = _mix((running[ends] - running[starts]) * self.up[starts])
         n = max(1, len(hashes) - self.k + 1)
         total = np.full(n, min(len(hashes), self.k), dtype=_U64)
         for j in range(min(self.k, len(hashes))):
@@ -185,127 +190,120 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _across(sigs: DataFrame, least: float, turn: int) -> DataFrame:
-    """Likely pairs between different components that share a bucket: (a, b, more).
+def _across(shared: DataFrame, labels: DataFrame, texts: DataFrame, shingle_words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join all components that have a link between them in some bucket.
 
-    sigs: (id, component, keys, sig). Buckets are cut into blocks: a component that fills a block has blocks of its
-    own, which are not compared with each other; all others share blocks. A block offers a bounded number of pairs,
-    picked anew each turn; a row with a and b null says that it has more.
+    shared: (key, id); labels: (id, component), ids without a link left out. Buckets of equal members count once.
+    Large ones are cut into blocks: a component that fills a block has blocks of its own, which are not compared
+    with each other; the others share blocks, and any two blocks meet in one group.
     """
-    rows = sigs.select("id", "component", F.explode("keys").alias("key"))
-    held = rows.groupBy("key", "component").agg(F.count("*").alias("own"))
-    mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("own").alias("all")).where("low < high")
-    blocked = held.join(mixed.select("key", "all"), "key").select(
-        "key", "component", (F.col("all") > BLOCK).alias("large"), (F.col("own") > BLOCK // 2).alias("apart"),
-        F.when(F.col("own") > BLOCK // 2, F.ceil(F.col("own") / BLOCK)).otherwise(F.ceil(F.col("all") / BLOCK)).cast("int").alias("blocks"),
-    )
-    pool = F.when(~F.col("large"), F.lit(0)).when(~F.col("apart"), F.pmod(F.hash("component"), F.col("blocks")))
-    members = rows.join(blocked, ["key", "component"]).select(
-        "key", "id", "component", "large", F.when(F.col("large") & F.col("apart"), F.col("component")).alias("of"),
-        F.coalesce(pool, F.pmod(F.hash("id"), F.col("blocks"))).alias("block"),
-    )
-    small = members.where("not large").select("key", F.lit("").alias("pair"), F.lit(0).alias("side"), "id", "component")
-    name = F.concat_ws("/", F.coalesce(F.col("of").cast("string"), F.lit("")), F.col("block").cast("string"))
-    large = members.where("large").withColumn("name", name)
-    names = large.select("key", "name", "of").distinct()
+    rows = shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"x{k}") for k in (1, 2)]
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("all"), *marks).where("low < high")
+    once = mixed.groupBy("x1", "x2", "all").agg(F.min("key").alias("key")).select("key", "all")
+    members = scratch.keep(rows.join(once, "key"), "members")
+    small = members.where(F.col("all") <= BLOCK).select("key", F.lit("").alias("pair"), F.lit(0).alias("side"), "id", "component")
+    many = members.where(F.col("all") > BLOCK)
+    held = many.groupBy("key", "component").agg(F.count("*").alias("own"))
+    dealt = many.join(held, ["key", "component"])
+    apart = F.col("own") > BLOCK // 2
+    name = F.when(apart, F.concat_ws("/", "component", F.pmod(F.hash("id"), F.ceil(F.col("own") / BLOCK)).cast("string")))
+    name = F.coalesce(name, F.concat(F.lit("/"), F.pmod(F.hash("component"), F.ceil(F.col("all") / BLOCK)).cast("string")))
+    dealt = dealt.select("key", "id", "component", name.alias("name"), F.when(apart, F.col("component")).alias("of"))
+    names = dealt.groupBy("key", "name").agg(F.first("of").alias("of"))
     other = names.select("key", F.col("name").alias("name_2"), F.col("of").alias("of_2"))
     met = names.join(other, "key").where((F.col("name") <= F.col("name_2")) & F.coalesce(F.col("of") != F.col("of_2"), F.lit(True)))
     pair = F.concat_ws("|", "name", "name_2").alias("pair")
     ends = met.select("key", "name", pair, F.lit(0).alias("side")).union(met.where("name <> name_2").select("key", F.col("name_2").alias("name"), pair, F.lit(1).alias("side")))
-    dealt = small.unionByName(large.join(ends, ["key", "name"]).select("key", "pair", "side", "id", "component"))
-    dealt = dealt.join(sigs.select("id", "sig"), "id").select("key", "pair", "side", "id", "component", "sig")
-    dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "side")
-
-    def offer(ids: list, comps: list, sides: list, sig: list) -> tuple[np.ndarray, np.ndarray, bool]:
-        ids, comps, sides = (np.array(x) for x in (ids, comps, sides))
-        words = np.frombuffer(b"".join(sig), _U64).reshape(len(ids), -1)
-        found_a, found_b = [], []
-        two = sides.any()
-        for i in np.flatnonzero(sides == 0):
-            to = np.flatnonzero(sides == 1) if two else np.arange(i + 1, len(ids))
-            to = to[comps[to] != comps[i]]
-            to = to[estimate(words[to], words[i]) >= least]
-            found_a.append(np.full(len(to), ids[i]))
-            found_b.append(ids[to])
-        a, b = np.concatenate([*found_a, np.zeros(0, np.int64)]), np.concatenate([*found_b, np.zeros(0, np.int64)])
-        if len(a) <= OFFERS * len(ids):
-            return a, b, False
-        order = np.argsort(_mix(a.astype(_U64) * _U64(3) + b.astype(_U64) * _U64(5) + _mix(np.array([turn], _U64))))[: OFFERS * len(ids)]
-        return a[order], b[order], True
+    groups = small.unionByName(dealt.join(ends, ["key", "name"]).select("key", "pair", "side", "id", "component"))
+    groups = groups.join(texts, "id").select("key", "pair", "side", "id", "component", "text").repartition("key", "pair").sortWithinPartitions("key", "pair")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, signer = Shingler(shingle_words), Signer()
+        at, group = None, []
+
         def flush() -> pa.RecordBatch:
-            a, b, more = offer(*group)
-            low, high = np.minimum(a, b).tolist(), np.maximum(a, b).tolist()
-            tail = [None] * more
-            return pa.RecordBatch.from_arrays([pa.array(low + tail, pa.int64()), pa.array(high + tail, pa.int64())], names=["a", "b"])
+            found = _joining(group, signer, percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        at, group = None, ([], [], [], [])
         for batch in batches:
-            for key, pair, side, i, comp, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, pair, side, i, component, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, pair) != at:
-                    if at is not None:
+                    if group:
                         yield flush()
-                    at, group = (key, pair), ([], [], [], [])
-                for column, value in zip(group, (i, comp, side, sig), strict=True):
-                    column.append(value)
-        if at is not None:
+                    at, group = (key, pair), []
+                group.append((i, component, side, shingler(text)))
+        if group:
             yield flush()
 
-    return dealt.mapInArrow(scan, "a long, b long").distinct()
+    return groups.mapInArrow(scan, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", say: Callable[[str], None] | None = None) -> DataFrame:
+def _joining(group: list[tuple[int, int, int, np.ndarray]], signer: Signer, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of a group; rows are (id, component, side, set), compared across sides if there are two."""
+    root = {row[1]: row[1] for row in group}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    sigs = np.stack([np.frombuffer(signer(row[3])[1], _U64) for row in group])
+    sides = np.array([row[2] for row in group])
+    far = np.flatnonzero(sides == 1)
+    links = []
+    for i in np.flatnonzero(sides == 0).tolist():
+        to = far if len(far) else np.arange(i + 1, len(group))
+        own = top(group[i][1])
+        to = to[[top(group[j][1]) != own for j in to.tolist()]] if len(to) else to
+        likely = estimate(sigs[to], sigs[i])
+        for j in to[np.argsort(-likely, kind="stable")][: int((likely >= percent / 100 - MARGIN).sum())].tolist():
+            if top(group[j][1]) != top(group[i][1]) and _linked(group[i][3], group[j][3], percent):
+                links.append((min(group[i][0], group[j][0]), max(group[i][0], group[j][0])))
+                root[top(group[j][1])] = top(group[i][1])
+    return links
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept.
 
     Null or wordless texts have no shingles and no links. Rows that share a doc_id are one document, linked if any
     of them is. Rows without doc_id are returned with a null component_id and kept. An empty table gives no rows.
     """
-    say = say or (lambda _: None)
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    least = percent / 100 - MARGIN
     signed = scratch.keep(signatures(docs, shingle_words, id_col, text_col), "signed")
     some = signed.where("n > 0 and doc_id is not null")
     classes = scratch.keep(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id")), "classes")
-    sigs = scratch.keep(some.withColumnRenamed("doc_id", "id").join(classes, ["s1", "s2", "n", "id"], "left_semi").dropDuplicates(["id", "s1", "s2", "n"]).select("id", "keys", "sig"), "sigs")
+    sigs = some.withColumnRenamed("doc_id", "id").join(classes, ["s1", "s2", "n", "id"], "left_semi").dropDuplicates(["id", "s1", "s2", "n"])
+    sigs = scratch.keep(sigs.select("id", "keys", "sig"), "sigs")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
 
     rows = sigs.select("id", F.explode("keys").alias("key"))
     hubs = rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("held")).where("held > 1").select("key", "a")
-    pairs = rows.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    pairs = scratch.keep(_likely(pairs, sigs, least), "tested-0")
-    links = [scratch.keep(_confirm(pairs, texts, shingle_words, percent), "links-0")]
+    shared = scratch.keep(rows.join(hubs, "key"), "shared")
+    pairs = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    pairs = scratch.keep(_likely(pairs, sigs, percent / 100 - MARGIN), "pairs")
+    links = scratch.keep(_confirm(pairs, texts, shingle_words, percent), "links")
     # A doc_id with rows of several texts joins their classes.
     several = some.groupBy("doc_id").agg(F.count("*").alias("held")).where("held > 1").select("doc_id")
     same_id = some.join(several, "doc_id").join(classes, ["s1", "s2", "n"]).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    links.append(scratch.keep(same_id.where("a <> b").distinct(), "links-same-id"))
-    tested = [pairs]
-    turn = 0
-    while True:
-        found = links[0]
-        for x in links[1:]:
-            found = found.union(x)
-        labels = components(found, scratch, f"labels-{turn}")
-        turn += 1
-        labelled = sigs.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        offered = scratch.keep(_across(labelled, least, turn), f"offered-{turn}")
-        fresh = offered.where("a is not null")
-        for x in tested:
-            fresh = fresh.join(x, ["a", "b"], "left_anti")
-        fresh = scratch.keep(fresh, f"tested-{turn}")
-        more = not offered.where("a is null").isEmpty()
-        scratch.drop(f"offered-{turn}")
-        none = fresh.isEmpty()
-        say(f"turn {turn}: more {more}, none {none}")
-        if none and not more:
-            break
-        if not none:
-            tested.append(fresh)
-            links.append(scratch.keep(_confirm(fresh, texts, shingle_words, percent), f"links-{turn}"))
+    links = links.union(same_id.where("a <> b").distinct())
+    labels = components(links, scratch, "first")
+    across = scratch.keep(_across(shared.select("key", "id"), labels, texts, shingle_words, percent, scratch), "across")
+    # The first labels stand for the links that made them.
+    labels = components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).union(across), scratch, "all")
 
     of_class = classes.join(labels, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
-    # Rows that share a doc_id may lie in several classes; all of them carry the document's component.
     mine = signed.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return mine.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the smallest doc_id of each group only; rows without doc_id stay, and so do rows that share a kept one."""
+    report = near_duplicates(docs, shingle_words, percent, id_col, text_col)
+    kept = report.where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__id"), "left_semi")
+    return named.union(docs.where(F.col(id_col).isNull()))
