@@ -226,9 +226,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def filter_by_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose score is below the threshold."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, id_col, text_col))
+def filter_by_quality(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose score is below the threshold; `known` holds the labelled texts, if not docs."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs if known is None else known, labels, id_col, text_col))
     return keep_rows(docs, lambda texts: model.value.scores(texts) >= threshold, text_col)
 
 
