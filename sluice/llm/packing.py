@@ -27,8 +27,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Ranks within a length are dealt over so many salts, so that a length that many pieces share is not one task.
 SALTS = 64
-#: Words and runs of text remembered by a task.
-REMEMBERED_WORDS = 500_000
+#: Words and runs of text remembered by a task, in each of two halves.
+REMEMBERED_WORDS = 600_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -51,6 +51,7 @@ class WordTokenizer:
         self.known_runs: dict[str, bytes] = {}
         self.known_words: dict[str, bytes] = {}
         self.older_runs: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
 
     def _library_ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -71,17 +72,27 @@ class WordTokenizer:
         known, older = self.known_runs, self.older_runs
         fresh = [run for run in dict.fromkeys(runs) if run not in known]
         known.update((run, older[run]) for run in fresh if run in older)
-        split = {run: self.words.findall(self._normal(run)) for run in fresh if run not in older}
+        split = {run: self._split(run) for run in fresh if run not in older}
         if len(self.known_words) > REMEMBERED_WORDS:
-            self.known_words.clear()
-        self._learn_words(list(dict.fromkeys(w for words in split.values() for w in words if w not in self.known_words)))
-        for run, words in split.items():
-            known[run] = b"".join(map(self.known_words.__getitem__, words))
-
-    @staticmethod
-    def _normal(run: str) -> str:
-        # Unlike str.lower(), the library lower-cases a final sigma without looking at its neighbours.
-        return run.lower() if run.isascii() else unicodedata.normalize("NFC", run).replace("\u03a3", "\u03c3").lower()
+            self.older_words, self.known_words = self.known_words, {}
+        words, old = self.known_words, self.older_words
+        need = dict.fromkeys(w for own in split.values() for w in own if w not in words)
+        words.update((w, old[w]) for w in need if w in old)
+        self._learn_words([w for w in need if w not in old])
+        for run, own in split.items():
+            known[run] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+
+    def _split(self, run: str) -> list[str]:
+        """The run's words, normalised as the library does it."""
+        if run.isascii():
+            run = run.lower()
+        else:  # unlike str.lower(), the library lower-cases a final sigma without looking at its neighbours
+            run = unicodedata.normalize("NFC", run).replace("\u03a3", "\u03c3").lower()
+        if run.isalpha():  # the most common forms need no pattern
+            return [run]
+        if run[-1] in ".," and run[:-1].isalpha():
+            return [run[:-1], run[-1]]
+        return self.words.findall(run)
 
     def _learn_words(self, words: list[str]) -> None:
         if not words:
