@@ -61,7 +61,7 @@ def partitions(postings: DataFrame) -> DataFrame:
 def build_lookup(entities: DataFrame) -> DataFrame:
     """(id, name, city, state, employer, bucket, years): attributes of the newest cycle; a row named Unknown gives way to an older one."""
     words = F.struct("name", "city", "state", "employer", "bucket")
-    order = F.struct(F.col("name") != "Unknown", "cycle")
+    order = F.struct(F.col("name") != "Unknown", "cycle", "bucket")
     made = entities.groupBy("id").agg(F.max_by(words, order).alias("w"), F.sort_array(F.collect_set("cycle"), False).alias("years"))
     return made.select("id", "w.*", "years", lookup_partition(F.col("id")).alias("partition"))
 
@@ -88,9 +88,10 @@ def match(postings: DataFrame, text: str) -> DataFrame:
 
 
 def search(postings: DataFrame, lookup: DataFrame, text: str, limit: int = MAX_RESULTS) -> DataFrame:
-    """Lookup rows of the query's results, newest first, then those with most years, then by id."""
-    found = match(postings, text).limit(limit + 1)
-    rows = found.join(lookup, "id")
+    """Lookup rows of the query's results, newest first, then those with most years, then by id; none beyond the limit."""
+    found = match(postings, text)
+    few = found.limit(limit + 1).agg(F.count("*").alias("results")).where(F.col("results") <= limit).select(F.lit(True).alias("few"))
+    rows = found.join(F.broadcast(few), F.col("few")).drop("few").join(lookup, "id")  # one row at most
     return rows.orderBy(F.desc(F.col("years")[0]), F.desc(F.size("years")), "id")
 
 

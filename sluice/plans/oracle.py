@@ -141,7 +141,7 @@ CTES = {
     "postings": f"SELECT DISTINCT unnest({_terms('texts')}) AS term, id FROM texts",
     "lookup": """SELECT id, w.name AS name, w.city AS city, w.state AS state, w.employer AS employer, w.bucket AS bucket, years,
         CASE length(id) WHEN 9 THEN substr(id, 8, 2) WHEN 32 THEN substr(id, 1, 2) ELSE '' END AS partition FROM (
-        SELECT id, max_by({'name': name, 'city': city, 'state': state, 'employer': employer, 'bucket': bucket}, (CASE WHEN name <> 'Unknown' THEN 100000 ELSE 0 END) + cycle) AS w,
+        SELECT id, max_by({'name': name, 'city': city, 'state': state, 'employer': employer, 'bucket': bucket}, {'a': name <> 'Unknown', 'b': cycle, 'c': bucket}) AS w,
             list_sort(list(DISTINCT cycle), 'DESC') AS years FROM yearly_entities GROUP BY id)""",
     "doc_postings": f"SELECT DISTINCT unnest({_terms('coalesce(text, chr(32))')}) AS term, doc_id AS id FROM documents",
     "shares": f"""SELECT e.cycle, e.cp_id AS src, e.owner_id AS dst, {_avg("e.amt", "t.contributions_amt")} AS weight FROM edges e JOIN cmte_totals t ON e.cycle = t.cycle AND e.owner_id = t.cmte_id
@@ -284,7 +284,7 @@ _BODIES = {
     "index_stats": """SELECT count(*) AS terms, CAST(sum(n) AS BIGINT) AS postings, CAST(sum(ceil(n / 1250.0)) AS BIGINT) AS shards, (SELECT count(*) FROM lookup) AS lookup_rows,
         (SELECT string_agg(CAST(cycle AS VARCHAR), ',' ORDER BY cycle) FROM (SELECT DISTINCT cycle FROM yearly_entities)) AS cycles FROM (SELECT term, count(*) AS n FROM postings GROUP BY term)""",
     "index_update": "SELECT * FROM postings",
-    "search_keywords": f"SELECT {_LOOKUP} FROM lookup WHERE id IN (SELECT id FROM ({_search(SEARCHES[4].split()[0])}) LIMIT 501)",
+    "search_keywords": f"SELECT {_LOOKUP} FROM lookup WHERE id IN (SELECT id FROM ({_search(SEARCHES[0])})) AND (SELECT count(*) FROM ({_search(SEARCHES[0])})) <= 500",
     "search_status": " UNION ALL ".join(f"SELECT '{t}' AS query, count(*) AS results, CASE WHEN count(*) = 0 THEN 'NO_RESULTS' WHEN count(*) > 500 THEN 'MAX_LENGTH' ELSE 'OK' END AS status FROM ({_search(t)})" for t in SEARCHES),
     "search_documents": _search("The ereat of thing, and that").replace("FROM postings", "FROM doc_postings"),
     "lookup_by_ids": f"""SELECT CAST(a.position AS INT) AS position, a.id, coalesce(l.name, 'Unknown') AS name, l.city, l.state, l.employer, l.bucket, array_to_string(l.years, ',') AS years, l.partition

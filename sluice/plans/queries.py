@@ -445,7 +445,7 @@ def index_update(b: Book) -> DataFrame:
 
 @query
 def search_keywords(b: Book) -> DataFrame:
-    return search.search(b.postings, b.lookup, SEARCHES[4].split()[0]).withColumn("years", joined("years"))
+    return search.search(b.postings, b.lookup, SEARCHES[0]).withColumn("years", joined("years"))
 
 
 @query
