@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.expressions import entity_bucket, ratio
+from sluice.sources.shared import written
 
 
 def shares(all_edges: DataFrame, totals: DataFrame) -> DataFrame:
@@ -65,12 +66,12 @@ def nodes(edges: DataFrame, candidates: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, roots: Sequence[str], hops: int = 3) -> DataFrame:
     """(id, hop): all nodes within `hops` edges of the roots, each with its first hop.
 
-    The lineage of a few hops is short; for many, write the frontier to the shared checkpoint folder between them.
+    Links and what is reached after each hop are written to the shared folder, so that no hop runs twice.
     """
-    links = edges.select("src", "dst").distinct()
+    links = written(edges.select("src", "dst").distinct(), "links")
     seen = edges.sparkSession.createDataFrame([(r, 0) for r in roots], "id string, hop int")
     for hop in range(1, hops + 1):
-        front = seen.where(F.col("hop") == hop - 1)
-        fresh = links.join(front, links["src"] == front["id"]).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        seen = seen.union(fresh.select("id", F.lit(hop).alias("hop")))
+        front = seen.where(F.col("hop") == hop - 1).select(F.col("id").alias("src"))
+        fresh = links.join(front, "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        seen = written(seen.union(fresh.select("id", F.lit(hop).alias("hop"))), f"reach-{hop}")
     return seen

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from sluice.functions import expressions as X
 from sluice.operators import edges, graph, ledger, merge, rankings, search, tables, totals
 from sluice.plans.book import Book
 from sluice.sources import filings, fixtures
+from sluice.sources.shared import shared_folder
 from sluice.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -603,15 +603,6 @@ def stream_ingest(b: Book) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count("*").alias("events"), F.sum(F.col("value").cast("decimal(28,6)")).cast("double").alias("total"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 # Profiles --------------------------------------------------------------------------------------------------------
 
 
