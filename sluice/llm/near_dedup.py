@@ -205,10 +205,11 @@ def _across(shared: DataFrame, labels: DataFrame, texts: DataFrame, shingle_word
     small = members.where(F.col("all") <= BLOCK).select("key", F.lit("").alias("pair"), F.lit(0).alias("side"), "id", "component")
     many = members.where(F.col("all") > BLOCK)
     held = many.groupBy("key", "component").agg(F.count("*").alias("own"))
-    dealt = many.join(held, ["key", "component"])
     apart = F.col("own") > BLOCK // 2
+    pools = held.where(~apart).groupBy("key").agg(F.ceil(F.sum("own") / BLOCK).alias("pools"))
+    dealt = many.join(held, ["key", "component"]).join(pools, "key", "left")
     name = F.when(apart, F.concat_ws("/", "component", F.pmod(F.hash("id"), F.ceil(F.col("own") / BLOCK)).cast("string")))
-    name = F.coalesce(name, F.concat(F.lit("/"), F.pmod(F.hash("component"), F.ceil(F.col("all") / BLOCK)).cast("string")))
+    name = F.coalesce(name, F.concat(F.lit("/"), F.pmod(F.hash("component"), F.col("pools")).cast("string")))
     dealt = dealt.select("key", "id", "component", name.alias("name"), F.when(apart, F.col("component")).alias("of"))
     names = dealt.groupBy("key", "name").agg(F.first("of").alias("of"))
     other = names.select("key", F.col("name").alias("name_2"), F.col("of").alias("of_2"))
@@ -282,6 +283,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     rows = sigs.select("id", F.explode("keys").alias("key"))
     hubs = rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("held")).where("held > 1").select("key", "a")
     shared = scratch.keep(rows.join(hubs, "key"), "shared")
+    # Texts are shuffled once; later joins meet only the few that share a bucket.
+    texts = scratch.keep(texts.join(shared.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
     pairs = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     pairs = scratch.keep(_likely(pairs, sigs, percent / 100 - MARGIN), "pairs")
     links = scratch.keep(_confirm(pairs, texts, shingle_words, percent), "links")
