@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,20 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the session's Python workers, once; they may run where it is not installed."""
+    context = spark.sparkContext
+    if getattr(context, "_sluice_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = f"{tempfile.mkdtemp(prefix='spark-ship-')}/sluice.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._sluice_shipped = True
+
+
 class Scratch:
     """Intermediate tables in the folder that all executors share.
 

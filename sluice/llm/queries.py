@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm import chat_format, fingerprints, license_scan, line_dedup, near_dedup, packing, piece_codec, quality_classifier, quality_rules, token_counts
-from sluice.llm.common import table
+from sluice.llm.common import ship, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +64,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_license_scan": op3_license_scan,
@@ -75,6 +85,8 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
+QUERIES = {name: _shipped(query) for name, query in _ALL.items()}
+
 ORACLE_SQL = {
     "op3_license_scan": license_scan.oracle(),
     "op7_chat_formatting": r"""
