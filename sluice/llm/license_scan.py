@@ -1,8 +1,8 @@
 """Licence scans by a positional index of rare words, with DataFrame functions only.
 
-Licence templates are indexed by their words of highest IDF (over the templates), each with its position. A file's
-own licence words of highest IDF are looked up; postings that agree on where a template would start are counted
-together, and the template's key phrase must stand at its place. The base phrases are indexed in the same way, by
+Licence templates are indexed by their words of highest IDF (over the templates), each with its position. All of a
+file's indexed words are looked up; postings that agree on where a template would start are counted together, and the
+template's key phrase must stand at its place. The base phrases are indexed in the same way, by
 their rarest word, and every place of theirs counts.
 
 The index is a fixed table of a few dozen rows; files are read once, and only the places of indexed words go on.
@@ -14,13 +14,13 @@ import math
 from collections import Counter
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import Scratch, lower_ascii, whole_text
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Indexed words of a template; share of them that must agree; looked-up words of a file.
+#: Indexed words of a template; share of them that must agree; looked-up words of a file, in the SQL only.
 ANCHORS = 6
 COVERAGE = 0.6
 LOOKED_UP = 24
@@ -85,8 +85,7 @@ def postings() -> tuple[tuple[str, str, bool, int, int, int, str], ...]:
 
 
 def _index(spark: SparkSession) -> DataFrame:
-    rows = [(*p, idf()[p[0]]) for p in postings()]
-    return spark.createDataFrame(rows, "word string, label string, base boolean, position int, anchors int, offset int, phrase string, idf double")
+    return spark.createDataFrame(list(postings()), "word string, label string, base boolean, position int, anchors int, offset int, phrase string")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,10 +119,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = hits.where("base and stands").select("row", "label", (F.col("place") - F.col("position")).cast("long").alias("start"))
     base = base.groupBy("row").agg(F.count("*").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"), F.array_sort(F.collect_set("label")).alias("base_set"))
 
-    own = hits.where("not base").select("row", "word", "idf").distinct()
-    best = Window.partitionBy("row").orderBy(F.desc("idf"), "word")
-    looked_up = own.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= LOOKED_UP).select("row", "word")
-    agreed = hits.where("not base").join(looked_up, ["row", "word"]).groupBy("row", "label", "anchors", (F.col("place") - F.col("position")).alias("start")).agg(F.count("*").alias("n"), F.max("stands").alias("stands"))
+    agreed = hits.where("not base").groupBy("row", "label", "anchors", (F.col("place") - F.col("position")).alias("start")).agg(F.count("*").alias("n"), F.max("stands").alias("stands"))
     share = F.col("n") / F.col("anchors")
     agreed = agreed.groupBy("row").agg(F.array_sort(F.collect_set(F.when(F.col("stands") & (share >= COVERAGE), F.col("label")))).alias("set"), F.max(F.when(F.col("stands"), share).otherwise(share / 2)).alias("share"))
 

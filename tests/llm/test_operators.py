@@ -157,6 +157,17 @@ def test_license_places(spark, docs, odd, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_texts_with_many_licence_words_keep_all_labels(spark):
+    notice = {label: text for label, text, _ in license_scan.TEMPLATES}
+    common = sorted({p[0] for p in license_scan.postings()} - {"apache"})
+    texts = {1: list(notice), 2: ["gpl-notice", "mit-notice", "bsd", "isc", "mit-release"]}
+    rows = [(k, ". ".join(notice[label] for label in labels)) for k, labels in texts.items()]
+    rows.append((3, f"{' '.join(common)}. {notice['apache-2.0']}"))
+    by = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(set(labels) <= set(by[k].labels.split(",")) for k, labels in texts.items())
+    assert "apache-2.0" in by[3].labels.split(",")
+
+
 def test_license_scans_run_no_python(docs):
     plan = license_scan.scan_licenses(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
