@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sluice.functions.expressions import entity_bucket, ratio
-from sluice.sources.shared import written
+from sluice.sources.shared import shared_folder, written
 
 
 def shares(all_edges: DataFrame, totals: DataFrame) -> DataFrame:
@@ -63,15 +65,27 @@ def nodes(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     return ids.join(own, "id", "left").select("id", made.alias("node_type"))
 
 
-def reach(edges: DataFrame, roots: Sequence[str], hops: int = 3) -> DataFrame:
-    """(id, hop): all nodes within `hops` edges of the roots, each with its first hop.
+def reach(edges: DataFrame, roots: Sequence[str], hops: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """(*keys, id, hop): all nodes that can be reached from the roots, each with its first hop; edges of all given types are followed.
 
-    Links and what is reached after each hop are written to the shared folder, so that no hop runs twice.
+    Rows that differ in `keys` (such as the cycle) are graphs of their own. The search ends where a hop finds nothing
+    new, or after `hops` if given. Links and what each hop finds are written to the shared folder, each node once.
     """
-    links = written(edges.select("src", "dst").distinct(), "links")
-    seen = edges.sparkSession.createDataFrame([(r, 0) for r in roots], "id string, hop int")
-    for hop in range(1, hops + 1):
-        front = seen.where(F.col("hop") == hop - 1).select(F.col("id").alias("src"))
-        fresh = links.join(front, "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        seen = written(seen.union(fresh.select("id", F.lit(hop).alias("hop"))), f"reach-{hop}")
-    return seen
+    spark = edges.sparkSession
+    links = written(edges.select(*keys, "src", "dst").distinct(), "links")
+    start = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "id string")
+    if keys:
+        start = links.select(*keys).distinct().crossJoin(start)
+    folder = f"{shared_folder(spark)}/reach-{uuid.uuid4().hex}"
+    schema = StructType([*start.schema, StructField("hop", IntegerType())])
+    start.write.parquet(f"{folder}/hop=0")
+    hop = 0
+    while hops is None or hop < hops:
+        seen = spark.read.schema(schema).parquet(folder)
+        front = seen.where(F.col("hop") == hop).select(*keys, F.col("id").alias("src"))
+        hop += 1
+        fresh = links.join(front, [*keys, "src"]).select(*keys, F.col("dst").alias("id")).distinct().join(seen.select(*keys, "id"), [*keys, "id"], "left_anti")
+        fresh.write.parquet(f"{folder}/hop={hop}")
+        if spark.read.schema(start.schema).parquet(f"{folder}/hop={hop}").isEmpty():
+            break
+    return spark.read.schema(schema).parquet(folder)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions import expressions as X
-from sluice.operators import edges, ledger, merge, rankings, search, tables, totals
+from sluice.operators import edges, graph, ledger, merge, rankings, search, tables, totals
 from sluice.plans.book import Book
 from sluice.sources import filings
 from sluice.streaming import ingest
@@ -126,6 +126,13 @@ def test_posting_shards_are_cut_in_order(spark):
     assert got == [("t", 0, "00000", "00009", 10), ("t", 1, "00010", "00019", 10), ("t", 2, "00020", "!", 5), ("u", 0, "9", "!", 1)]
 
 
+def test_reach_goes_on_to_the_end_in_every_cycle(spark):
+    chain = [(2000, f"C{k}", f"C{k + 1}", "cmte_out") for k in range(6)]
+    rows = spark.createDataFrame([*chain, (2000, "C6", "C0", "cmte_out"), (2000, "C6", "P1", "exp_out"), (2002, "C0", "C5", "cmte_out")], "cycle int, src string, dst string, edge_type string")
+    assert rows_of(graph.reach(rows.where("cycle = 2000"), ["C0"])) == [*((f"C{k}", k) for k in range(7)), ("P1", 7)]
+    assert rows_of(graph.reach(rows, ["C0"], keys=["cycle"])) == [*((2000, f"C{k}", k) for k in range(7)), (2000, "P1", 7), (2002, "C0", 0), (2002, "C5", 1)]
+
+
 def test_upsert_takes_the_last_row(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
     new = spark.createDataFrame([("b", 2), ("b", 3), ("c", 1)], "k string, v int")
