@@ -24,23 +24,32 @@ def direct_share(weighted: DataFrame, cycle: int) -> DataFrame:
     return weighted.where(F.col("cycle") == cycle).select("src", "dst", "weight")
 
 
-def total_share(weighted: DataFrame, sources: DataFrame, hops: int = 3) -> DataFrame:
-    """(cycle, source, target, pct, paths): over simple paths of up to `hops` edges, the sum of their products of shares.
+def total_share(weighted: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
+    """(cycle, source, target, pct, paths): over simple paths, the sum of their products of shares.
 
-    Weighted edges beyond the first hop go from committee to committee. Paths grow fast with the hops; the bound
-    stands for the unbounded search.
+    Weighted edges beyond the first hop go from committee to committee. The search ends where no path can be
+    extended, or after `hops` edges if given. Paths of one length that hold the same nodes and end at the same one are
+    extended together, so rows grow with the sets of committees that give to committees, not with their orders.
     """
-    # One path holds a few ids only; all paths of a length are one table.
-    first = weighted.join(sources.select("cycle", F.col("source").alias("src")), ["cycle", "src"])
-    paths = first.where("src <> dst").select("cycle", F.col("src").alias("source"), F.col("dst").alias("target"), F.array("src", "dst").alias("path"), "weight")
-    between = weighted.where(entity_bucket(F.col("src")) == "committee").select("cycle", F.col("src").alias("target"), "dst", F.col("weight").alias("next"))
-    found = paths
-    for _ in range(hops - 1):
-        paths = paths.join(between, ["cycle", "target"]).where(~F.array_contains("path", F.col("dst")))
-        paths = paths.select("cycle", "source", F.col("dst").alias("target"), F.concat("path", F.array("dst")).alias("path"), (F.col("weight") * F.col("next")).alias("weight"))
-        found = found.union(paths)
-    # Rounded terms are added as decimals, so that the order of the paths doesn't matter.
-    return found.groupBy("cycle", "source", "target").agg(F.sum(F.round("weight", 12).cast("decimal(28,12)")).cast("double").alias("pct"), F.count("*").alias("paths"))
+    first = weighted.join(sources.select("cycle", F.col("source").alias("src")), ["cycle", "src"]).where("src <> dst")
+    paths = first.select("cycle", F.col("src").alias("source"), F.col("dst").alias("target"), F.array("src", "dst").alias("path"), "weight", F.lit(1).cast("long").alias("n"))
+    between = written(weighted.where(entity_bucket(F.col("src")) == "committee").select("cycle", F.col("src").alias("target"), "dst", F.col("weight").alias("next")), "between")
+    found, hop = None, 1
+    while True:
+        paths = written(paths, f"paths-{hop}")
+        if found is not None and paths.isEmpty():
+            break
+        # Rounded terms are added as decimals, so that the order of the paths doesn't matter.
+        part = paths.groupBy("cycle", "source", "target").agg(F.sum(F.round("weight", 12).cast("decimal(28,12)")).alias("pct"), F.sum("n").alias("paths"))
+        found = part if found is None else found.union(part)
+        if hop == hops:
+            break
+        hop += 1
+        merged = paths.groupBy("cycle", "source", "target", F.array_sort("path").alias("path")).agg(F.sum(F.col("weight").cast("decimal(38,24)")).cast("double").alias("sum"), F.min("weight").alias("only"), F.sum("n").alias("n"), F.count("*").alias("rows"))
+        merged = merged.withColumn("weight", F.when(F.col("rows") == 1, F.col("only")).otherwise(F.col("sum")))
+        paths = merged.join(between, ["cycle", "target"]).where(~F.array_contains("path", F.col("dst")))
+        paths = paths.select("cycle", "source", F.col("dst").alias("target"), F.concat("path", F.array("dst")).alias("path"), (F.col("weight") * F.col("next")).alias("weight"), "n")
+    return found.groupBy("cycle", "source", "target").agg(F.sum("pct").cast("double").alias("pct"), F.sum("paths").alias("paths"))
 
 
 def flow_edges(all_edges: DataFrame, totals: DataFrame) -> DataFrame:

@@ -487,7 +487,7 @@ def direct_pct(b: Book) -> DataFrame:
 def total_pct(b: Book) -> DataFrame:
     weighted = graph.shares(b.edges, b.committee_totals).where("cycle = 1998")
     sources = b.committees.where("cmte_id in ('C00000001', 'C00000002')").select(F.lit(1998).alias("cycle"), F.col("cmte_id").alias("source"))
-    return graph.total_share(weighted, sources)
+    return graph.total_share(weighted, sources, hops=3)
 
 
 @query

@@ -1,6 +1,8 @@
 """The money-flow engine on hand-made rows, and its invariants on the smallest tables."""
 
 import decimal
+import itertools
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +135,21 @@ def test_reach_goes_on_to_the_end_in_every_cycle(spark):
     assert rows_of(graph.reach(rows, ["C0"], keys=["cycle"])) == [*((2000, f"C{k}", k) for k in range(7)), (2000, "P1", 7), (2002, "C0", 0), (2002, "C5", 1)]
 
 
+def test_total_share_takes_every_simple_path(spark):
+    ids = [f"C{k:08d}" for k in range(6)]
+    share = {(a, b): (i + 1) / (i + j + 7) for i, a in enumerate(ids) for j, b in enumerate(ids) if a != b and b != ids[0]}
+    want = {}
+    for n in range(1, 6):
+        for path in itertools.permutations(ids[1:], n):
+            steps = list(zip((ids[0], *path), path))
+            pct, paths = want.get(path[-1], (0, 0))
+            want[path[-1]] = (pct + math.prod(share[s] for s in steps), paths + 1)
+    rows = spark.createDataFrame([(2000, a, b, w) for (a, b), w in share.items()], "cycle int, src string, dst string, weight double")
+    got = {r.target: (r.pct, r.paths) for r in graph.total_share(rows, spark.createDataFrame([(2000, ids[0])], "cycle int, source string")).collect()}
+    assert {k: n for k, (_, n) in got.items()} == {k: n for k, (_, n) in want.items()} == dict.fromkeys(ids[1:], 65)
+    assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-9) for k in want)
+
+
 def test_upsert_takes_the_last_row(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
     new = spark.createDataFrame([("b", 2), ("b", 3), ("c", 1)], "k string, v int")
