@@ -1,11 +1,11 @@
 """Licence scans by a positional index of rare words, with DataFrame functions only.
 
-Licence templates are indexed by their words of highest IDF (over the templates), each with its position. All of a
-file's indexed words are looked up; postings that agree on where a template would start are counted together, and the
+Licence templates, passages of well-known licences and their headers, are indexed by their words of highest IDF (over
+the templates), each with its position. All of a file's indexed words are looked up; postings that agree on where a template would start are counted together, and the
 template's key phrase must stand at its place. The base phrases are indexed in the same way, by
 their rarest word, and every place of theirs counts.
 
-The index is a fixed table of a few dozen rows; files are read once, and only the places of indexed words go on.
+The index is a fixed table of a few hundred rows; files are read once, and only the places of indexed words go on.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from sluice.llm.common import Scratch, lower_ascii, whole_text
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Indexed words of a template; share of them that must agree; looked-up words of a file, in the SQL only.
+#: Indexed words of a template; share of them that must agree.
 ANCHORS = 6
 COVERAGE = 0.6
-LOOKED_UP = 24
 
+#: Words of any English text, which tell nothing about licences and are not indexed.
+COMMON = frozenset("a all an and any are as at be by can even for has how if in into is it its made may must no not of on one or other that the to was will with you".split())
 #: The base phrases and their labels.
 BASE = (
     ("gnu general public license", "gpl"),
@@ -32,7 +33,7 @@ BASE = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-#: Label, notice, and the phrase of the notice that must stand in its place.
+#: Label, passage of a licence or of its usual header, and the phrase of it that must stand in its place.
 TEMPLATES = (
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "general public license version 3"),
     ("gpl-notice", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "terms of the gnu general public license"),
@@ -46,6 +47,35 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("gpl-warranty", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "in the hope that it will be useful"),
+    ("mit-rights", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "merge publish distribute sublicense"),
+    ("mit-warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "fitness for a particular purpose and noninfringement"),
+    ("apache-2.0-header", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
+    ("apache-2.0-warranty", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "without warranties or conditions of any kind"),
+    ("bsd-warranty", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "by the copyright holders and contributors as is"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived"),
+    ("bsd-advertising", "all advertising materials mentioning features or use of this software must display the following acknowledgement", "advertising materials mentioning features"),
+    ("isc-warranty", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "disclaims all warranties with regard to this software"),
+    ("mpl-2.0-copy", "if a copy of the mpl was not distributed with this file you can obtain one at", "copy of the mpl was not distributed"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "alter it and redistribute it freely"),
+    ("zlib-origin", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", "must not be misrepresented"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license", "common development and distribution license"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "attribution sharealike 4 0 international"),
+    ("cc-by-nc-4.0-long", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "attribution noncommercial 4 0 international"),
+    ("cc-by-nd-4.0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license", "attribution noderivatives 4 0 international"),
+    ("unlicense-grant", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "publish use compile sell or distribute"),
+    ("verbatim-license", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "verbatim copies of this license document"),
+    ("psf-2.0", "this license agreement is between the python software foundation and the individual or organization licensee accessing and otherwise using this software", "python software foundation"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
+    ("eupl-1.2", "licensed under the european union public licence", "european union public licence"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "without a written agreement"),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", "software developed by the openssl project"),
+    ("sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code for the software", "accompanied by information on how to obtain complete source code"),
+    ("proprietary", "no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher", "no part of this publication may be reproduced"),
 )
 
 
@@ -76,7 +106,7 @@ def postings() -> tuple[tuple[str, str, bool, int, int, int, str], ...]:
     for label, text, phrase in TEMPLATES:
         words, inside = text.split(), phrase.split()
         at = _find(words, inside)
-        order = sorted(range(len(words)), key=lambda k: rare(words[k], k))  # noqa: B023
+        order = sorted((k for k in range(len(words)) if words[k] not in COMMON), key=lambda k: rare(words[k], k))  # noqa: B023
         key = next(k for k in order if at <= k < at + len(inside))
         chosen = sorted({key, *order[:ANCHORS]})
         for k in chosen:
@@ -91,7 +121,9 @@ def _index(spark: SparkSession) -> DataFrame:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per input row.
 
-    Null and empty texts have no words and no places. Without a place of a base phrase, n_base is 0, first_word and
+    Null and empty texts have no words and no places; repeated rows are scanned and returned each; an empty table gives
+    no rows; long texts are scanned whole, and other columns are not read. A place of words that several templates
+    share counts for each of them, so there are no ties to break: every template that agrees gives its label. Without a place of a base phrase, n_base is 0, first_word and
     last_word are null and base_labels is empty. The score is 1 with a base phrase, else the best share of a
     template's indexed words that agree, halved where its key phrase is missing.
     """
@@ -137,9 +169,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def oracle() -> str:
     """The same scan in SQL over the table documents, word by word."""
     quote = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-    rows = ",\n            ".join("(" + ", ".join(map(quote, (*p, idf()[p[0]]))) + ")" for p in postings())
+    rows = ",\n            ".join("(" + ", ".join(map(quote, p)) + ")" for p in postings())
     return rf"""
-        WITH postings(word, label, base, position, anchors, "offset", phrase, idf) AS (VALUES
+        WITH postings(word, label, base, position, anchors, "offset", phrase) AS (VALUES
             {rows}),
         split AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words
@@ -147,19 +179,15 @@ def oracle() -> str:
         places AS (
             SELECT doc_id, words, unnest(words) AS word, unnest(range(len(words))) AS place FROM split),
         hits AS (
-            SELECT s.doc_id, s.word, s.place, p.label, p.base, p.anchors, p.idf, s.place - p.position AS start,
+            SELECT s.doc_id, s.word, s.place, p.label, p.base, p.anchors, s.place - p.position AS start,
                 coalesce(s.place >= p."offset" AND array_to_string(list_slice(s.words, s.place - p."offset" + 1, s.place - p."offset" + len(string_split(p.phrase, ' '))), ' ') = p.phrase, false) AS stands
             FROM places s JOIN postings p ON s.word = p.word),
         base AS (
             SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list(DISTINCT label)) AS base_set
             FROM hits WHERE base AND stands GROUP BY doc_id),
-        looked_up AS (
-            SELECT doc_id, word FROM (
-                SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) AS turn
-                FROM (SELECT DISTINCT doc_id, word, idf FROM hits WHERE NOT base)) WHERE turn <= {LOOKED_UP}),
         agreed AS (
             SELECT h.doc_id, h.label, CAST(count(*) AS DOUBLE) / h.anchors AS share, bool_or(h.stands) AS stands
-            FROM hits h JOIN looked_up l ON h.doc_id = l.doc_id AND h.word = l.word
+            FROM hits h
             WHERE NOT h.base GROUP BY h.doc_id, h.label, h.anchors, h.start),
         best AS (
             SELECT doc_id, list(DISTINCT label) FILTER (stands AND share >= {COVERAGE}) AS own_set,

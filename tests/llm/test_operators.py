@@ -157,6 +157,44 @@ def test_license_places(spark, docs, odd, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def brute_labels(text):
+    """Labels of templates by trying every start, and the score."""
+    words = re.findall(license_scan.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    index = collections.defaultdict(list)
+    for word, label, base, position, anchors, _, _ in license_scan.postings():
+        if not base:
+            index[label].append((position, word, anchors))
+    phrases = {label: (t.split(), p.split()) for label, t, p in license_scan.TEMPLATES}
+    labels, best = {x for x in brute_places(text)[4].split(",") if x}, 0.0
+    for label, rows in index.items():
+        whole, phrase = phrases[label]
+        inside = next(k for k in range(len(whole)) if whole[k : k + len(phrase)] == phrase)
+        for start in range(-len(whole), len(words)):
+            share = sum(0 <= start + p < len(words) and words[start + p] == w for p, w, _ in rows) / rows[0][2]
+            stands = share > 0 and start + inside >= 0 and words[start + inside : start + inside + len(phrase)] == phrase
+            best = max(best, share if stands else share / 2)
+            if stands and share >= license_scan.COVERAGE:
+                labels.add(label)
+    return ",".join(sorted(labels)), 1.0 if brute_places(text)[1] else best
+
+
+def test_license_labels_equal_trying_every_start(spark, odd):
+    rnd = random.Random(6)
+    notices = [t for _, t, _ in license_scan.TEMPLATES]
+    rows = [(1, " ".join(notices)), (2, None), (3, "")]
+    for k in range(60):
+        words = [w for t in rnd.sample(notices, rnd.randint(1, 4)) for w in t.split()]
+        for _ in range(rnd.randint(0, 12)):  # words left out, put in and changed
+            at = rnd.randrange(len(words))
+            words[at : at + rnd.randint(0, 2)] = rnd.choice([[], ["license"], [rnd.choice(words)], ["The", "copyright"]])
+            words = words or ["x"]
+        rows.append((10 + k, rnd.choice([" ", ", ", "\n"]).join(words)))
+    rows += rows[:5]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.labels, r.score) for r in got), key=str) == sorted(((d, *brute_labels(t or "")) for d, t in rows), key=str)
+    assert set(next(r for r in got if r.doc_id == 1).labels.split(",")) >= {label for label, _, _ in license_scan.TEMPLATES}
+
+
 def test_texts_with_many_licence_words_keep_all_labels(spark):
     notice = {label: text for label, text, _ in license_scan.TEMPLATES}
     common = sorted({p[0] for p in license_scan.postings()} - {"apache"})
