@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,21 +24,30 @@ TRIPLETS = ((1, 2), (1, 3), (2, 3))
 LENGTH_STEP = 1.3
 #: The difference from which two digests count as wholly unlike.
 BOUND = 300
-#: Rows that pass through a range of ids on average, and the most ranges.
-RANGE_ROWS = 4_096
-MOST_RANGES = 20_000
+#: Bytes of text in a range of ids at most, on average; ranges for each core at least; rows sampled for each range.
+RANGE_BYTES = 64 << 20
+RANGES_A_CORE = 4
+OVERSAMPLE = 16
+#: What a row weighs beside its text, in bytes.
+ROW_BYTES = 256
+#: Bytes that are hashed together.
+CHUNK = 1 << 20
+_KEY = np.dtype([("at", "i8"), ("tie", "i8")])
 _U32 = np.uint32
 
 
 def digest(data: bytes) -> str:
     """64 hex digits of bucket quarters, 2 of length, 2 of quartile ratios. Equal bytes have equal digests."""
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    b = np.frombuffer(data, dtype=np.uint8).astype(_U32)
-    for k, (first, second) in enumerate(TRIPLETS):
-        if len(b) > second:
-            code = b[second:] << _U32(16) | b[second - first : len(b) - first] << _U32(8) | b[: len(b) - second]
-            hashed = (code + _U32(k << 24)) * _U32(0x9E3779B1)
-            counts += np.bincount(hashed >> _U32(25), minlength=BUCKETS)
+    for at in range(0, len(data), CHUNK):
+        from_ = max(0, at - 3)
+        b = np.frombuffer(data[from_ : at + CHUNK], dtype=np.uint8).astype(_U32)
+        for k, (first, second) in enumerate(TRIPLETS):
+            skip = max(second, at - from_)  # the bytes that end a triplet of this chunk
+            if len(b) > skip:
+                code = b[skip:] << _U32(16) | b[skip - first : len(b) - first] << _U32(8) | b[skip - second : len(b) - second]
+                hashed = (code + _U32(k << 24)) * _U32(0x9E3779B1)
+                counts += np.bincount(hashed >> _U32(25), minlength=BUCKETS)
     q1, q2, q3 = (int(x) for x in np.sort(counts)[[BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]])
     quarter = (counts > q1).astype(np.uint8) + (counts > q2) + (counts > q3)
     packed = quarter[::4] << 6 | quarter[1::4] << 4 | quarter[2::4] << 2 | quarter[3::4]
@@ -68,62 +78,107 @@ def likeness(a: str, b: str) -> float:
     return 1.0 - difference(a, b) / BOUND
 
 
-def _ranges(ids: DataFrame) -> list[int]:
-    """Upper ends of ranges of the column `at`, ascending, each a value of it; the last is the largest. Their number is bounded."""
-    rows, largest = ids.agg(F.count("*"), F.max("at")).first()
-    if not rows:
-        return []
-    n = min(MOST_RANGES, -(-rows // RANGE_ROWS))
-    ends = ids.stat.approxQuantile("at", [k / n for k in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    # Quantiles come as doubles: only values that doubles hold exactly serve as ends.
-    return sorted({int(x) for x in ends if abs(x) < 2**53} | {largest})
+@dataclass
+class Ranges:
+    """Ranges of the key (at, tie) by their upper ends, which are keys of rows; the last is the largest.
+
+    A key that fills several ranges, rows of one id and text, has them all: `parts` of them, of which the lowest
+    also takes the smaller keys down to the next end.
+    """
+
+    ends: np.ndarray
+    parts: np.ndarray
+
+    @property
+    def firsts(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.parts)])
+
+
+def _ranges(rows: DataFrame) -> Ranges:
+    """Ends that deal about the same number of bytes to each range, from a sample. They take about 4 bytes on the driver for a megabyte of text."""
+    weight = F.octet_length("text") + ROW_BYTES
+    size, top = rows.agg(F.sum(weight), F.max("at")).first()
+    if top is None:
+        return Ranges(np.zeros(0, _KEY), np.zeros(0, np.int64))
+    wanted = max(-(-size // RANGE_BYTES), RANGES_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+    unit = max(1, size // (wanted * OVERSAMPLE))
+    sampled = rows.where(F.rand(9) * unit < weight).select("at", "tie")  # only the sizes of ranges depend on chance
+    last = rows.where(F.col("at") == top).agg(F.max("tie")).first()[0]
+    held = sampled.groupBy("at", "tie").agg(F.count("*").alias("n")).collect()
+    keys = np.array(sorted((r["at"], r["tie"], r["n"]) for r in held), dtype=[*_KEY.descr, ("n", "i8")])
+    before = np.cumsum(keys["n"]) - keys["n"]
+    parts = (before + keys["n"]) // OVERSAMPLE - before // OVERSAMPLE
+    ends = np.concatenate([keys[["at", "tie"]][parts > 0].astype(_KEY), np.array([(top, last)], _KEY)])
+    parts = np.concatenate([parts[parts > 0], [1]])
+    if len(ends) > 1 and ends[-1] == ends[-2]:
+        ends, parts = ends[:-1], parts[:-1]
+    return Ranges(ends, parts)
 
 
 def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text, its edited text, and the next document, by descending doc_id, compared.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; one row per input row.
-    Null text is the empty text. Rows with one doc_id follow each other by their text; rows without doc_id come
-    last. A table's only row is its own next. An empty table gives no rows.
+    Null text is the empty text. Rows with one doc_id, or with none, which come last, follow each other by a hash of
+    their text, so equal ones follow each other. A table's only row is its own next. An empty table gives no rows, and
+    other columns are not read. A very long text lies in one task, where it is hashed in pieces of bounded size.
 
     The texts are shuffled once, into ranges of ids; the first row of each range is also sent to the range before.
     """
     doc_id = F.col(id_col).cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(2**63))).alias("at"), whole_text(text_col).alias("text"))
-    bounds = np.array(_ranges(rows.select("at")), dtype=np.int64)
+    text = whole_text(text_col)
+    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(2**63))).alias("at"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    found = _ranges(rows)
+    ranges_, n = docs.sparkSession.sparkContext.broadcast(found), len(found.ends)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, ranges = 0, ranges_.value
+        firsts = ranges.firsts
         for batch in batches:
-            at = batch.column(1).to_numpy()
-            part = np.searchsorted(bounds, at)
+            if not batch.num_rows:
+                continue
+            key = np.empty(batch.num_rows, _KEY)
+            key["at"], key["tie"] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            group = np.searchsorted(ranges.ends, key)
+            ends = np.flatnonzero(ranges.ends[group] == key)
+            part = firsts[group]
+            # Rows of an end's key are dealt over its ranges, the first of a batch to the lowest.
+            held, first, which = np.unique(group[ends], return_index=True, return_inverse=True)
+            part[ends] += (np.arange(len(ends)) + turn) % ranges.parts[group[ends]]
+            part[ends[first]] = firsts[held]
+            turn += len(ends)
             # In descending order, a range begins with its end, which follows the range above; the lowest is followed by the highest.
-            guests = np.flatnonzero(bounds[part] == at)
-            index = np.concatenate([np.arange(len(at)), guests])
-            parts = np.concatenate([part, (part[guests] + 1) % len(bounds)])
-            guest = np.arange(len(index)) >= len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(guest), *batch.take(pa.array(index)).columns], names=["part", "guest", "doc_id", "at", "text"])
+            index = np.concatenate([np.arange(len(key)), ends[first]])
+            parts = np.concatenate([part, firsts[(held + 1) % n]])
+            guest = np.arange(len(index)) >= len(key)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(guest), *batch.take(pa.array(index)).columns], names=["part", "guest", "doc_id", "at", "tie", "text"])
 
-    dealt = rows.mapInArrow(deal, "part long, guest boolean, doc_id long, at long, text string")
-    dealt = dealt.repartition("part").sortWithinPartitions("part", "guest", F.desc("at"), "text").select("part", "guest", "doc_id", "text")
+    dealt = rows.mapInArrow(deal, "part long, guest boolean, doc_id long, at long, tie long, text string")
+    dealt = dealt.repartitionById(max(1, int(found.firsts[-1])), F.col("part").cast("int")).sortWithinPartitions("part", "guest", F.desc("at"), F.desc("tie")).select("part", "guest", "doc_id", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # part, doc_id, text, fingerprint
         closed = None
+
+        def last() -> tuple:
+            # Only a range that one key has beside others ends without a guest: the row that follows is the same again.
+            if held[0] in ranges_.value.firsts[:-1]:
+                raise ValueError("a range has no next row")
+            return _compared(*held[1:], *held[2:])
+
         for batch in batches:
             out: list[tuple] = []
             for part, guest, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part == closed:
                     continue  # guests after the first
-                mark = digest(text.encode())
+                mark = held[3] if held is not None and held[2] == text else digest(text.encode())
                 if held is not None:
-                    if held[0] != part:
-                        raise ValueError("a range has no next row")
-                    out.append(_compared(held[1], held[2], held[3], text, mark))
+                    out.append(last() if held[0] != part else _compared(held[1], held[2], held[3], text, mark))
                 held = None if guest else (part, doc_id, text, mark)
                 closed = part if guest else closed
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_TYPES)], names=_NAMES)
         if held is not None:
-            raise ValueError("a range has no next row")
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(last(), _TYPES, strict=True)], names=_NAMES)
 
     return dealt.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 

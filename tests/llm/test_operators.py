@@ -363,7 +363,7 @@ def test_estimates_are_close_to_the_similarity():
 
 
 def test_fingerprints(spark, docs, odd, empty, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 16)
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 20_000)
     for frame in (docs.select("doc_id", "text"), odd.select("doc_id", "text"), odd.where("doc_id = 3").select("doc_id", "text")):
         rows = sorted(pairs(frame), key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), r[1]))
         expected = []
