@@ -2,9 +2,10 @@
 
 A line's key is the line with white space stripped at both ends and A-Z lower-cased. The state of a corpus is the
 table of references (key, doc_id), the counts made from it (documents that hold a key, and the largest of them), and
-a cuckoo filter for each shard of the keys. Documents can be inserted and deleted; the filters answer "certainly
-not known" for most keys, so only the rest meet the exact tables, and a key goes from its filter with its last
-reference.
+a cuckoo filter for each shard of the keys. Documents come and go in batches. An insert writes the batch's own rows
+and nothing else: keys that the filters don't know are new and go straight into the table of counts, only the others
+are looked up there. A delete counts the keys of the leaving documents again, and a key leaves its filter with its
+last reference. When the keys outgrow their shards, the filters are made anew with more of them.
 
 Lines are removed by exact counts only: a filter's false positive costs time, never a line.
 """
@@ -12,7 +13,8 @@ Lines are removed by exact counts only: a filter's false positive costs time, ne
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,12 @@ from sluice.llm.common import Scratch, lower_ascii, whole_text
 MIN_CHARS = 20
 MIN_DOCS = 3
 BLANK = " \t\n\x0b\x0c\r"
-#: Keys that a shard's filter holds on average.
+#: Keys that a shard's filter is made for; the shards are doubled when they hold twice as many on average.
 SHARD_KEYS = 32_768
-#: Filters are sent to all tasks only if they take no more than this; else all references meet the exact table.
-FILTER_BYTES = 64 << 20
+#: Of a hundred documents, how many come with the first batch of line_report, and how many of them are withdrawn again.
+FIRST_BATCH, WITHDRAWN = 50, 5
 SLOTS = 4
-KICKS = 200
+KICKS = 500
 _U64 = np.uint64
 
 
@@ -39,7 +41,7 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 
 class CuckooFilter:
-    """A set of 128-bit keys with deletion: 15-bit fingerprints in buckets of four, and an exact stash.
+    """A set of 128-bit keys with deletion: 15-bit fingerprints in buckets of four, and what doesn't fit in a stash.
 
     A key may be held several times; delete() removes one copy and must only be called for a key that is held.
     """
@@ -47,7 +49,7 @@ class CuckooFilter:
     def __init__(self, expected: int):
         self.buckets = 1 << max(2, int(np.ceil(np.log2(max(1, expected) / (SLOTS * 0.85)))))
         self.table = np.zeros((self.buckets, SLOTS), dtype=np.uint16)
-        self.stash: dict[tuple[int, int], int] = {}
+        self.stash: dict[tuple[int, int], int] = {}  # (the lower of its buckets, fingerprint): copies
 
     def _places(self, k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         prints = (_spread(k2.view(_U64)) >> _U64(49)).astype(np.uint16) | np.uint16(1 << 15)
@@ -58,53 +60,57 @@ class CuckooFilter:
         return at ^ ((_spread(np.asarray(prints, dtype=_U64)) >> _U64(7)) & _U64(self.buckets - 1)).astype(np.int64)
 
     def insert(self, k1: np.ndarray, k2: np.ndarray) -> None:
-        prints, first, second = self._places(k1, k2)
-        for n in range(len(prints)):
-            if not (self._put(first[n], prints[n]) or self._put(second[n], prints[n]) or self._kick(second[n], prints[n])):
-                key = (int(k1[n]), int(k2[n]))
-                self.stash[key] = self.stash.get(key, 0) + 1
-
-    def _put(self, at: int, print_: int) -> bool:
-        free = np.flatnonzero(self.table[at] == 0)
-        if len(free):
-            self.table[at, free[0]] = print_
-        return bool(len(free))
-
-    def _kick(self, at: int, print_: int) -> bool:
-        """Move fingerprints to their other buckets until one is free; undone if none is found."""
-        path = []
+        prints, at, second = self._places(k1, k2)
+        left = self._put(at, prints)
+        prints, at = prints[left], second[left]
         for turn in range(KICKS):
-            slot = turn % SLOTS
-            path.append((at, slot, self.table[at, slot]))
-            self.table[at, slot], print_ = print_, self.table[at, slot]
-            at = int(self._other(np.array([at]), np.array([print_]))[0])
-            if self._put(at, print_):
-                return True
-        for at, slot, before in reversed(path):
-            self.table[at, slot] = before
-        return False
+            left = self._put(at, prints)
+            prints, at = prints[left], at[left]
+            if not len(at):
+                return
+            # One fingerprint in each full bucket makes room, and goes on to its other bucket.
+            full, one = np.unique(at, return_index=True)
+            moved = self.table[full, turn % SLOTS].copy()
+            self.table[full, turn % SLOTS] = prints[one]
+            stay = np.ones(len(at), dtype=bool)
+            stay[one] = False
+            prints, at = np.concatenate([prints[stay], moved]), np.concatenate([at[stay], self._other(full, moved)])
+        for key in self._stashed(at, prints):
+            self.stash[key] = self.stash.get(key, 0) + 1
+
+    def _stashed(self, at: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
+        return list(zip(np.minimum(at, self._other(at, prints)).tolist(), prints.tolist(), strict=True))
+
+    def _put(self, at: np.ndarray, prints: np.ndarray) -> np.ndarray:
+        """Put fingerprints into free slots of their buckets; the places of those that found none."""
+        order = np.argsort(at, kind="stable")
+        own = at[order]
+        turn = np.arange(len(own)) - np.searchsorted(own, own)  # among those that want the same bucket
+        used = self.table[own] != 0
+        fits = turn < SLOTS - used.sum(axis=1)
+        slot = np.argsort(used, axis=1, kind="stable")[np.arange(len(own)), np.minimum(turn, SLOTS - 1)]
+        self.table[own[fits], slot[fits]] = prints[order[fits]]
+        return np.sort(order[~fits])
 
     def contains(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
         prints, first, second = self._places(k1, k2)
         found = ((self.table[first] == prints[:, None]) | (self.table[second] == prints[:, None])).any(axis=1)
         if self.stash:
-            found |= np.fromiter(((a, b) in self.stash for a, b in zip(k1.tolist(), k2.tolist(), strict=True)), bool, len(k1))
+            found |= np.fromiter((key in self.stash for key in self._stashed(first, prints)), bool, len(prints))
         return found
 
     def delete(self, k1: np.ndarray, k2: np.ndarray) -> None:
         prints, first, second = self._places(k1, k2)
-        for n in range(len(prints)):
-            key = (int(k1[n]), int(k2[n]))
-            if key in self.stash:
-                self.stash[key] -= 1
-                if not self.stash[key]:
-                    del self.stash[key]
-                continue
-            for at in (first[n], second[n]):
-                held = np.flatnonzero(self.table[at] == prints[n])
+        for print_, a, b, key in zip(prints.tolist(), first.tolist(), second.tolist(), self._stashed(first, prints), strict=True):
+            for at in (a, b):
+                held = np.flatnonzero(self.table[at] == print_)
                 if len(held):
                     self.table[at, held[0]] = 0
                     break
+            else:
+                self.stash[key] -= 1
+                if not self.stash[key]:
+                    del self.stash[key]
 
     def to_bytes(self) -> bytes:
         stash = np.array([(a, b, n) for (a, b), n in sorted(self.stash.items())], dtype="<i8").tobytes()
@@ -124,20 +130,19 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(BLANK)))
 
 
-def _hashes(key: Column) -> list[Column]:
-    """128 bits of the key; keys are told apart by them."""
-    return [F.xxhash64(F.lit(1), key).alias("k1"), F.xxhash64(F.lit(2), key).alias("k2")]
-
-
 def references(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, k1, k2) of each line whose key has `min_chars` code points or more. Rows without doc_id hold none."""
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.explode(F.split(whole_text(text_col), "\n")).alias("line"))
-    keys = lines.select("doc_id", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return keys.select("doc_id", *_hashes(F.col("key")))
+    """(doc_id, tie, place, k1, k2) of each line whose key has `min_chars` code points or more, with a hash of its text.
+
+    k1 and k2 are 128 bits of the key, by which keys are told apart. Rows without doc_id hold no references.
+    """
+    text = whole_text(text_col)
+    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    keys = lines.select("doc_id", "tie", "place", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    return keys.select("doc_id", "tie", "place", F.xxhash64(F.lit(1), "key").alias("k1"), F.xxhash64(F.lit(2), "key").alias("k2"))
 
 
 def reference_counts(refs: DataFrame) -> DataFrame:
-    """(k1, k2, n_docs, max_doc): the exact reference-count table."""
+    """(k1, k2, n_docs, max_doc): how many documents hold a key, and the largest of them."""
     return refs.groupBy("k1", "k2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
 
@@ -145,192 +150,175 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.col("k1"), F.lit(shards)).alias("shard")
 
 
-def build_filters(keys: DataFrame, shards: int) -> DataFrame:
-    """(shard, filter) over the keys (k1, k2); a shard's keys pass through one task in order and are not collected."""
-    schema = "shard long, filter binary"
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts = None, []
-
-        def made() -> pa.RecordBatch:
-            k1, k2 = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-            one = CuckooFilter(len(k1))
-            one.insert(k1, k2)
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([one.to_bytes()], pa.binary())], names=["shard", "filter"])
-
-        for batch in batches:
-            shard, k1, k2 = (batch.column(i).to_numpy() for i in range(3))
-            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1), len(shard)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b > a:
-                    if at is not None and shard[a] != at:
-                        yield made()
-                        parts = []
-                    at = int(shard[a])
-                    parts.append((k1[a:b], k2[a:b]))
-        if at is not None:
-            yield made()
-
-    return keys.select(_shard(shards), "k1", "k2").repartition("shard").sortWithinPartitions("shard").mapInArrow(build, schema)
-
+@dataclass(frozen=True)
+class LineState:
+    """Exact tables and filters of a corpus. Every operation returns a new state, so each can be taken back.
 
-def _known(refs: DataFrame, filters: dict[int, bytes], shards: int) -> DataFrame:
-    """The references whose key may be in a filter."""
-    sent = refs.sparkSession.sparkContext.broadcast(filters)
+    Tables are runs: what an insert or a delete has written. Of several rows of counts the newest holds.
+    """
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = {shard: CuckooFilter.from_bytes(data) for shard, data in sent.value.items()}
-        for batch in batches:
-            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            shard, keep = np.mod(k1, shards), np.zeros(len(k1), bool)
-            for s in np.unique(shard).tolist():
-                if s in mine:
-                    at = shard == s
-                    keep[at] = mine[s].contains(k1[at], k2[at])
-            yield batch.filter(pa.array(keep))
+    scratch: Scratch
+    runs: tuple[tuple[int, DataFrame], ...] = ()  # version, references
+    gone: tuple[tuple[int, DataFrame], ...] = ()  # version, doc_ids that left
+    tables: tuple[DataFrame, ...] = ()  # k1, k2, n_docs, max_doc, version
+    filters: DataFrame | None = None  # shard, filter
+    keys: int = 0
+    shards: int = 1
+    version: int = 0
 
-    return refs.mapInArrow(probe, refs.schema)
+    @property
+    def refs(self) -> DataFrame:
+        """The references of all documents that are in."""
+        alive = [reduce(lambda r, g: r.join(g, "doc_id", "left_anti"), [ids for v, ids in self.gone if v > version], run) for version, run in self.runs]
+        return reduce(DataFrame.unionByName, alive)
 
+    @property
+    def counts(self) -> DataFrame:
+        """(k1, k2, n_docs, max_doc) of every key that is held."""
+        every = reduce(DataFrame.union, self.tables)
+        newest = every.groupBy("k1", "k2").agg(F.max_by(F.struct("n_docs", "max_doc"), "version").alias("now"))
+        return newest.select("k1", "k2", "now.*").where("n_docs > 0")
 
-@dataclass
-class LineState:
-    """Exact tables and filters of a corpus; every operation returns a new state, so each can be taken back."""
 
-    refs: DataFrame  # doc_id, k1, k2; distinct
-    counts: DataFrame  # k1, k2, n_docs, max_doc
-    filters: DataFrame  # shard, filter: over the keys of counts
-    shards: int
-    scratch: Scratch
-    version: int = 0
+def empty_state(docs: DataFrame) -> LineState:
+    """The state of no documents; its tables are written to the session's shared folder."""
+    return LineState(Scratch(docs.sparkSession, "line-state"))
 
 
-def new_state(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> LineState:
-    """The state of a first set of documents."""
-    scratch = Scratch(docs.sparkSession, "line-state")
-    refs = scratch.keep(references(docs, min_chars, id_col, text_col).distinct(), "refs-0")
-    counts = scratch.keep(reference_counts(refs), "counts-0")
-    shards = max(1, -(-counts.count() // SHARD_KEYS))
-    return LineState(refs, counts, scratch.keep(build_filters(counts, shards), "filters-0"), shards, scratch)
+def insert_documents(state: LineState, docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> LineState:
+    """Add documents. One that is in already changes nothing: take it out first to change its text."""
+    refs = references(docs, min_chars, id_col, text_col)
+    if state.runs:
+        refs = refs.join(state.refs.select("doc_id").distinct(), "doc_id", "left_anti")
+    return insert_references(state, state.scratch.keep(refs, f"refs-{state.version + 1}"))
 
 
-def insert_documents(state: LineState, docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> LineState:
-    """Add documents. Keys that no filter knows are new; only the others are looked up in the count table."""
+def insert_references(state: LineState, refs: DataFrame) -> LineState:
+    """Add the references of documents that are not in; `refs` is a table that stays."""
     n, keep = state.version + 1, state.scratch.keep
-    fresh = references(docs, min_chars, id_col, text_col).distinct()
-    fresh = keep(fresh.join(state.refs, ["doc_id", "k1", "k2"], "left_anti"), f"fresh-{n}")
-    added = keep(reference_counts(fresh), f"added-{n}")
-    probed = _probe_shards(added, state)
-    old = state.counts.select("k1", "k2", F.col("n_docs").alias("had"), F.col("max_doc").alias("had_max"))
-    known = probed.where("maybe").join(old, ["k1", "k2"], "left")
-    merged = known.select("k1", "k2", (F.col("n_docs") + F.coalesce("had", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "had_max").alias("max_doc"))
-    changed = keep(merged.union(probed.where("not maybe").select("k1", "k2", "n_docs", "max_doc")), f"changed-{n}")
-    counts = keep(state.counts.join(changed, ["k1", "k2"], "left_anti").union(changed), f"counts-{n}")
-    new_keys = changed.join(state.counts, ["k1", "k2"], "left_anti")
-    filters = keep(_change_filters(state, new_keys, add=True), f"filters-{n}")
-    return LineState(keep(state.refs.union(fresh), f"refs-{n}"), counts, filters, state.shards, state.scratch, n)
+    added = reference_counts(refs)
+    if state.filters is None:
+        fresh = keep(added.withColumn("version", F.lit(n)), f"counts-{n}")
+        new = fresh.select("k1", "k2")
+    else:
+        probed = keep(_probe(added, state), f"probed-{n}")
+        known = probed.where("maybe").join(state.counts.select("k1", "k2", F.col("n_docs").alias("had"), F.col("max_doc").alias("had_max")), ["k1", "k2"], "left")
+        known = known.select("k1", "k2", (F.col("n_docs") + F.coalesce("had", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "had_max").alias("max_doc"), F.col("had").isNull().alias("new"))
+        fresh = keep(known.union(probed.where("not maybe").select("k1", "k2", "n_docs", "max_doc", F.lit(True))).withColumn("version", F.lit(n)), f"counts-{n}")
+        state.scratch.drop(f"probed-{n}")
+        new = fresh.where("new").select("k1", "k2")
+    made = replace(state, runs=(*state.runs, (n, refs)), tables=(*state.tables, fresh.select("k1", "k2", "n_docs", "max_doc", "version")), keys=state.keys + new.count(), version=n)
+    shards = made.shards
+    while made.keys > 2 * SHARD_KEYS * shards:
+        shards *= 2
+    if state.filters is None or shards > made.shards:
+        made = replace(made, shards=shards, filters=None)
+        return replace(made, filters=keep(_changed(made, made.counts.select("k1", "k2"), add=True), f"filters-{n}"))
+    return replace(made, filters=keep(_changed(state, new, add=True), f"filters-{n}"))
 
 
 def delete_documents(state: LineState, doc_ids: DataFrame) -> LineState:
-    """Take documents (doc_id) out again; keys without references leave their filter."""
+    """Take documents (doc_id) out again; keys without references leave their filter. Unknown ids change nothing."""
     n, keep = state.version + 1, state.scratch.keep
-    gone = state.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    touched = keep(gone.select("k1", "k2").distinct(), f"touched-{n}")
-    refs = keep(state.refs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"), f"refs-{n}")
-    again = keep(reference_counts(refs.join(touched, ["k1", "k2"], "left_semi")), f"again-{n}")
-    counts = keep(state.counts.join(touched, ["k1", "k2"], "left_anti").union(again), f"counts-{n}")
-    filters = keep(_change_filters(state, touched.join(again, ["k1", "k2"], "left_anti"), add=False), f"filters-{n}")
-    return LineState(refs, counts, filters, state.shards, state.scratch, n)
+    ids = keep(doc_ids.select("doc_id").where("doc_id is not null").distinct(), f"gone-{n}")
+    touched = keep(state.refs.join(ids, "doc_id", "left_semi").select("k1", "k2").distinct(), f"touched-{n}")
+    made = replace(state, gone=(*state.gone, (n, ids)), version=n)
+    again = reference_counts(made.refs.join(touched, ["k1", "k2"], "left_semi"))
+    again = touched.join(again, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "max_doc", F.lit(n).alias("version"))
+    again = keep(again, f"counts-{n}")
+    state.scratch.drop(f"touched-{n}")
+    last = again.where("n_docs = 0").select("k1", "k2")
+    made = replace(made, tables=(*state.tables, again), keys=state.keys - last.count())
+    return replace(made, filters=keep(_changed(state, last, add=False), f"filters-{n}"))
+
+
+def _behind_filters(keys: DataFrame, state: LineState) -> DataFrame:
+    """Distinct keys dealt by shard behind their shard's filter; keys are hashed, so no shard is much larger."""
+    rows = keys.select(_shard(state.shards), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("filter"), *keys.columns)
+    if state.filters is not None:
+        rows = rows.unionByName(state.filters.select("shard", F.lit(0).alias("kind"), "filter", *(F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in keys.columns)))
+    return rows.repartition("shard").sortWithinPartitions("shard", "kind")
 
 
-def _sharded(keys: DataFrame, state: LineState) -> DataFrame:
-    """Distinct keys dealt by shard behind their shard's filter; keys are hashed, so no shard is much larger."""
-    columns = ["k1", "k2", *(c for c in keys.columns if c not in ("k1", "k2"))]
-    rows = keys.select(_shard(state.shards), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("filter"), *columns)
-    heads = state.filters.select("shard", F.lit(0).alias("kind"), "filter", *(F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in columns))
-    return heads.unionByName(rows).repartition("shard").sortWithinPartitions("shard", "kind")
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int]]:
+    """(shard, kind, from, to) of rows that belong together."""
+    shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(shard) | np.diff(kind)) + 1).tolist(), len(shard)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield int(shard[a]), int(kind[a]), a, b
 
 
-def _probe_shards(keys: DataFrame, state: LineState) -> DataFrame:
+def _probe(keys: DataFrame, state: LineState) -> DataFrame:
+    """keys with `maybe`: whether their shard's filter may hold them."""
     columns = keys.columns
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, one = None, None
         for batch in batches:
-            shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
-            maybe = np.zeros(len(shard), bool)
-            cuts = [0, *(np.flatnonzero(np.diff(shard) | np.diff(kind)) + 1), len(shard)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b > a and kind[a] == 0:
-                    at, one = shard[a], CuckooFilter.from_bytes(batch.column("filter")[int(a)].as_py())
-                elif b > a and shard[a] == at:
+            maybe = np.zeros(batch.num_rows, bool)
+            for shard, kind, a, b in _stretches(batch):
+                if kind == 0:
+                    at, one = shard, CuckooFilter.from_bytes(batch.column("filter")[a].as_py())
+                elif shard == at:
                     maybe[a:b] = one.contains(batch.column("k1")[a:b].to_numpy(), batch.column("k2")[a:b].to_numpy())
             made = pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(maybe)], names=[*columns, "maybe"])
-            yield made.filter(pa.array(kind == 1))
+            yield made.filter(pa.array(batch.column("kind").to_numpy() == 1))
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema.fields)
-    return _sharded(keys, state).mapInArrow(probe, f"{types}, maybe boolean")
+    return _behind_filters(keys, state).mapInArrow(probe, f"{types}, maybe boolean")
 
 
-def _change_filters(state: LineState, keys: DataFrame, add: bool) -> DataFrame:
-    """The filters after inserting or deleting the keys (k1, k2)."""
+def _changed(state: LineState, keys: DataFrame, add: bool) -> DataFrame:
+    """The filters after inserting or deleting the keys (k1, k2), one for each shard that has had any."""
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
+        def made() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([one.to_bytes()], pa.binary())], names=["shard", "filter"])
 
         at, one = None, None
         for batch in batches:
-            shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(shard) | np.diff(kind)) + 1), len(shard)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b <= a:
-                    continue
-                if shard[a] != at:
+            for shard, kind, a, b in _stretches(batch):
+                if shard != at:
                     if at is not None:
-                        yield flush()
-                    at, one = int(shard[a]), None
-                if kind[a] == 0:
-                    one = CuckooFilter.from_bytes(batch.column("filter")[int(a)].as_py())
+                        yield made()
+                    at, one = shard, None
+                if kind == 0:
+                    one = CuckooFilter.from_bytes(batch.column("filter")[a].as_py())
                     continue
-                one = one or CuckooFilter(SHARD_KEYS)
+                one = one or CuckooFilter(2 * SHARD_KEYS)
                 (one.insert if add else one.delete)(batch.column("k1")[a:b].to_numpy(), batch.column("k2")[a:b].to_numpy())
         if at is not None:
-            yield flush()
+            yield made()
 
-    return _sharded(keys.select("k1", "k2"), state).mapInArrow(change, "shard long, filter binary")
+    return _behind_filters(keys, state).mapInArrow(change, "shard long, filter binary")
 
 
-def _drops(refs: DataFrame, counts: DataFrame, min_docs: int) -> DataFrame:
-    """(doc_id, drop): the keys that a document loses, each as one string of its two hashes."""
-    common = counts.where(F.col("n_docs") >= min_docs).select("k1", "k2", "max_doc")
-    lost = refs.join(common, ["k1", "k2"]).where(F.col("doc_id") != F.col("max_doc"))
-    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("drop"))
+def _drops(state: LineState, min_docs: int) -> DataFrame:
+    """(doc_id, tie, drop): the places of the lines that a text loses."""
+    common = state.counts.where(F.col("n_docs") >= min_docs).select("k1", "k2", "max_doc")
+    lost = state.refs.join(common, ["k1", "k2"]).where(F.col("doc_id") != F.col("max_doc"))
+    return lost.groupBy("doc_id", "tie").agg(F.collect_set("place").alias("drop"))
 
 
 def _rewritten(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with __lines (array) and __kept (the lines that stay)."""
-    joined = docs.join(drops.select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop")), F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
-    joined = joined.withColumn("__lines", F.split(whole_text(text_col), "\n"))
-
-    def stays(line: Column) -> Column:
-        k1, k2 = _hashes(line_key(line))
-        return ~F.array_contains("__drop", F.struct(k1, k2))
+    """(row, lines, kept): the row of docs as a struct, its lines, and those that stay."""
+    text = whole_text(text_col)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.split(text, "\n").alias("lines"))
+    joined = rows.join(drops, ["doc_id", "tie"], "left")
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.transform(places, lambda k: F.get("lines", k)))
+    return joined.select("row", "lines", kept.alias("kept"))
 
-    return joined.withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.filter("__lines", stays))).drop("__drop")
 
-
-def _plan(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, text_col: str) -> DataFrame:
-    scratch = Scratch(docs.sparkSession, "line-dedup")
-    refs = references(docs, min_chars, id_col, text_col)
-    common = scratch.keep(reference_counts(refs).where(F.col("n_docs") >= min_docs), "common")
-    held = common.count()
-    # About 2.4 bytes a key, doubled for tables that are half full; the filters are measured before they are sent.
-    if held * 5 <= FILTER_BYTES:
-        shards = max(1, -(-held // SHARD_KEYS))
-        filters = scratch.keep(build_filters(common, shards), "filters")
-        if (filters.agg(F.sum(F.length("filter"))).first()[0] or 0) <= FILTER_BYTES:
-            refs = _known(refs, {r["shard"]: bytes(r["filter"]) for r in filters.collect()}, shards)
-    return _drops(refs, common, min_docs)
+def _batches(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> LineState:
+    """The state after the documents have come in two batches, and a part of the first was withdrawn and came again."""
+    state = empty_state(docs)
+    refs = state.scratch.keep(references(docs, min_chars, id_col, text_col), "refs")
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(100))
+    state = insert_references(state, refs.where(turn < FIRST_BATCH))
+    state = delete_documents(state, refs.where(turn < WITHDRAWN))
+    return insert_references(state, refs.where((turn < WITHDRAWN) | (turn >= FIRST_BATCH)))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,21 +326,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     A key of `min_chars` code points or more that `min_docs` documents hold loses all its lines but those of the
     largest doc_id that holds it. Null text counts as one empty line and becomes the empty text. Rows that share a
-    doc_id are one document. Rows without doc_id hold no references and lose nothing.
+    doc_id are one document. Rows without doc_id hold no references and lose nothing. An empty table stays empty.
     """
-    kept = _rewritten(docs, _plan(docs, min_chars, min_docs, id_col, text_col), id_col, text_col)
-    return kept.withColumn(text_col, F.array_join("__kept", "\n")).select(*docs.columns)
+    return state_report(_batches(docs, min_chars, id_col, text_col), docs, min_docs, id_col, text_col)
 
 
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_sha256) of dedup_lines, one row per input row."""
+    """(doc_id, n_lines, n_dropped, kept_sha256) of dedup_lines, one row per input row; the same cases."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kept = _rewritten(narrow, _plan(narrow, min_chars, min_docs, "doc_id", "text"), "doc_id", "text")
-    n, m = F.size("__lines").cast("long"), F.size("__kept").cast("long")
-    return kept.select("doc_id", n.alias("n_lines"), (n - m).alias("n_dropped"), F.sha2(F.array_join("__kept", "\n"), 256).alias("kept_sha256"))
+    kept = _rewritten(narrow, _drops(_batches(narrow, min_chars, "doc_id", "text"), min_docs), "doc_id", "text")
+    n, m = F.size("lines").cast("long"), F.size("kept").cast("long")
+    return kept.select("row.doc_id", n.alias("n_lines"), (n - m).alias("n_dropped"), F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
 
 
 def state_report(state: LineState, docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs as dedup_lines gives them, by the counts of an incremental state."""
-    kept = _rewritten(docs, _drops(state.refs, state.counts, min_docs), id_col, text_col)
-    return kept.withColumn(text_col, F.array_join("__kept", "\n")).select(*docs.columns)
+    """docs as dedup_lines gives them, by the counts of a state that holds these texts."""
+    kept = _rewritten(docs, _drops(state, min_docs), id_col, text_col)
+    return kept.select(*(F.array_join("kept", "\n").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

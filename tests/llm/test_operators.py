@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import chat_format, fingerprints, license_scan, line_dedup, near_dedup, packing, piece_codec, quality_classifier, quality_rules, template, token_counts
 
@@ -257,16 +258,34 @@ def test_line_dedup(docs, odd, empty):
     assert line_dedup.line_report(empty).count() == 0
 
 
-def test_inserts_and_deletes_are_reversible(docs):
-    first, second = docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0")
-    state = line_dedup.new_state(first)
-    both = line_dedup.insert_documents(state, second)
-    whole = line_dedup.new_state(docs)
+def test_inserts_and_deletes_are_reversible(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 50)  # the shards grow on the way
+    parts = [docs.where(f"doc_id % 4 = {k}") for k in range(4)]
     rows = lambda frame: sorted(map(tuple, frame.collect()))
-    assert rows(both.counts) == rows(whole.counts)
-    assert sorted(pairs(line_dedup.state_report(both, docs)), key=str) == brute_lines(pairs(docs))
-    back = line_dedup.delete_documents(both, second.select("doc_id"))
-    assert rows(back.counts) == rows(state.counts) and rows(back.refs) == rows(state.refs)
+    states = [line_dedup.insert_documents(line_dedup.empty_state(docs), parts[0])]
+    for part in parts[1:]:
+        states.append(line_dedup.insert_documents(states[-1], part))
+    assert states[-1].shards > states[0].shards > 1
+    whole = line_dedup.insert_documents(line_dedup.empty_state(docs), docs)
+    assert rows(states[-1].counts) == rows(whole.counts) and rows(states[-1].refs) == rows(whole.refs)
+    assert sorted(pairs(line_dedup.state_report(states[-1], docs)), key=str) == brute_lines(pairs(docs))
+    back = line_dedup.delete_documents(line_dedup.delete_documents(states[-1], parts[3]), parts[2].union(parts[3]))
+    assert rows(back.counts) == rows(states[1].counts) and rows(back.refs) == rows(states[1].refs) and back.keys == states[1].keys
+    again = line_dedup.insert_documents(line_dedup.insert_documents(back, parts[3]), docs)
+    assert rows(again.counts) == rows(whole.counts) and again.keys == whole.keys
+    # The filters know every key that is held, and hardly any other.
+    held, other = again.counts.select("k1", "k2"), again.counts.select(F.expr("k1 + 1").alias("k1"), "k2")
+    assert line_dedup._probe(held, again).where("not maybe").isEmpty()
+    assert line_dedup._probe(other, again).where("maybe").count() < 0.02 * other.count()
+    assert line_dedup._probe(whole.counts.join(back.counts, ["k1", "k2"], "left_anti").select("k1", "k2"), back).where("maybe").count() < 0.02 * again.keys
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    line = "a line that several documents hold"
+    rows = [(k, f"{line}\nown {k}", k, "x", [f"{k}"], k * 10) for k in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __id long, drop string, __lines array<string>, tie long")
+    got = sorted(map(tuple, line_dedup.dedup_lines(frame).collect()))
+    assert got == [(k, t if k == 4 else f"own {k}", *more) for k, t, *more in rows]
 
 
 def test_cuckoo_filters_hold_and_forget():
@@ -277,6 +296,12 @@ def test_cuckoo_filters_hold_and_forget():
     again = line_dedup.CuckooFilter.from_bytes(held.to_bytes())
     assert again.contains(*keys[:, :4000]).all() and again.contains(*keys[:, 4000:]).mean() < 0.01
     again.delete(*keys[:, :2000])
+    small = line_dedup.CuckooFilter(100)
+    small.insert(*keys[:, :300])  # far beyond its size: the rest is stashed
+    small = line_dedup.CuckooFilter.from_bytes(small.to_bytes())
+    assert small.stash and small.contains(*keys[:, :300]).all()
+    small.delete(*keys[:, :300])
+    assert not small.stash and not small.table.any()
     assert again.contains(*keys[:, 2000:4000]).all() and again.contains(*keys[:, :2000]).mean() < 0.01
 
 
