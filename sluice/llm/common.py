@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,17 +46,25 @@ def ship(spark: SparkSession) -> None:
 class Scratch:
     """Intermediate tables in the folder that all executors share.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where that is unset.
-    A table written here cuts the lineage, and outlives the executor that made it.
+    The folder is the session's spark.checkpoint.dir. Only a local session, which has no other machines, gets a
+    temporary one where that is unset; elsewhere that is an error. A table written here cuts the lineage, and outlives
+    the executor that made it. Tables are removed by drop() and remove(), and what is left when Python ends.
     """
 
+    _collectors: list[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = tempfile.mkdtemp(prefix="spark-shared-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        for collector in self._collectors:
+            collector.append(self)
+        atexit.register(self._at_exit)
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         """Write the frame, and read it back."""
@@ -63,6 +74,29 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Remove a table that no later step reads."""
+        self._delete(f"{self.root}/{name}")
+
+    def remove(self) -> None:
+        """Remove all tables; nothing made of them can be read any more."""
+        self._delete(self.root)
+        atexit.unregister(self._at_exit)
+
+    def _delete(self, path: str) -> None:
         jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(sc.hadoopConfiguration()).delete(path, True)
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc.hadoopConfiguration()).delete(at, True)
+
+    def _at_exit(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            self._delete(self.root)
+
+    @classmethod
+    @contextlib.contextmanager
+    def collected(cls) -> Iterator[list[Scratch]]:
+        """All that are made inside, so that a caller who has written the result can remove them."""
+        made: list[Scratch] = []
+        cls._collectors.append(made)
+        try:
+            yield made
+        finally:
+            cls._collectors.pop()

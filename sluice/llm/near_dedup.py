@@ -7,7 +7,8 @@ threshold are left there; all others are confirmed on the full sets.
 
 Texts with equal sets form one class, and only the class's smallest document goes on. Within a bucket of a band,
 documents are first compared with the bucket's smallest one only. Once the confirmed links are joined to
-components, every bucket that still holds several components is compared across them, in blocks of bounded size.
+components, every bucket that still holds several components is compared across them, in blocks of bounded size:
+by signatures first, so that texts are sent only of documents that have a likely partner in another component.
 A block joins components as it finds links, so it gives back fewer links than it has documents: no candidate link
 between components is lost, and a bucket of copies is never expanded into all its pairs.
 """
@@ -33,6 +34,8 @@ MARGIN = 0.2
 #: Documents in a block of a large bucket; confirmations for one copy of a hub's text.
 BLOCK = 512
 HUB_MEMBERS = 256
+#: Parts that the members of one component in one large bucket are dealt to where they are counted.
+SALTS = 64
 _U64 = np.uint64
 
 
@@ -190,7 +193,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _across(shared: DataFrame, labels: DataFrame, texts: DataFrame, shingle_words: int, percent: int, scratch: Scratch) -> DataFrame:
+def _across(shared: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame, shingle_words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) that join all components that have a link between them in some bucket.
 
     shared: (key, id); labels: (id, component), ids without a link left out. Buckets of equal members count once.
@@ -207,7 +210,8 @@ def _across(shared: DataFrame, labels: DataFrame, texts: DataFrame, shingle_word
     held = many.groupBy("key", "component").agg(F.count("*").alias("own"))
     apart = F.col("own") > BLOCK // 2
     pools = held.where(~apart).groupBy("key").agg(F.ceil(F.sum("own") / BLOCK).alias("pools"))
-    dealt = many.join(held, ["key", "component"]).join(pools, "key", "left")
+    salted = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = many.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS))).join(salted, ["key", "component", "salt"]).join(pools, "key", "left")
     name = F.when(apart, F.concat_ws("/", "component", F.pmod(F.hash("id"), F.ceil(F.col("own") / BLOCK)).cast("string")))
     name = F.coalesce(name, F.concat(F.lit("/"), F.pmod(F.hash("component"), F.col("pools")).cast("string")))
     dealt = dealt.select("key", "id", "component", name.alias("name"), F.when(apart, F.col("component")).alias("of"))
@@ -217,7 +221,33 @@ def _across(shared: DataFrame, labels: DataFrame, texts: DataFrame, shingle_word
     pair = F.concat_ws("|", "name", "name_2").alias("pair")
     ends = met.select("key", "name", pair, F.lit(0).alias("side")).union(met.where("name <> name_2").select("key", F.col("name_2").alias("name"), pair, F.lit(1).alias("side")))
     groups = small.unionByName(dealt.join(ends, ["key", "name"]).select("key", "pair", "side", "id", "component"))
-    groups = groups.join(texts, "id").select("key", "pair", "side", "id", "component", "text").repartition("key", "pair").sortWithinPartitions("key", "pair")
+    signed = groups.join(sigs.select("id", "sig"), "id").select("key", "pair", "side", "id", "component", "sig").repartition("key", "pair").sortWithinPartitions("key", "pair")
+    kind = "key long, pair string, side int, id long, component long"
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that have a likely partner in their group."""
+        at, parts = None, []
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.concat_batches(parts) if len(parts) > 1 else parts[0]
+            return rows.select(range(5)).filter(pa.array(_partnered(rows, percent / 100 - MARGIN)))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, pairs = batch.column(0).to_numpy(), batch.column(1).dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(keys) != 0) | (np.diff(pairs) != 0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own = int(keys[a]), batch.column(1)[a].as_py()
+                if own != at and parts:
+                    yield flush()
+                    parts = []
+                at = own
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield flush()
+
+    groups = signed.mapInArrow(sift, kind).join(texts, "id").select("key", "pair", "side", "id", "component", "text").repartition("key", "pair").sortWithinPartitions("key", "pair")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(shingle_words), Signer()
@@ -240,6 +270,22 @@ def _across(shared: DataFrame, labels: DataFrame, texts: DataFrame, shingle_word
     return groups.mapInArrow(scan, "a long, b long").distinct()
 
 
+def _partnered(rows: pa.RecordBatch, least: float) -> np.ndarray:
+    """Which rows (key, pair, side, id, component, sig) of a group have a partner estimated at `least` or more in
+    another component, across sides if there are two."""
+    side, component = rows.column(2).to_numpy(), rows.column(4).to_numpy()
+    sigs = np.frombuffer(b"".join(rows.column(5).to_pylist()), _U64).reshape(len(side), -1)
+    near, far = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    far = far if len(far) else near
+    found = np.zeros(len(side), dtype=bool)
+    for at in range(0, len(near), 64):
+        mine = near[at : at + 64]
+        likely = (estimate(sigs[mine][:, None], sigs[far][None]) >= least) & (component[mine][:, None] != component[far][None])
+        found[mine] |= likely.any(axis=1)
+        found[far] |= likely.any(axis=0)
+    return found
+
+
 def _joining(group: list[tuple[int, int, int, np.ndarray]], signer: Signer, percent: int) -> list[tuple[int, int]]:
     """Links that join the components of a group; rows are (id, component, side, set), compared across sides if there are two."""
     root = {row[1]: row[1] for row in group}
@@ -293,7 +339,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     same_id = some.join(several, "doc_id").join(classes, ["s1", "s2", "n"]).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     links = links.union(same_id.where("a <> b").distinct())
     labels = components(links, scratch, "first")
-    across = scratch.keep(_across(shared.select("key", "id"), labels, texts, shingle_words, percent, scratch), "across")
+    across = scratch.keep(_across(shared.select("key", "id"), labels, sigs, texts, shingle_words, percent, scratch), "across")
     # The first labels stand for the links that made them.
     labels = components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).union(across), scratch, "all")
 
@@ -305,8 +351,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest doc_id of each group only; rows without doc_id stay, and so do rows that share a kept one."""
+    """docs with the smallest doc_id of each group only, with all their columns, named as they may be.
+
+    Rows without doc_id stay, and so do rows that share a kept one. An empty table stays empty.
+    """
     report = near_duplicates(docs, shingle_words, percent, id_col, text_col)
-    kept = report.where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__id"), "left_semi")
-    return named.union(docs.where(F.col(id_col).isNull()))
+    kept = report.where("kept and doc_id is not null").select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"))
+    named = rows.where("doc_id is not null").join(kept, "doc_id", "left_semi").select("row")
+    return named.union(rows.where("doc_id is null").select("row")).select("row.*")

@@ -375,6 +375,25 @@ def test_near_duplicates(spark, docs, odd, empty):
     assert near_dedup.near_duplicates(empty, 2).count() == 0
 
 
+def test_near_duplicates_in_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 6)
+    monkeypatch.setattr(near_dedup, "HUB_MEMBERS", 3)
+    rnd = random.Random(9)
+    rows = chain(25)
+    for family in range(4):  # versions of one text: near, nearly near and far ones share buckets
+        base = [f"f{family}w{k}" for k in range(60)]
+        for _ in range(40):
+            own = list(base)
+            for at in rnd.sample(range(60), rnd.randint(0, 9)):
+                own[at] = f"x{rnd.randrange(10**6)}"
+            rows.append((5000 + len(rows), " ".join(own)))
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA + ", component string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame, 2).collect()} == brute_groups(rows, 2)
+    clashing = docs.limit(60).withColumns({"__id": F.lit(3), "id": F.col("doc_id") * 2, "row": F.lit("r"), "n_shingles": F.lit(1)})
+    left = near_dedup.drop_near_duplicates(clashing, 2)
+    assert left.columns == clashing.columns and all(r["id"] == 2 * r.doc_id and r["row"] == "r" for r in left.collect())
+
+
 def test_estimates_are_close_to_the_similarity():
     shingle, sign = near_dedup.Shingler(2), near_dedup.Signer()
     words = [f"w{k}" for k in range(1000)]
