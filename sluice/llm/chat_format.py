@@ -6,6 +6,7 @@ more, so no text can hold `<|`, and taking one backslash away gives the text bac
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import re
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.template import Output, Template
+from sluice.llm.template import Name, Output, Template
 
 TEMPLATE = (
     "{% for m in messages %}<|im_start|>{{ m.role | name }}\n"
@@ -95,6 +96,15 @@ def _ordered(conversations: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def _numbered(node: object) -> bool:
+    """Whether a part of a template's tree asks for the number of the turn."""
+    if isinstance(node, tuple):
+        return any(map(_numbered, node))
+    if isinstance(node, Name):
+        return node.name == "loop"
+    return dataclasses.is_dataclass(node) and any(_numbered(getattr(node, f.name)) for f in dataclasses.fields(node))
+
+
 def format_turns(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """conv_id, part, at, formatted, spans: each conversation's text, in parts of bounded size by (part, at).
 
@@ -106,6 +116,8 @@ def format_turns(conversations: DataFrame, template: str = TEMPLATE) -> DataFram
     compiled = Template(template, FILTERS)
     if len(compiled.tree) != 1:
         raise ValueError("the template writes something beside its turns")
+    if _numbered(compiled.tree):
+        raise ValueError("the template asks for the number of a turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -30,6 +30,8 @@ BLANK = " \t\n\x0b\x0c\r"
 SHARD_KEYS = 32_768
 #: Of a hundred documents, how many come with the first batch of line_report, and how many of them are withdrawn again.
 FIRST_BATCH, WITHDRAWN = 50, 5
+#: The most keys that are sent to all tasks.
+OFTEN = 10_000
 SLOTS = 4
 KICKS = 500
 _U64 = np.uint64
@@ -296,8 +298,13 @@ def _changed(state: LineState, keys: DataFrame, add: bool) -> DataFrame:
 
 def _drops(state: LineState, min_docs: int) -> DataFrame:
     """(doc_id, tie, drop): the places of the lines that a text loses."""
-    common = state.counts.where(F.col("n_docs") >= min_docs).select("k1", "k2", "max_doc")
-    lost = state.refs.join(common, ["k1", "k2"]).where(F.col("doc_id") != F.col("max_doc"))
+    common = state.scratch.keep(state.counts.where(F.col("n_docs") >= min_docs), f"common-{state.version}")
+    # A key that a ten-thousandth of all references hold is joined where they lie; there are 10,000 of these at most.
+    often = F.col("n_docs") >= state.refs.count() / OFTEN
+    refs, hot = state.refs, F.broadcast(common.where(often).select("k1", "k2", "max_doc"))
+    rare = refs.join(hot, ["k1", "k2"], "left_anti").join(common.where(~often).select("k1", "k2", "max_doc"), ["k1", "k2"])
+    columns = ["doc_id", "tie", "place", "max_doc"]
+    lost = refs.join(hot, ["k1", "k2"]).select(*columns).union(rare.select(*columns)).where("doc_id <> max_doc")
     return lost.groupBy("doc_id", "tie").agg(F.collect_set("place").alias("drop"))
 
 

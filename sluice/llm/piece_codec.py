@@ -228,7 +228,11 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
 
 def encoding_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, one row per input row; null text is the empty text."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, one row per input row; null text is the empty text, with the end id alone.
+
+    Repeated rows are encoded each, long texts whole, in one task; ties between matches are those of the library. An
+    empty table gives no rows; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model_path)

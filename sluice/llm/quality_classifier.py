@@ -28,9 +28,8 @@ NONZERO = 6
 WINDOW = 2
 #: Words with a vector of their own; rarer ones share the vector of their shape.
 VOCABULARY = 20_000
-#: Labelled rows that the vectors and the network are fitted on, and the longest text among them.
+#: Labelled rows that the vectors and the network are fitted on, with their whole texts.
 SAMPLE_ROWS = 3_000
-SAMPLE_CHARS = 100_000
 HIDDEN = 24
 THRESHOLD = 0.3
 REMEMBERED_WORDS = 400_000
@@ -44,8 +43,9 @@ def _class(c: str) -> str:
 
 
 def shape(word: str) -> str:
-    """The word with runs of small letters, capitals and digits as x, X and 9, at most 8 signs."""
-    return _RUN.sub(r"\1", "".join(map(_class, word[:64])))[:8]
+    """The word with runs of small letters, capitals and digits as x, X and 9; of more than 8 signs, those at its ends."""
+    signs = _RUN.sub(r"\1", "".join(map(_class, word)))
+    return signs if len(signs) <= 8 else signs[:4] + signs[-4:]
 
 
 def index_vector(token: str) -> np.ndarray:
@@ -204,8 +204,8 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """A model from at most `sample_rows` labelled rows that are not held out. One label alone, or none: a constant."""
     known = labels.where(~held_out(F.col("doc_id")))
-    found = labelled_sample(docs, known, sample_rows, SAMPLE_CHARS, id_col, text_col)
-    texts, y = [t for t, _ in found], np.array([label for _, label in found], dtype=np.int64)
+    found = labelled_sample(docs, known, sample_rows, id_col, text_col).collect()
+    texts, y = [r["text"] for r in found], np.array([r["label"] for r in found], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return QualityModel(None, None, float(np.clip((y.sum() + 1) / (len(y) + 2), 0, 1)))
     vectors = fit_vectors(texts)
@@ -213,7 +213,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted; one row per input row, null and empty texts too."""
+    """doc_id, held_out, score, predicted; one row per input row, null and empty texts too.
+
+    A text without words has the score of the zero vector. Repeated rows are scored each and alike, long texts whole;
+    a score equal to the threshold predicts 1. Labels of one kind alone give every text the same score, none at all
+    0.5. A null doc_id is held out. An empty table gives no rows; other columns are not read.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, id_col, text_col))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

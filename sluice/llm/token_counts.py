@@ -22,7 +22,9 @@ from sluice.llm.common import whole_text
 
 #: Pre-tokens in a leaf when a tree is made; a leaf that grows beyond four times that has the tree made anew.
 LEAF = 32
-#: A match looks at most so many characters past its end: `'re` needs two, a run of blanks one.
+#: Patterns whose matches look at most LOOKAHEAD characters past their end: `'re` needs two, a run of blanks one. With
+#: any other pattern every edit splits the whole text again.
+LOCAL_PATTERNS = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"])
 LOOKAHEAD = 2
 REMEMBERED = 500_000
 
@@ -37,6 +39,7 @@ class Counter:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
+        self.local = pattern in LOCAL_PATTERNS
         self.known: dict[str, int] = {}
         self.older: dict[str, int] = {}
 
@@ -119,6 +122,11 @@ class CountedText:
         size = self.n_chars
         start, end = max(0, min(start, size)), max(0, min(end, size))
         end = max(start, end)
+        if not self.counter.local:
+            text = self.text()
+            pieces = self.counter.split(text[:start] + new + text[end:])
+            self.recounted += len(pieces)
+            return self._make(pieces, self.counter.counts(pieces))
         # The first pre-token whose match may have looked at the edited place.
         leaf, k, begin = self._find(max(0, start - LOOKAHEAD - 1))
         old: list[str] = []  # pre-tokens from there on
@@ -201,7 +209,8 @@ def count_edited(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
     Edits come from `edits_col`, an array of (start, end, new) structs applied in order, null for none; without
     such a column they are made of each text (sample_edits). Places are code points and are cut to the text.
-    Null text is the empty text. recounted is the number of pre-tokens that edits had counted again.
+    Null text is the empty text. recounted is the number of pre-tokens that edits had counted again. Repeated rows are
+    counted each; long texts are counted whole, in one task. An empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,6 +65,21 @@ def test_edited_counts_equal_a_new_count():
             assert counted.n_tokens == len(counter.encoding.encode_ordinary(text))
 
 
+def test_edits_under_any_pattern():
+    counter = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+")
+    rnd = random.Random(7)
+    for _ in range(200):
+        text = "".join(rnd.choice("ab 1\n\r.") for _ in range(rnd.randint(0, 60)))
+        counted = token_counts.CountedText(text, counter)
+        for _ in range(4):
+            a = rnd.randint(0, len(text))
+            edit = (a, rnd.randint(a, len(text)), "".join(rnd.choice("a \n1") for _ in range(rnd.randint(0, 5))))
+            text = token_counts.apply_edit(text, edit)
+            counted.edit(*edit)
+            assert [p for own, _ in counted.leaves for p in own] == counter.split(text)
+            assert counted.n_tokens == len(counter.encoding.encode_ordinary(text))
+
+
 def test_long_texts_are_counted_again_near_edits_only():
     counter = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     counted = token_counts.CountedText("some words here. " * 5_000, counter)
@@ -130,9 +145,11 @@ def test_rule_counts(docs, labels, odd, empty):
 
 
 def test_the_forest_finds_odd_rows():
+    # Splits lie between the fitted rows, so the odd ones have to be among them.
     rows = np.random.default_rng(0).normal(0, 1, (1000, 3))
-    forest = quality_rules.IsolationForest.fit(rows)
-    assert forest.scores(np.array([[9.0, 0, 0]]))[0] > np.quantile(forest.scores(rows), 0.99)
+    odd_ = np.array([[9.0, 0, 0], [0, -8.0, 0], [7.0, 7.0, 7.0]])
+    forest = quality_rules.IsolationForest.fit(np.concatenate([rows, np.tile(odd_, (5, 1))]))
+    assert (forest.scores(odd_) > np.quantile(forest.scores(rows), 0.99)).all()
     scores, clean = np.array([0.9, 0.8, 0.3, 0.2]), np.array([False, False, True, True])
     assert 0.3 < quality_rules.calibrate(scores, clean) <= 0.8
     assert quality_rules.calibrate(scores, np.array([True] * 4)) == np.inf
@@ -323,6 +340,13 @@ def test_conversations_read_back(spark):
     assert chat_format.conversation_report(frame.limit(0)).count() == 0
 
 
+def test_templates_that_need_the_turns_number_are_refused(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn int, role string, text string")
+    for bad in ("{% for m in messages %}{{ loop.index0 }}{% endfor %}", "{% for m in messages %}{% if not loop.first %}-{% endif %}{{ m.text }}{% endfor %}", "head {% for m in messages %}{{ m.text }}{% endfor %}"):
+        with pytest.raises(ValueError):
+            chat_format.format_turns(rows, bad)
+
+
 def test_the_template_language():
     made = template.Template("{% for m in messages %}{% if not m.role == 'x' and true %}<{{ 'a' + 'b' | up }}{{ loop.index0 }}{% generation %}{{ m.text }}{% endgeneration %}{% elif loop.first %}F{% else %}-{% endif %}{% endfor %}!", {"up": str.upper})
     out = made.render([{"role": "x", "text": "1"}, {"role": "y", "text": "2"}, {"role": "x", "text": "3"}])
