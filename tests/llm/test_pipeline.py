@@ -26,7 +26,7 @@ def test_stages(spark, tmp_path):
         elif name == "line dedup":
             assert sorted(pairs(after), key=str) == brute_lines(before)
         elif name == "MinHash near-dedup":
-            group = brute_groups([r for r in before if r[0] is not None], 5)
+            group = brute_groups([r for r in before if r[0] is not None], corpus_pipeline.SHINGLE_WORDS)
             assert sorted(pairs(after), key=str) == sorted((r for r in before if r[0] is None or group[r[0]] == r[0]), key=str)
         else:
             assert {r.doc_id for r in after.select("doc_id").collect()} == {d for d, _ in before}
@@ -39,3 +39,14 @@ def test_the_pipeline_takes_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_the_whole_pipeline_leaves_one_stage_behind(spark):
+    import pathlib
+
+    root = pathlib.Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(root.iterdir()) if root.exists() else set()
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert {r.length for r in rows} <= set(range(1, 4097)) and len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+    left = {p.name.rsplit("-", 1)[0]: sorted(x.name for x in p.iterdir()) for p in set(root.iterdir()) - before}
+    assert left == {"pipeline": ["stage-3"], "packing": ["pieces"]}
