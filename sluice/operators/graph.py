@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sluice.functions.expressions import entity_bucket, ratio
-from sluice.sources.shared import shared_folder, written
+from sluice.sources.shared import new_folder, written
 
 
 def shares(all_edges: DataFrame, totals: DataFrame) -> DataFrame:
@@ -54,13 +53,12 @@ def total_share(weighted: DataFrame, sources: DataFrame, hops: int | None = None
 
 def flow_edges(all_edges: DataFrame, totals: DataFrame) -> DataFrame:
     """(cycle, src, dst, edge_type, weight): donors' and committees' money out, expenses, and transfers to candidates."""
-    kinds = (("donor_out", "top_indv_contributors", False), ("cmte_out", "transfer_recipients", True), ("exp_out", "top_exp_recipients", True), ("cand_in", "cand_senders", False))
-    made = None
-    for kind, name, owner_first in kinds:
-        rows = all_edges.where(F.col("list_name") == name)
-        src, dst = ("owner_id", "cp_id") if owner_first else ("cp_id", "owner_id")
-        part = rows.select("cycle", F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("edge_type"), "amt")
-        made = part if made is None else made.union(part)
+    kinds = {"top_indv_contributors": "donor_out", "transfer_recipients": "cmte_out", "top_exp_recipients": "exp_out", "cand_senders": "cand_in"}
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), F.col("list_name"))
+    out = F.col("list_name").isin("transfer_recipients", "top_exp_recipients")
+    src, dst = F.when(out, F.col("owner_id")).otherwise(F.col("cp_id")), F.when(out, F.col("cp_id")).otherwise(F.col("owner_id"))
+    # Written once, as both the edges and their sums by receiver are made of them.
+    made = written(all_edges.where(F.col("list_name").isin(*kinds)).select("cycle", src.alias("src"), dst.alias("dst"), kind.alias("edge_type"), "amt"), "flows")
     received = made.groupBy("cycle", "dst", "edge_type").agg(F.sum("amt").alias("received"))
     return made.join(received, ["cycle", "dst", "edge_type"]).select("cycle", "src", "dst", "edge_type", ratio(F.col("amt"), F.col("received")).alias("weight"))
 
@@ -85,7 +83,7 @@ def reach(edges: DataFrame, roots: Sequence[str], hops: int | None = None, keys:
     start = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "id string")
     if keys:
         start = links.select(*keys).distinct().crossJoin(start)
-    folder = f"{shared_folder(spark)}/reach-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "reach")
     schema = StructType([*start.schema, StructField("hop", IntegerType())])
     start.write.parquet(f"{folder}/hop=0")
     hop = 0

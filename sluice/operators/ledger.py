@@ -9,7 +9,7 @@ from sluice.functions.expressions import entity_bucket, is_contribution, is_earm
 
 
 def normalize(contributions: DataFrame) -> DataFrame:
-    """cycle, filer_id, tx_type, is_memo, other_id, tx_amt, tx_id and the counterparty's own words.
+    """cycle, filer_id, tx_type, is_memo, other_id, bucket, tx_amt, tx_id and the counterparty's own words.
 
     An earmark passed on (24I) belongs to the committee it names and becomes 15E, before anything else is looked
     up. Rows without a counterparty, and all earmarks, are given to a person, identified by hashed attributes.
@@ -20,15 +20,16 @@ def normalize(contributions: DataFrame) -> DataFrame:
         "cycle", F.when(passed_on & (F.col("other_id") != ""), F.col("other_id")).otherwise(F.col("filer_id")).alias("filer_id"),
         F.when(passed_on, "15E").otherwise(F.col("tx_type")).alias("tx_type"), (F.col("memo_code") == "X").alias("is_memo"),
         F.when(unnamed, person_key(F.col("name"), F.col("employer"), F.col("occupation"), F.col("zip"))).otherwise(F.col("other_id")).alias("other_id"),
+        F.when(unnamed, "individual").otherwise(entity_bucket(F.col("other_id"))).alias("bucket"),  # a hashed id is a person's, whatever its letters
         "tx_amt", "tx_id", "name", "employer", "occupation", "zip",
     )
 
 
 def classify(normalized: DataFrame) -> DataFrame:
-    """Adds bucket, incoming, transfer, contribution, and counted (false for outgoing 24T, which nothing posts)."""
+    """Adds incoming, transfer, contribution, and counted (false for outgoing 24T, which nothing posts)."""
     kind = F.col("tx_type")
     return normalized.select(
-        "*", entity_bucket(F.col("other_id")).alias("bucket"), is_incoming(kind).alias("incoming"), is_transfer(kind).alias("transfer"),
+        "*", is_incoming(kind).alias("incoming"), is_transfer(kind).alias("transfer"),
         (is_incoming(kind) & is_contribution(kind)).alias("contribution"), (is_incoming(kind) | (kind != "24T")).alias("counted"),
     )
 

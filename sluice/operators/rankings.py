@@ -11,6 +11,8 @@ from sluice.functions.codes import INDIVIDUAL_LIMIT, LIST_TITLES, PARTIES, PARTY
 from sluice.functions.expressions import party_bucket
 from sluice.operators.edges import ranked
 
+#: Parts in which the longest lists are cut first.
+LIST_PARTS = 32
 CATEGORIES = {"individuals": ("donor", "rec"), "cmte_tx_data": ("rec", "donor", "exp"), "candidates": ("rec", "donor", "exp")}
 
 
@@ -52,9 +54,15 @@ def rankings(measures: DataFrame, limit: int | None = None, cycle: str = "cycle"
     """(ranking_id, cycle, bucket, category, party, rank, entity_id, total) for each party and for all; totals of 0 are left out."""
     parties = F.when(F.col("party") == "ALL", F.array(F.lit("ALL"))).otherwise(F.array(F.col("party"), F.lit("ALL")))
     rows = measures.where("total <> 0").withColumn("party", F.explode(parties))
-    made = ranked(rows, None, "cycle", "bucket", "category", "party", amount="total", key="entity_id")
-    most = F.lit(limit) if limit else F.when(F.col("bucket") == "individuals", INDIVIDUAL_LIMIT).otherwise(RANKING_LIMIT)
-    return made.where(F.col("rank") <= most).select(F.concat_ws("-", F.col("cycle").cast("string"), "bucket", "category", "party").alias("ranking_id"), "cycle", "bucket", "category", "party", "rank", "entity_id", "total")
+    group = ("cycle", "bucket", "category", "party")
+    person = F.col("bucket") == "individuals"
+    # Limits are literals, so that each task keeps no more than a list's length before rows are shuffled. Long lists are
+    # first cut in parts, which bounds what meets in one task.
+    parts = rows.where(person).withColumn("part", F.pmod(F.xxhash64("entity_id"), F.lit(LIST_PARTS)))
+    people = parts if (limit or INDIVIDUAL_LIMIT) <= RANKING_LIMIT else ranked(parts, INDIVIDUAL_LIMIT, *group, "part", amount="total", key="entity_id")
+    made = ranked(people.drop("part", "rank"), limit or INDIVIDUAL_LIMIT, *group, amount="total", key="entity_id")
+    made = made.unionByName(ranked(rows.where(~person), limit or RANKING_LIMIT, *group, amount="total", key="entity_id"))
+    return made.select(F.concat_ws("-", F.col("cycle").cast("string"), "bucket", "category", "party").alias("ranking_id"), "cycle", "bucket", "category", "party", "rank", "entity_id", "total")
 
 
 def preview(ranks: DataFrame, size: int = 10) -> DataFrame:
@@ -97,6 +105,13 @@ def grid_sizes(lists: DataFrame, ranks: DataFrame) -> DataFrame:
     return lists.join(held, "ranking_id", "left").select("ranking_id", "cycle", "bucket", "category", "party", F.coalesce("held", F.lit(0)).alias("entries"))
 
 
+def lists_of(measures: DataFrame) -> DataFrame:
+    """(ranking_id, bucket, category, party) of the lists that have entries, without ranking anything."""
+    parties = F.when(F.col("party") == "ALL", F.array(F.lit("ALL"))).otherwise(F.array(F.col("party"), F.lit("ALL")))
+    held = measures.where("total <> 0").select("cycle", "bucket", "category", "party").distinct().withColumn("party", F.explode(parties)).distinct()
+    return held.select(F.concat_ws("-", F.col("cycle").cast("string"), "bucket", "category", "party").alias("ranking_id"), "bucket", "category", "party")
+
+
 def labels(lists: DataFrame) -> DataFrame:
     """Titles of ranking lists and of their parties."""
     spark = lists.sparkSession

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.codes import MAX_RESULTS, PARTY_NAMES, SHARD_IDS
 from sluice.functions.expressions import canonical_id, index_partition, is_entity_id, lookup_partition, state_name, terms
+from sluice.sources.shared import written
 
 
 def search_texts(entities: DataFrame) -> DataFrame:
@@ -29,18 +30,18 @@ def inverted_index(postings: DataFrame) -> DataFrame:
     return made.select(index_partition(F.col("term")).alias("partition"), "term", "ids")
 
 
-def shard_postings(postings: DataFrame, size: int = SHARD_IDS, salts: int = 64) -> DataFrame:
+def shard_postings(postings: DataFrame, size: int = SHARD_IDS) -> DataFrame:
     """(term, id, shard): ids in order, cut every `size`; no term's ids meet in one task.
 
-    Ids are cut into contiguous pieces by their first sixteen bits in order: ranks within a piece are counted there,
-    and the pieces' sizes give what comes before.
+    Rows are dealt over ranges of (term, id) and written in order, so a frequent term fills ranges of its own. A row's
+    rank is its place in its range, less where the term begins there, after what the term has in the ranges before.
     """
-    piece = F.substring(F.hex(F.col("id").cast("string").cast("binary")), 1, 6).alias("piece")
-    rows = postings.select("term", "id", piece)
-    sizes = rows.groupBy("term", "piece").agg(F.count("*").alias("n"))
+    ordered = postings.select("term", "id").repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+    rows = written(ordered.withColumns({"piece": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "postings")
+    sizes = rows.groupBy("term", "piece").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("term").orderBy("piece")) - F.col("n")).drop("n")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("term", "piece").orderBy("id")) - 1)
-    return ranked.join(before, ["term", "piece"]).select("term", "id", F.floor((F.col("rank") + F.col("before")) / size).cast("long").alias("shard"))
+    rank = F.col("place") - F.col("first") + F.col("before")
+    return rows.join(before, ["term", "piece"]).select("term", "id", F.floor(rank / size).cast("long").alias("shard"))
 
 
 def posting_shards(postings: DataFrame, size: int = SHARD_IDS) -> DataFrame:

@@ -11,10 +11,13 @@ from sluice.functions.expressions import index_partition, lookup_partition
 
 
 def keyed_upsert(old: DataFrame, new: DataFrame, *keys: str, order: Sequence[str] = ()) -> DataFrame:
-    """Rows of both, a key's row from `new` if it has one; of several new rows the last by `order`."""
-    turn = Window.partitionBy(*keys).orderBy(F.desc("__batch"), *(F.desc(c) for c in order))
-    rows = old.withColumn("__batch", F.lit(0)).unionByName(new.withColumn("__batch", F.lit(1)))
-    return rows.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").drop("__turn", "__batch")
+    """Rows of both, a key's row from `new` if it has one; of several new rows the last by `order`, then by a hash."""
+    def held(rows: DataFrame, batch: int) -> DataFrame:
+        ties = F.xxhash64(*(F.col(c) for c in rows.columns))  # rows that `order` doesn't tell apart, by a hash of all columns
+        return rows.select(F.struct(*old.columns).alias("row"), F.struct(F.lit(batch), *(F.col(c) for c in order), ties).alias("turn"))
+
+    both = held(old, 0).union(held(new, 1))
+    return both.groupBy(*(F.col("row").getField(k) for k in keys)).agg(F.max_by("row", "turn").alias("row")).select("row.*")
 
 
 def insert_new_keys(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -57,9 +60,9 @@ def without(table: DataFrame, condition: Column) -> DataFrame:
 
 
 def serving_rows(table: DataFrame, partition: Column, sort: str) -> DataFrame:
-    """Rows with their serving keys pk and sk, in order within a partition."""
+    """Rows with their serving keys pk and sk, in ranges of both, so that a partition key with many rows fills several."""
     made = table.withColumns({"pk": F.when(F.coalesce(partition, F.lit("")) == "", "???").otherwise(partition), "sk": F.col(sort).cast("string")})
-    return made.repartition("pk").sortWithinPartitions("pk", "sk")
+    return made.repartitionByRange("pk", "sk").sortWithinPartitions("pk", "sk")
 
 
 def write_serving(rows: DataFrame, path: str) -> None:

@@ -34,8 +34,11 @@ def committee_postings(ledger: DataFrame, expenses: DataFrame | None = None, see
 
 def committee_totals(postings: DataFrame) -> DataFrame:
     """(cycle, cmte_id): amounts, counts and averages of each measure, of all incoming and outgoing money, and their balance."""
-    sums = [f(F.col("measure") == m).alias(f"{m}_{name}") for m in MEASURES for name, f in (("amt", _amount), ("txs", _count))]
-    made = postings.groupBy("cycle", "cmte_id").agg(*sums)
+    zero = {"amt": F.lit(0).cast("decimal(28,2)"), "txs": F.lit(0)}
+    sums = [F.coalesce(F.max(F.when(F.col("measure") == m, F.col(n))), zero[n]).alias(f"{m}_{n}") for m in MEASURES for n in ("amt", "txs")]
+    # One sum and one count for each measure; the few rows of a committee are then put side by side.
+    measured = postings.groupBy("cycle", "cmte_id", "measure").agg(F.sum("tx_amt").alias("amt"), F.count("*").alias("txs"))
+    made = measured.groupBy("cycle", "cmte_id").agg(*sums)
     made = made.withColumns({f"total_{side}_{n}": F.col(f"{a}_{n}") + F.col(f"{b}_{n}") for side, a, b in (("in", "contributions", "other"), ("out", "transfers", "expenditures")) for n in ("amt", "txs")})
     parts = (*MEASURES, "total_in", "total_out")
     columns = [c for p in parts for c in (F.col(f"{p}_amt").cast("double").alias(f"{p}_amt"), F.col(f"{p}_txs").cast("long").alias(f"{p}_txs"), ratio(F.col(f"{p}_amt"), F.col(f"{p}_txs")).alias(f"{p}_avg"))]

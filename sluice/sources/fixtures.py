@@ -18,11 +18,8 @@ def _padded(number: Column, width: int) -> Column:
 
 
 def _pick(remainder: Column, values: tuple[str, ...]) -> Column:
-    """The value at the remainder; the last one beyond."""
-    made = None
-    for k, value in enumerate(values[:-1]):
-        made = F.when(remainder == k, value) if made is None else made.when(remainder == k, value)
-    return made.otherwise(values[-1])
+    """The value at the remainder; the last one beyond. A lookup keeps expressions made of it, and filters on them, short."""
+    return F.coalesce(F.get(F.array(*map(F.lit, values)), remainder.cast("int")), F.lit(values[-1]))
 
 
 def _cycle(date: str) -> Column:
