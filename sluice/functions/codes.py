@@ -41,6 +41,7 @@ TOTAL_TITLES = {
     "donor": "Funds Donated or Transferred",
     "exp": "Funds Expensed",
 }
+#: Designations of committees by code.
 DESIGNATIONS = {
     "A": "Authorized by Candidate",
     "B": "Lobbyist/Registrant PAC",
@@ -49,6 +50,7 @@ DESIGNATIONS = {
     "P": "Principal Campaign",
     "U": "Unauthorized",
 }
+#: Kinds of organisations by code.
 ORGANISATIONS = {
     "C": "Corporation",
     "L": "Labor Organization",
@@ -57,6 +59,7 @@ ORGANISATIONS = {
     "V": "Cooperative",
     "W": "Corporation without Capital Stock",
 }
+#: Offices by the first letter of a candidate's id.
 OFFICES = {"H": "House", "S": "Senate", "P": "President"}
 #: States by code.
 STATES = {

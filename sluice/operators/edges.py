@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,15 @@ def ranked(rows: DataFrame, limit: int | None, *group: str, amount: str = "amt",
     return made if limit is None else made.where(F.col("rank") <= limit)
 
 
+def edges_of(ledger: DataFrame, expenses: DataFrame, owner: str, names: Sequence[str]) -> DataFrame:
+    """The named lists of one owner with doubles and ranks (null without a limit), from that owner's rows alone."""
+    own = edges(ledger.where((F.col("filer_id") == owner) | (F.col("other_id") == owner)), expenses.where((F.col("cmte_id") == owner) | (F.col("person") == owner)))
+    rows = ranked(own.where((F.col("owner_id") == owner) & F.col("list_name").isin(*names)), None, "cycle", "list_name", "owner_id")
+    limited = F.col("list_name").isin(*LIMITED)
+    rows = rows.where(~limited | (F.col("rank") <= COUNTERPARTY_LIMIT))
+    return rows.select("cycle", "list_name", "owner_id", "cp_id", F.col("amt").cast("double").alias("amt"), "txs", F.when(limited, F.col("rank")).alias("rank"))
+
+
 def edge_list(all_edges: DataFrame, name: str, limit: int | None = None) -> DataFrame:
     """One list with doubles; a list with a limit keeps each owner's largest counterparties."""
     rows = all_edges.where(F.col("list_name") == name)

@@ -75,6 +75,14 @@ def index_stats(postings: DataFrame, lookup: DataFrame, size: int = SHARD_IDS) -
     return index.join(F.broadcast(rows), F.lit(True))  # one row each
 
 
+def index_metadata(shards: DataFrame, lookup: DataFrame) -> DataFrame:
+    """(kind, partition, terms, shards, entries): what each part of the index holds, and each part of the lookup."""
+    index = shards.groupBy(index_partition(F.col("term")).alias("partition")).agg(F.count_distinct("term").alias("terms"), F.count("*").alias("shards"), F.sum("entries").alias("entries"))
+    rows = lookup.groupBy("partition").agg(F.count("*").alias("entries"))
+    zero = F.lit(0).cast("long")
+    return index.select(F.lit("index").alias("kind"), "partition", "terms", "shards", "entries").unionByName(rows.select(F.lit("lookup").alias("kind"), "partition", zero.alias("terms"), zero.alias("shards"), "entries"))
+
+
 def query_terms(spark, text: str) -> DataFrame:
     """The query's terms, by the rules of the index."""
     return spark.createDataFrame([(text,)], "q string").select(F.explode(terms(F.array("q"))).alias("term"))

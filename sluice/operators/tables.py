@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sluice.functions.expressions import index_partition, lookup_partition
 
@@ -33,6 +34,26 @@ def get_object(table: DataFrame, **key: object) -> DataFrame:
     return made
 
 
+def get_years(table: DataFrame, cycles: Sequence[int], **key: object) -> DataFrame:
+    """Rows of one key over several cycles; cycles without a row are left out."""
+    return get_object(table, **key).where(F.col("cycle").isin(*cycles))
+
+
+def save(table: DataFrame, folder: str, *by: str) -> None:
+    """Write a table by the columns `by`; only the folders of its own values are replaced, so a rerun changes nothing."""
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(folder)
+
+
+def load(spark: SparkSession, folder: str, schema: StructType, **key: object) -> DataFrame:
+    """A saved table, or the folders of a key."""
+    return get_object(spark.read.schema(schema).parquet(folder), **key)
+
+
+def append_log(rows: DataFrame, folder: str, batch: int) -> None:
+    """Add a batch of rows to a log; a batch that is written again replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+
 def batch_get(table: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Found rows, and the asked ids that are missing."""
     asked = ids.select(key).distinct()

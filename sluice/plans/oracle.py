@@ -6,7 +6,7 @@ import re
 
 from sluice.functions import codes
 from sluice.functions.codes import INDEPENDENT, TRANSFER_TYPES
-from sluice.plans.queries import MERGED_CYCLES, SEARCHES, TERM
+from sluice.plans.queries import DOCUMENT_SEARCH, MERGED_CYCLES, SEARCHES, TERM
 from sluice.sources.fixtures import LOADED_CYCLES
 
 
@@ -60,7 +60,7 @@ def _in_out_sums(key: str, rows: str) -> str:
 
 #: Common table expressions by name; each may use those before it.
 CTES = {
-    "fx_committees": """SELECT 'C' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS cmte_id, s_name AS name, 'CITY ' || CAST(s_nationkey AS VARCHAR) AS city, 'S' || CAST(s_nationkey AS VARCHAR) AS state,
+    "fx_committees": """SELECT 'C' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS cmte_id, s_name AS name, 'CITY ' || CAST(s_nationkey AS VARCHAR) AS city, CASE s_nationkey % 5 WHEN 0 THEN 'CA' WHEN 1 THEN 'TX' WHEN 2 THEN 'NY' ELSE 'S' || CAST(s_nationkey AS VARCHAR) END AS state,
         CASE s_suppkey % 6 WHEN 0 THEN 'REP' WHEN 1 THEN 'DEM' WHEN 2 THEN 'NPA' WHEN 3 THEN 'LIB' WHEN 4 THEN '' ELSE 'UN' END AS party FROM supplier""",
     "fx_candidates": """SELECT substr('HSP', CAST(p_partkey % 3 AS INT) + 1, 1) || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS cand_id, p_name AS name, p_brand AS city, p_type AS state,
         CASE p_partkey % 7 WHEN 0 THEN 'REP' WHEN 1 THEN 'DEM' WHEN 2 THEN 'IND' WHEN 3 THEN 'GRE' WHEN 4 THEN '' ELSE 'DEM' END AS party,
@@ -286,7 +286,7 @@ _BODIES = {
     "index_update": "SELECT * FROM postings",
     "search_keywords": f"SELECT {_LOOKUP} FROM lookup WHERE id IN (SELECT id FROM ({_search(SEARCHES[0])})) AND (SELECT count(*) FROM ({_search(SEARCHES[0])})) <= 500",
     "search_status": " UNION ALL ".join(f"SELECT '{t}' AS query, count(*) AS results, CASE WHEN count(*) = 0 THEN 'NO_RESULTS' WHEN count(*) > 500 THEN 'MAX_LENGTH' ELSE 'OK' END AS status FROM ({_search(t)})" for t in SEARCHES),
-    "search_documents": _search("The ereat of thing, and that").replace("FROM postings", "FROM doc_postings"),
+    "search_documents": _search(DOCUMENT_SEARCH).replace("FROM postings", "FROM doc_postings"),
     "lookup_by_ids": f"""SELECT CAST(a.position AS INT) AS position, a.id, coalesce(l.name, 'Unknown') AS name, l.city, l.state, l.employer, l.bucket, array_to_string(l.years, ',') AS years, l.partition
         FROM (VALUES (0, 'C00000007'), (1, 'C00000001'), (2, 'nothing'), (3, 'C90000001')) AS a(position, id) LEFT JOIN lookup l ON a.id = l.id""",
     "missing_lookup_ids": "SELECT DISTINCT id FROM (SELECT other_id AS id FROM ledger UNION SELECT cmte_id || 'X' FROM fx_committees) WHERE id NOT IN (SELECT id FROM lookup)",
@@ -325,6 +325,24 @@ _BODIES = {
     "view_candidate": f"""SELECT x.*, t.in_amt, t.out_amt, t.net_balance FROM ({_profile("cand_recipients", "S00000085")} UNION ALL {_profile("cand_senders", "S00000085")}) x LEFT JOIN cand_totals t ON t.cycle = x.cycle AND t.cand_id = x.owner_id""",
     "view_individual": """SELECT e.cycle, e.owner_id, e.list_name, e.cp_id, f.name AS cp_name, CAST(e.amt AS DOUBLE) AS amt, e.txs, t.in_amt, t.out_amt, t.net_balance FROM edges e LEFT JOIN filers f ON e.cp_id = f.cmte_id
         LEFT JOIN indv_totals t ON t.cycle = e.cycle AND t.indv_id = e.owner_id WHERE e.list_name IN ('indv_recipients', 'indv_senders') AND e.owner_id IN (SELECT md5(name || ' - ' || zip) FROM fx_contributions WHERE name = 'Customer#000000007')""",
+    "view_candidate_profile": f"""SELECT p.cycle, c.cand_id, c.name, c.party, CASE left(c.cand_id, 1) WHEN 'H' THEN 'House' WHEN 'S' THEN 'Senate' ELSE 'President' END AS office_name, c.city, c.state, c.pcc,
+        coalesce(t.in_amt, 0) AS in_amt, coalesce(t.out_amt, 0) AS out_amt, coalesce(t.net_balance, 0) AS net_balance, p.rec, p.donor, p.exp
+        FROM fx_candidates c JOIN pcc_totals p ON p.cand_id = c.cand_id LEFT JOIN cand_totals t ON t.cand_id = c.cand_id AND t.cycle = p.cycle""",
+    "read_filing_files": "SELECT cycle, cmte_id, name, zip, CAST(tx_amt AS DOUBLE) AS tx_amt, sub_id, '' AS category FROM fx_disbursements",
+    "year_gates": f"""SELECT 'contributions' AS file, cycle, count(*) AS lines FROM fx_contributions GROUP BY cycle UNION ALL SELECT 'disbursements', cycle, count(*) FROM fx_disbursements WHERE cycle >= 2004 GROUP BY cycle
+        UNION ALL SELECT 'committee_financials', CAST(y.cycle AS INT), count(*) FROM fx_committees CROSS JOIN {_CYCLES} WHERE y.cycle >= 1996 GROUP BY y.cycle""",
+    "get_years": f"SELECT cycle, cmte_id, total_in_amt, total_out_amt, net_balance FROM cmte_totals WHERE cmte_id = 'C00000003' AND cycle IN ({_MERGED})",
+    "saved_rankings": "SELECT * FROM rankings WHERE bucket = 'cmte_tx_data' AND cycle = 1998",
+    "saved_yearly_totals": "SELECT * FROM yearly",
+    "get_caches": """SELECT 'preview' AS kind, ranking_id || '-pre' AS id, rank, entity_id, total FROM rankings WHERE rank <= 10 UNION ALL SELECT 'list', ranking_id, rank, entity_id, total FROM rankings
+        UNION ALL SELECT 'total', total_id, 0, '', total FROM yearly""",
+    "export_entities": "SELECT bucket AS pk, id AS sk, name, city, state, employer FROM entities",
+    "export_rankings": "SELECT ranking_id AS pk, lpad(CAST(rank AS VARCHAR), 6, '0') AS sk, entity_id, total FROM rankings",
+    "export_totals": "SELECT CAST(cycle AS VARCHAR) AS pk, total_id AS sk, category, party, total FROM yearly",
+    "export_index_metadata": """SELECT 'index' AS kind, left(term, 1) AS partition, count(*) AS terms, CAST(sum(ceil(n / 1250.0)) AS BIGINT) AS shards, CAST(sum(n) AS BIGINT) AS entries FROM (SELECT term, count(*) AS n FROM postings GROUP BY term) GROUP BY left(term, 1)
+        UNION ALL SELECT 'lookup', partition, CAST(0 AS BIGINT), CAST(0 AS BIGINT), count(*) FROM lookup GROUP BY partition""",
+    "missing_item_log": """SELECT id, count(*) AS times, min(batch) AS first_batch FROM (SELECT DISTINCT id, CAST(0 AS INT) AS batch FROM (SELECT other_id AS id FROM ledger UNION SELECT cmte_id || 'X' FROM fx_committees) WHERE id NOT IN (SELECT id FROM lookup)
+        UNION ALL SELECT cmte_id || 'Y', 1 FROM fx_committees) GROUP BY id""",
 }
 
 ORACLE_SQL = {name: sql(body) for name, body in _BODIES.items()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +12,14 @@ from sluice.functions import expressions as X
 from sluice.operators import edges, graph, ledger, merge, rankings, search, tables, totals
 from sluice.plans.book import Book
 from sluice.sources import filings, fixtures
-from sluice.sources.shared import shared_folder
+from sluice.sources.shared import new_folder, written
 from sluice.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEARCHES = ("customer 000000001", "The Supplier", "supplier#000000007", "the of", "automobile building", "zzz nothing")
 TERM = "building"
+DOCUMENT_SEARCH = "De La"
+VIEWED_COMMITTEE, VIEWED_CANDIDATE = "C00000003", "S00000085"
 MERGED_CYCLES = (1998, 2000)
 
 
@@ -306,8 +307,7 @@ def ranking_grid(b: Book) -> DataFrame:
 
 @query
 def ranking_labels(b: Book) -> DataFrame:
-    lists = b.rankings.select("ranking_id", "bucket", "category", "party").distinct()
-    return rankings.labels(lists)
+    return rankings.labels(rankings.lists_of(b.measures))
 
 
 @query
@@ -456,7 +456,7 @@ def search_status(b: Book) -> DataFrame:
 @query
 def search_documents(b: Book) -> DataFrame:
     """Documents that hold all terms of a query."""
-    return search.match(b.document_postings, "The ereat of thing, and that")
+    return search.match(b.document_postings, DOCUMENT_SEARCH)
 
 
 @query
@@ -595,7 +595,7 @@ def incremental_totals(b: Book) -> DataFrame:
 def stream_ingest(b: Book) -> DataFrame:
     """Events loaded as a file stream and summed by user; a second run over the same files adds nothing."""
     events = fixtures.read(b.spark, b.sf_dir, "events").select("event_id", "user_id", "value")
-    root = f"{shared_folder(b.spark)}/stream-{uuid.uuid4().hex}"
+    root = new_folder(b.spark, "stream")
     events.repartition(4, "user_id").write.parquet(f"{root}/in")
     for _ in range(2):
         ingest.ingest(b.spark, f"{root}/in", events.schema, f"{root}/out", f"{root}/checkpoint", "event_id", 2)
@@ -606,36 +606,141 @@ def stream_ingest(b: Book) -> DataFrame:
 # Profiles --------------------------------------------------------------------------------------------------------
 
 
-def _shown(b: Book, name: str, owner: str) -> DataFrame:
-    rows = edges.edge_list(b.edges, name).where(F.col("owner_id") == owner)
-    words = b.entities.select(F.col("id").alias("cp_id"), F.col("name").alias("cp_name"))
-    return rows.join(words, "cp_id", "left").select("cycle", F.lit(name).alias("list_name"), "owner_id", "cp_id", F.coalesce("cp_name", F.lit("Unknown")).alias("cp_name"), "amt", "txs", X.ratio(F.col("amt").cast("decimal(28,2)"), F.col("txs")).alias("avg_amt"))
+def _shown(b: Book, owner: str, *names: str) -> DataFrame:
+    """Lists of one owner with the names of the counterparties."""
+    rows = written(edges.edges_of(b.ledger, b.expenses, owner, names), "shown")
+    asked = F.broadcast(rows.select(F.col("cp_id").alias("id")).distinct())  # an owner's counterparties
+    words = b.entities.join(asked, "id", "left_semi").select(F.col("id").alias("cp_id"), F.col("name").alias("cp_name"))
+    return rows.join(words, "cp_id", "left").select("cycle", "list_name", "owner_id", "cp_id", F.coalesce("cp_name", F.lit("Unknown")).alias("cp_name"), "amt", "txs", X.ratio(F.col("amt").cast("decimal(28,2)"), F.col("txs")).alias("avg_amt"))
 
 
 @query
 def view_committee(b: Book) -> DataFrame:
     """A committee's four lists beside its totals."""
-    made = None
-    for name in ("top_indv_contributors", "top_cmte_contributors", "transfer_recipients", "top_exp_recipients"):
-        part = _shown(b, name, "C00000003")
-        made = part if made is None else made.union(part)
-    own = b.committee_totals.where("cmte_id = 'C00000003'").select("cycle", "total_in_amt", "total_out_amt", "net_balance")
-    names = b.filers.where("cmte_id = 'C00000003'").select(F.col("cmte_id").alias("owner_id"), "name", "party")
+    made = _shown(b, VIEWED_COMMITTEE, "top_indv_contributors", "top_cmte_contributors", "transfer_recipients", "top_exp_recipients")
+    rows = totals.committee_postings(b.ledger, b.expenses).where(F.col("cmte_id") == VIEWED_COMMITTEE)
+    own = totals.committee_totals(rows).select("cycle", "total_in_amt", "total_out_amt", "net_balance")
+    names = b.filers.where(F.col("cmte_id") == VIEWED_COMMITTEE).select(F.col("cmte_id").alias("owner_id"), "name", "party")
     return made.join(own, "cycle").join(names, "owner_id")
 
 
 @query
 def view_candidate(b: Book) -> DataFrame:
-    made = _shown(b, "cand_recipients", "S00000085").union(_shown(b, "cand_senders", "S00000085"))
-    own = b.candidate_totals.where("cand_id = 'S00000085'").select("cycle", "in_amt", "out_amt", "net_balance")
+    """A candidate's two lists beside the direct totals."""
+    made = _shown(b, VIEWED_CANDIDATE, "cand_recipients", "cand_senders")
+    own = b.candidate_totals.where(F.col("cand_id") == VIEWED_CANDIDATE).select("cycle", "in_amt", "out_amt", "net_balance")
     return made.join(own, "cycle", "left")
 
 
+@query
+def view_candidate_profile(b: Book) -> DataFrame:
+    """Candidates' own rows by cycle: name, party, office, state, direct totals and those that their principal committee stands for."""
+    offices = codes.code_table(b.spark, codes.OFFICES, "office", "office_name")
+    who = b.candidates.select("cand_id", "name", "party", "city", "state", "pcc", F.substring("cand_id", 1, 1).alias("office")).join(F.broadcast(offices), "office", "left")
+    direct = b.candidate_totals.select("cycle", "cand_id", "in_amt", "out_amt", "net_balance")
+    shown = b.pcc_totals.select("cycle", "cand_id", "rec", "donor", "exp")
+    zero = F.lit(0.0)
+    rows = who.join(shown, "cand_id").join(direct, ["cycle", "cand_id"], "left")
+    return rows.select("cycle", "cand_id", "name", "party", F.coalesce("office_name", F.lit("")).alias("office_name"), "city", "state", "pcc", *(F.coalesce(c, zero).alias(c) for c in ("in_amt", "out_amt", "net_balance")), "rec", "donor", "exp")
+
+
 @query
 def view_individual(b: Book) -> DataFrame:
+    """Lists and totals of all persons of one name."""
     who = b.contributions.where("name = 'Customer#000000007'").select(X.organisation_key(F.col("name"), F.col("zip")).alias("owner_id")).distinct()
-    rows = b.edges.where("list_name in ('indv_recipients', 'indv_senders')").join(F.broadcast(who.limit(1)), "owner_id", "left_semi")
+    rows = b.edges.where("list_name in ('indv_recipients', 'indv_senders')").join(who, "owner_id", "left_semi")
     names = b.filers.select(F.col("cmte_id").alias("cp_id"), F.col("name").alias("cp_name"))
     own = b.individual_totals.select("cycle", F.col("indv_id").alias("owner_id"), "in_amt", "out_amt", "net_balance")
     made = rows.join(names, "cp_id", "left").join(own, ["cycle", "owner_id"], "left")
     return made.select("cycle", "owner_id", "list_name", "cp_id", "cp_name", F.col("amt").cast("double").alias("amt"), "txs", "in_amt", "out_amt", "net_balance")
+
+
+# Files, saved tables and exports ---------------------------------------------------------------------------------
+
+
+@query
+def read_filing_files(b: Book) -> DataFrame:
+    """Disbursements written as text files by cycle, and read back from them."""
+    columns = {c: c for c in ("cmte_id", "name", "zip", "tx_amt", "sub_id")}
+    folder = new_folder(b.spark, "filings")
+    filings.write_lines(filings.to_lines(b.disbursements, "disbursements", columns, "cycle"), folder)
+    made = filings.scan(filings.read_lines(b.spark, folder), "disbursements", "cycle")
+    return made.select("cycle", "cmte_id", "name", "zip", F.col("tx_amt").cast("double").alias("tx_amt"), "sub_id", "category")
+
+
+@query
+def year_gates(b: Book) -> DataFrame:
+    """Lines by file and cycle, for the cycles in which a file is published."""
+    lines = {"contributions": b.contributions, "disbursements": b.disbursements, "committee_financials": totals.cycle_seeds(b.committees, "cmte_id", b.cycles)}
+    parts = [filings.published(rows.select("cycle"), file).groupBy("cycle").agg(F.count("*").alias("lines")).withColumn("file", F.lit(file)) for file, rows in lines.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def get_years(b: Book) -> DataFrame:
+    return tables.get_years(b.committee_totals, MERGED_CYCLES, cmte_id=VIEWED_COMMITTEE).select("cycle", "cmte_id", "total_in_amt", "total_out_amt", "net_balance")
+
+
+@query
+def saved_rankings(b: Book) -> DataFrame:
+    """Rankings of committees saved by cycle, one cycle saved again, and a cycle's list of one category loaded."""
+    ranks = rankings.rankings(b.committee_measures)
+    folder = new_folder(b.spark, "rankings")
+    tables.save(ranks, folder, "cycle", "category")
+    saved = tables.load(b.spark, folder, ranks.schema, cycle=1998, category="rec")
+    tables.save(written(saved, "one-list"), folder, "cycle", "category")
+    return tables.load(b.spark, folder, ranks.schema, cycle=1998).select(*ranks.columns)
+
+
+@query
+def saved_yearly_totals(b: Book) -> DataFrame:
+    """Yearly totals saved and loaded."""
+    made, folder = b.yearly_totals, new_folder(b.spark, "totals")
+    tables.save(made, folder, "cycle")
+    return tables.load(b.spark, folder, made.schema).select(*made.columns)
+
+
+@query
+def get_caches(b: Book) -> DataFrame:
+    """Previews, full lists and yearly totals in one answer: (kind, id, rank, entity_id, total)."""
+    ranks = written(b.rankings, "rankings")
+    columns = ("ranking_id", "rank", "entity_id", "total")
+    lists = rankings.preview(ranks).select(F.lit("preview").alias("kind"), *columns).union(ranks.select(F.lit("list"), *columns))
+    sums = b.yearly_totals.select(F.lit("total"), "total_id", F.lit(0), F.lit(""), "total")
+    return lists.union(sums).withColumnRenamed("ranking_id", "id")
+
+
+@query
+def export_entities(b: Book) -> DataFrame:
+    """Every entity under its bucket and id."""
+    return tables.serving_rows(b.entities, F.col("bucket"), "id").select("pk", "sk", "name", "city", "state", "employer")
+
+
+@query
+def export_rankings(b: Book) -> DataFrame:
+    """Entries of the rankings under their list and rank."""
+    return tables.serving_rows(b.rankings.withColumn("place", F.lpad(F.col("rank").cast("string"), 6, "0")), F.col("ranking_id"), "place").select("pk", "sk", "entity_id", "total")
+
+
+@query
+def export_totals(b: Book) -> DataFrame:
+    """Yearly totals under their cycle."""
+    return tables.serving_rows(b.yearly_totals, F.col("cycle").cast("string"), "total_id").select("pk", "sk", "category", "party", "total")
+
+
+@query
+def export_index_metadata(b: Book) -> DataFrame:
+    return search.index_metadata(search.posting_shards(b.postings), b.lookup)
+
+
+@query
+def missing_item_log(b: Book) -> DataFrame:
+    """Ids that two rounds of lookups missed, from a log that both were added to, the second twice."""
+    folder = new_folder(b.spark, "missing")
+    asked = b.ledger.select(F.col("other_id").alias("id"), "cycle")
+    missing = written(search.missing_ids(b.lookup, asked.select("id").union(b.committees.select(F.concat("cmte_id", F.lit("X"))))), "asked")
+    tables.append_log(missing, folder, 0)
+    late = search.missing_ids(b.lookup, b.committees.select(F.concat("cmte_id", F.lit("Y")).alias("id")))
+    for _ in range(2):
+        tables.append_log(late, folder, 1)
+    return b.spark.read.schema("id string, batch int").parquet(folder).groupBy("id").agg(F.count("*").alias("times"), F.min("batch").alias("first_batch"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: States of committees by the remainder of their nation; the others have codes that are no states.
+STATE_CODES = ("CA", "TX", "NY")
 #: Cycles that the given tables cover.
 LOADED_CYCLES = (1996, 1998, 2000, 2002)
 
@@ -32,7 +34,8 @@ def committees(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, nation = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
     return read(spark, sf_dir, "supplier").select(
         F.concat(F.lit("C"), _padded(key, 8)).alias("cmte_id"), F.col("s_name").alias("name"), F.concat(F.lit("CITY "), nation).alias("city"),
-        F.concat(F.lit("S"), nation).alias("state"), _pick(key % 6, ("REP", "DEM", "NPA", "LIB", "", "UN")).alias("party"),
+        F.coalesce(F.get(F.array(*map(F.lit, STATE_CODES)), (F.col("s_nationkey") % 5).cast("int")), F.concat(F.lit("S"), nation)).alias("state"),
+        _pick(key % 6, ("REP", "DEM", "NPA", "LIB", "", "UN")).alias("party"),
     )
 
 
