@@ -4,8 +4,8 @@ A line's key is the line with white space stripped at both ends and A-Z lower-ca
 table of references (key, doc_id), the counts made from it (documents that hold a key, and the largest of them), and
 a cuckoo filter for each shard of the keys. Documents come and go in batches. An insert writes the batch's own rows
 and nothing else: keys that the filters don't know are new and go straight into the table of counts, only the others
-are looked up there. A delete counts the keys of the leaving documents again, and a key leaves its filter with its
-last reference. When the keys outgrow their shards, the filters are made anew with more of them.
+are looked up there. A delete takes the leaving documents from the counts of their keys, and a key leaves its filter with
+its last reference. When the keys outgrow their shards, the filters are made anew with more of them.
 
 Lines are removed by exact counts only: a filter's false positive costs time, never a line.
 """
@@ -223,10 +223,14 @@ def delete_documents(state: LineState, doc_ids: DataFrame) -> LineState:
     """Take documents (doc_id) out again; keys without references leave their filter. Unknown ids change nothing."""
     n, keep = state.version + 1, state.scratch.keep
     ids = keep(doc_ids.select("doc_id").where("doc_id is not null").distinct(), f"gone-{n}")
-    touched = keep(state.refs.join(ids, "doc_id", "left_semi").select("k1", "k2").distinct(), f"touched-{n}")
+    left = reference_counts(state.refs.join(ids, "doc_id", "left_semi")).select("k1", "k2", F.col("n_docs").alias("left"), F.col("max_doc").alias("top_left"))
+    rest = state.counts.join(left, ["k1", "k2"]).withColumn("n_docs", F.col("n_docs") - F.col("left"))
+    touched = keep(rest.select("k1", "k2", "n_docs", "max_doc", ((F.col("top_left") == F.col("max_doc")) & (F.col("n_docs") > 0)).alias("headless")), f"touched-{n}")
     made = replace(state, gone=(*state.gone, (n, ids)), version=n)
-    again = reference_counts(made.refs.join(touched, ["k1", "k2"], "left_semi"))
-    again = touched.join(again, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "max_doc", F.lit(n).alias("version"))
+    # Only keys whose largest document left are looked up among the references that stay.
+    headless = touched.where("headless").select("k1", "k2")
+    heads = made.refs.join(headless, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.max("doc_id").alias("head"))
+    again = touched.join(heads, ["k1", "k2"], "left").select("k1", "k2", "n_docs", F.coalesce("head", "max_doc").alias("max_doc"), F.lit(n).alias("version"))
     again = keep(again, f"counts-{n}")
     state.scratch.drop(f"touched-{n}")
     last = again.where("n_docs = 0").select("k1", "k2")
