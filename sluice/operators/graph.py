@@ -24,10 +24,10 @@ def direct_share(weighted: DataFrame, cycle: int) -> DataFrame:
 
 
 def total_share(weighted: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
-    """(cycle, source, target, pct, paths): over simple paths, the sum of their products of shares.
+    """(cycle, source, target, pct, paths, max_hops): over simple paths, the sum of their products of shares.
 
     Weighted edges beyond the first hop go from committee to committee. The search ends where no path can be
-    extended, or after `hops` edges if given. Paths of one length that hold the same nodes and end at the same one are
+    extended, or after `hops` edges if given; max_hops is that bound, null for none. Paths of one length that hold the same nodes and end at the same one are
     extended together, so rows grow with the sets of committees that give to committees, not with their orders.
     """
     first = weighted.join(sources.select("cycle", F.col("source").alias("src")), ["cycle", "src"]).where("src <> dst")
@@ -48,17 +48,22 @@ def total_share(weighted: DataFrame, sources: DataFrame, hops: int | None = None
         merged = merged.withColumn("weight", F.when(F.col("rows") == 1, F.col("only")).otherwise(F.col("sum")))
         paths = merged.join(between, ["cycle", "target"]).where(~F.array_contains("path", F.col("dst")))
         paths = paths.select("cycle", "source", F.col("dst").alias("target"), F.concat("path", F.array("dst")).alias("path"), (F.col("weight") * F.col("next")).alias("weight"), "n")
-    return found.groupBy("cycle", "source", "target").agg(F.sum("pct").cast("double").alias("pct"), F.sum("paths").alias("paths"))
+    return found.groupBy("cycle", "source", "target").agg(F.sum("pct").cast("double").alias("pct"), F.sum("paths").alias("paths")).withColumn("max_hops", F.lit(hops).cast("int"))
 
 
-def flow_edges(all_edges: DataFrame, totals: DataFrame) -> DataFrame:
-    """(cycle, src, dst, edge_type, weight): donors' and committees' money out, expenses, and transfers to candidates."""
+def flows(all_edges: DataFrame) -> DataFrame:
+    """(cycle, src, dst, edge_type, amt): donors' and committees' money out, expenses, and transfers to candidates."""
     kinds = {"top_indv_contributors": "donor_out", "transfer_recipients": "cmte_out", "top_exp_recipients": "exp_out", "cand_senders": "cand_in"}
     kind = F.element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), F.col("list_name"))
     out = F.col("list_name").isin("transfer_recipients", "top_exp_recipients")
     src, dst = F.when(out, F.col("owner_id")).otherwise(F.col("cp_id")), F.when(out, F.col("cp_id")).otherwise(F.col("owner_id"))
+    return all_edges.where(F.col("list_name").isin(*kinds)).select("cycle", src.alias("src"), dst.alias("dst"), kind.alias("edge_type"), "amt")
+
+
+def flow_edges(all_edges: DataFrame) -> DataFrame:
+    """(cycle, src, dst, edge_type, weight): flows, weighted by their part of what the receiver has of that type."""
     # Written once, as both the edges and their sums by receiver are made of them.
-    made = written(all_edges.where(F.col("list_name").isin(*kinds)).select("cycle", src.alias("src"), dst.alias("dst"), kind.alias("edge_type"), "amt"), "flows")
+    made = written(flows(all_edges), "flows")
     received = made.groupBy("cycle", "dst", "edge_type").agg(F.sum("amt").alias("received"))
     return made.join(received, ["cycle", "dst", "edge_type"]).select("cycle", "src", "dst", "edge_type", ratio(F.col("amt"), F.col("received")).alias("weight"))
 
@@ -80,9 +85,10 @@ def reach(edges: DataFrame, roots: Sequence[str], hops: int | None = None, keys:
     """
     spark = edges.sparkSession
     links = written(edges.select(*keys, "src", "dst").distinct(), "links")
-    start = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "id string")
     if keys:
-        start = links.select(*keys).distinct().crossJoin(start)
+        start = links.select(*keys).distinct().withColumn("id", F.explode(F.array(*map(F.lit, dict.fromkeys(roots)))))
+    else:
+        start = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "id string")
     folder = new_folder(spark, "reach")
     schema = StructType([*start.schema, StructField("hop", IntegerType())])
     start.write.parquet(f"{folder}/hop=0")

@@ -6,7 +6,7 @@ import re
 
 from sluice.functions import codes
 from sluice.functions.codes import INDEPENDENT, TRANSFER_TYPES
-from sluice.plans.queries import DOCUMENT_SEARCH, MERGED_CYCLES, SEARCHES, TERM
+from sluice.plans.queries import DOCUMENT_SEARCH, MERGED_CYCLES, REACH_ROOTS, SEARCHES, TERM
 from sluice.sources.fixtures import LOADED_CYCLES
 
 
@@ -292,7 +292,7 @@ _BODIES = {
     "missing_lookup_ids": "SELECT DISTINCT id FROM (SELECT other_id AS id FROM ledger UNION SELECT cmte_id || 'X' FROM fx_committees) WHERE id NOT IN (SELECT id FROM lookup)",
     "term_entities": f"SELECT {_LOOKUP} FROM lookup WHERE id IN (SELECT id FROM postings WHERE term = '{TERM}' ORDER BY id LIMIT 200)",
     "direct_pct": "SELECT * FROM shares",
-    "total_pct": """SELECT CAST(1998 AS INT) AS cycle, source, target, CAST(sum(CAST(round(weight, 12) AS DECIMAL(28,12))) AS DOUBLE) AS pct, count(*) AS paths FROM (
+    "total_pct": """SELECT CAST(1998 AS INT) AS cycle, source, target, CAST(sum(CAST(round(weight, 12) AS DECIMAL(28,12))) AS DOUBLE) AS pct, count(*) AS paths, CAST(3 AS INT) AS max_hops FROM (
         WITH w AS (SELECT * FROM shares WHERE cycle = 1998), p1 AS (SELECT src AS source, dst AS target, [src, dst] AS path, weight FROM w WHERE src IN ('C00000001', 'C00000002') AND src <> dst),
         p2 AS (SELECT source, dst AS target, list_append(path, dst) AS path, p1.weight * w.weight AS weight FROM p1 JOIN w ON p1.target = w.src WHERE NOT list_contains(path, dst)),
         p3 AS (SELECT source, dst AS target, list_append(path, dst) AS path, p2.weight * w.weight AS weight FROM p2 JOIN w ON p2.target = w.src WHERE NOT list_contains(path, dst))
@@ -300,9 +300,10 @@ _BODIES = {
     "graph_edges": f"SELECT cycle, src, dst, edge_type, {_avg('amt', 'received')} AS weight FROM (SELECT *, sum(amt) OVER (PARTITION BY cycle, dst, edge_type) AS received FROM flows)",
     "graph_nodes": """SELECT id, CASE WHEN length(id) >= 16 THEN 'indv' WHEN left(id, 1) IN ('H', 'S', 'P') THEN 'cand' WHEN left(id, 1) <> 'C' THEN 'indv' WHEN id IN (SELECT pcc FROM fx_candidates) THEN 'pcc' ELSE 'pac' END AS node_type
         FROM (SELECT src AS id FROM flows UNION SELECT dst FROM flows)""",
-    "graph_reach": """SELECT id, min(hop) AS hop FROM (WITH e AS (SELECT DISTINCT src, dst FROM flows WHERE cycle = 1998 AND edge_type = 'cmte_out'), h0 AS (SELECT * FROM (VALUES ('C00000011', 0), ('C00000012', 0)) AS r(id, hop)),
-        h1 AS (SELECT DISTINCT dst AS id, 1 AS hop FROM e JOIN h0 ON src = id), h2 AS (SELECT DISTINCT dst AS id, 2 AS hop FROM e JOIN h1 ON src = id), h3 AS (SELECT DISTINCT dst AS id, 3 AS hop FROM e JOIN h2 ON src = id)
-        SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY id""",
+    "graph_reach": f"""SELECT cycle, id, hop FROM (WITH RECURSIVE links AS MATERIALIZED (SELECT DISTINCT cycle, src, dst FROM flows), reached(cycle, id, hop) USING KEY (cycle, id) AS (
+        SELECT DISTINCT l.cycle, r.id, CAST(0 AS INT) FROM links l, (VALUES {_values([(r,) for r in REACH_ROOTS])}) AS r(id)
+        UNION SELECT l.cycle, l.dst, min(f.hop) + 1 FROM reached f JOIN links l ON l.cycle = f.cycle AND l.src = f.id
+        WHERE NOT EXISTS (FROM recurring.reached s WHERE s.cycle = l.cycle AND s.id = l.dst) GROUP BY l.cycle, l.dst) SELECT * FROM reached)""",
     "keyed_upsert": "SELECT cmte_id, name, CASE WHEN party = 'REP' THEN 'MOVED' ELSE city END AS city, state, party FROM fx_committees",
     "insert_new_keys": "SELECT cmte_id, CASE WHEN registered THEN name ELSE upper(name) END AS name, city, state, party FROM filers",
     "get_object": "SELECT cycle, cmte_id, total_in_amt, total_out_amt, net_balance FROM cmte_totals WHERE cycle = 1998 AND cmte_id = 'C00000003'",

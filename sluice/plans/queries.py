@@ -21,6 +21,7 @@ TERM = "building"
 DOCUMENT_SEARCH = "De La"
 VIEWED_COMMITTEE, VIEWED_CANDIDATE = "C00000003", "S00000085"
 MERGED_CYCLES = (1998, 2000)
+REACH_ROOTS = ("C00000011", "C00000012")
 
 
 def query(function: Callable[[Book], DataFrame]) -> Callable[[Book], DataFrame]:
@@ -492,18 +493,18 @@ def total_pct(b: Book) -> DataFrame:
 
 @query
 def graph_edges(b: Book) -> DataFrame:
-    return graph.flow_edges(b.edges, b.committee_totals)
+    return graph.flow_edges(b.edges)
 
 
 @query
 def graph_nodes(b: Book) -> DataFrame:
-    return graph.nodes(graph.flow_edges(b.edges, b.committee_totals), b.candidates)
+    return graph.nodes(graph.flows(b.edges), b.candidates)
 
 
 @query
 def graph_reach(b: Book) -> DataFrame:
-    rows = graph.flow_edges(b.edges, b.committee_totals).where("cycle = 1998 and edge_type = 'cmte_out'")
-    return graph.reach(rows, ["C00000011", "C00000012"])
+    """All that money of two committees can have reached, over edges of every type, apart for each cycle."""
+    return graph.reach(graph.flows(b.edges), REACH_ROOTS, keys=["cycle"])
 
 
 # Tables ----------------------------------------------------------------------------------------------------------

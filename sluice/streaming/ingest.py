@@ -6,23 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+#: Keeps state on the executors' disks rather than in their heap, and its changes in the checkpoint's folder.
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, key: str, files_per_batch: int = 100) -> None:
     """Append new Parquet files of `source` to `target`, each key once, and stop when all are read.
 
-    The batch's number is part of the written folder, so a batch that runs again replaces its own rows; keys that
-    earlier batches hold are left out.
+    The keys met so far are the stream's state, kept by key in the checkpoint's folder, so a batch looks up its own keys
+    and never reads the target. The batch's number is part of the written folder: a batch that runs again starts
+    from the same state and replaces its own rows. Rows without a key are one key.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source).dropDuplicates([key])
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        stored = stored_rows(batch.sparkSession, target)
-        if stored is not None:
-            fresh = fresh.join(stored.where(F.col("batch_id") != number).select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch_id={number}")
-
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={number}")
+
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+    try:
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    query.awaitTermination()
 
 
 def stored_rows(spark: SparkSession, target: str) -> DataFrame | None:
