@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import chat_format, fingerprints, license_scan, line_dedup, near_dedup, packing, piece_codec, quality_classifier, quality_rules, token_counts
+from sluice.llm import chat_format, divergence, fingerprints, license_scan, line_dedup, mixing, near_dedup, packing, piece_codec, quality_classifier, quality_rules, spelling, token_counts
 from sluice.llm.common import ship, table
 
 
@@ -64,6 +64,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the forms that they are variants of."""
+    return spelling.variant_report(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's words lie from those of the other sources of its language."""
+    return divergence.divergence_report(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of every document."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -83,12 +98,17 @@ _ALL = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 QUERIES = {name: _shipped(query) for name, query in _ALL.items()}
 
 ORACLE_SQL = {
     "op3_license_scan": license_scan.oracle(),
+    "op11_spelling_variants": spelling.oracle(),
+    "op12_source_divergence": divergence.oracle(),
     "op7_chat_formatting": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
