@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sluice.functions.expressions import entity_bucket, ratio
+from sluice.operators.ownership import total_ownership
 from sluice.sources.shared import new_folder, written
 
 
@@ -19,25 +20,20 @@ def shares(all_edges: DataFrame, totals: DataFrame) -> DataFrame:
     return given.join(into, ["cycle", "dst"]).select("cycle", "src", "dst", ratio(F.col("amt"), F.col("contributions_amt")).alias("weight"))
 
 
-def direct_share(weighted: DataFrame, cycle: int) -> DataFrame:
-    return weighted.where(F.col("cycle") == cycle).select("src", "dst", "weight")
-
-
 def total_share(weighted: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
     """(cycle, source, target, pct, paths, max_hops): over simple paths, the sum of their products of shares.
 
-    Weighted edges beyond the first hop go from committee to committee. The search ends where no path can be
-    extended, or after `hops` edges if given; max_hops is that bound, null for none. Paths of one length that hold the same nodes and end at the same one are
-    extended together, so rows grow with the sets of committees that give to committees, not with their orders.
+    Without `hops`, see ownership.total_ownership; max_hops is null. With it, paths are followed up to so many edges. Weighted edges beyond the first hop go from committee to committee. Paths
+    of one length that hold the same nodes and end at the same one are extended together.
     """
+    if hops is None:
+        return total_ownership(weighted, sources).withColumn("max_hops", F.lit(None).cast("int"))
     first = weighted.join(sources.select("cycle", F.col("source").alias("src")), ["cycle", "src"]).where("src <> dst")
     paths = first.select("cycle", F.col("src").alias("source"), F.col("dst").alias("target"), F.array("src", "dst").alias("path"), "weight", F.lit(1).cast("long").alias("n"))
     between = written(weighted.where(entity_bucket(F.col("src")) == "committee").select("cycle", F.col("src").alias("target"), "dst", F.col("weight").alias("next")), "between")
     found, hop = None, 1
     while True:
         paths = written(paths, f"paths-{hop}")
-        if found is not None and paths.isEmpty():
-            break
         # Rounded terms are added as decimals, so that the order of the paths doesn't matter.
         part = paths.groupBy("cycle", "source", "target").agg(F.sum(F.round("weight", 12).cast("decimal(28,12)")).alias("pct"), F.sum("n").alias("paths"))
         found = part if found is None else found.union(part)
@@ -51,21 +47,36 @@ def total_share(weighted: DataFrame, sources: DataFrame, hops: int | None = None
     return found.groupBy("cycle", "source", "target").agg(F.sum("pct").cast("double").alias("pct"), F.sum("paths").alias("paths")).withColumn("max_hops", F.lit(hops).cast("int"))
 
 
+#: Type of the edges that each list of counterparties makes. Money leaves the owner in the first three, and comes to the owner in the others.
+EDGE_TYPES = {
+    "indv_recipients": "donor_out", "transfer_recipients": "cmte_out", "top_exp_recipients": "exp_out",
+    "top_indv_contributors": "donor_in", "top_cmte_contributors": "cmte_in", "cand_senders": "cand_in",
+}
+OUTWARD = ("indv_recipients", "transfer_recipients", "top_exp_recipients")
+
+
 def flows(all_edges: DataFrame) -> DataFrame:
-    """(cycle, src, dst, edge_type, amt): donors' and committees' money out, expenses, and transfers to candidates."""
-    kinds = {"top_indv_contributors": "donor_out", "transfer_recipients": "cmte_out", "top_exp_recipients": "exp_out", "cand_senders": "cand_in"}
-    kind = F.element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), F.col("list_name"))
-    out = F.col("list_name").isin("transfer_recipients", "top_exp_recipients")
+    """(cycle, src, dst, edge_type, amt): money out of donors and committees, and money into committees and candidates, as each side lists it."""
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in EDGE_TYPES.items() for x in pair)), F.col("list_name"))
+    out = F.col("list_name").isin(*OUTWARD)
     src, dst = F.when(out, F.col("owner_id")).otherwise(F.col("cp_id")), F.when(out, F.col("cp_id")).otherwise(F.col("owner_id"))
-    return all_edges.where(F.col("list_name").isin(*kinds)).select("cycle", src.alias("src"), dst.alias("dst"), kind.alias("edge_type"), "amt")
+    return all_edges.where(F.col("list_name").isin(*EDGE_TYPES)).select("cycle", src.alias("src"), dst.alias("dst"), kind.alias("edge_type"), "amt")
+
+
+def received(committees: DataFrame, individuals: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(cycle, dst, received): all money that came to an entity, by the totals of each kind; one that files and is paid as well has both."""
+    rows = (
+        committees.select("cycle", F.col("cmte_id").alias("dst"), F.col("total_in_amt").alias("amt"))
+        .union(individuals.select("cycle", "indv_id", "in_amt"))
+        .union(candidates.select("cycle", "cand_id", "in_amt"))
+    )
+    return rows.groupBy("cycle", "dst").agg(F.sum(F.col("amt").cast("decimal(28,2)")).alias("received"))
 
 
-def flow_edges(all_edges: DataFrame) -> DataFrame:
-    """(cycle, src, dst, edge_type, weight): flows, weighted by their part of what the receiver has of that type."""
-    # Written once, as both the edges and their sums by receiver are made of them.
-    made = written(flows(all_edges), "flows")
-    received = made.groupBy("cycle", "dst", "edge_type").agg(F.sum("amt").alias("received"))
-    return made.join(received, ["cycle", "dst", "edge_type"]).select("cycle", "src", "dst", "edge_type", ratio(F.col("amt"), F.col("received")).alias("weight"))
+def flow_edges(all_edges: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(cycle, src, dst, edge_type, weight): flows as parts of all that their receiver has received; 0 where that is nothing."""
+    made = flows(all_edges).join(incoming, ["cycle", "dst"], "left")
+    return made.select("cycle", "src", "dst", "edge_type", ratio(F.col("amt"), F.col("received")).alias("weight"))
 
 
 def nodes(edges: DataFrame, candidates: DataFrame) -> DataFrame:

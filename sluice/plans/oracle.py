@@ -146,8 +146,9 @@ CTES = {
     "doc_postings": f"SELECT DISTINCT unnest({_terms('coalesce(text, chr(32))')}) AS term, doc_id AS id FROM documents",
     "shares": f"""SELECT e.cycle, e.cp_id AS src, e.owner_id AS dst, {_avg("e.amt", "t.contributions_amt")} AS weight FROM edges e JOIN cmte_totals t ON e.cycle = t.cycle AND e.owner_id = t.cmte_id
         WHERE e.list_name IN ('top_indv_contributors', 'top_cmte_contributors') AND t.contributions_amt <> 0""",
-    "flows": """SELECT cycle, cp_id AS src, owner_id AS dst, 'donor_out' AS edge_type, amt FROM edges WHERE list_name = 'top_indv_contributors' UNION ALL SELECT cycle, owner_id, cp_id, 'cmte_out', amt FROM edges WHERE list_name = 'transfer_recipients'
-        UNION ALL SELECT cycle, owner_id, cp_id, 'exp_out', amt FROM edges WHERE list_name = 'top_exp_recipients' UNION ALL SELECT cycle, cp_id, owner_id, 'cand_in', amt FROM edges WHERE list_name = 'cand_senders'""",
+    "flows": """SELECT cycle, owner_id AS src, cp_id AS dst, 'donor_out' AS edge_type, amt FROM edges WHERE list_name = 'indv_recipients' UNION ALL SELECT cycle, owner_id, cp_id, 'cmte_out', amt FROM edges WHERE list_name = 'transfer_recipients'
+        UNION ALL SELECT cycle, owner_id, cp_id, 'exp_out', amt FROM edges WHERE list_name = 'top_exp_recipients' UNION ALL SELECT cycle, cp_id, owner_id, 'donor_in', amt FROM edges WHERE list_name = 'top_indv_contributors'
+        UNION ALL SELECT cycle, cp_id, owner_id, 'cmte_in', amt FROM edges WHERE list_name = 'top_cmte_contributors' UNION ALL SELECT cycle, cp_id, owner_id, 'cand_in', amt FROM edges WHERE list_name = 'cand_senders'""",
 }
 
 
@@ -292,12 +293,20 @@ _BODIES = {
     "missing_lookup_ids": "SELECT DISTINCT id FROM (SELECT other_id AS id FROM ledger UNION SELECT cmte_id || 'X' FROM fx_committees) WHERE id NOT IN (SELECT id FROM lookup)",
     "term_entities": f"SELECT {_LOOKUP} FROM lookup WHERE id IN (SELECT id FROM postings WHERE term = '{TERM}' ORDER BY id LIMIT 200)",
     "direct_pct": "SELECT * FROM shares",
-    "total_pct": """SELECT CAST(1998 AS INT) AS cycle, source, target, CAST(sum(CAST(round(weight, 12) AS DECIMAL(28,12))) AS DOUBLE) AS pct, count(*) AS paths, CAST(3 AS INT) AS max_hops FROM (
-        WITH w AS (SELECT * FROM shares WHERE cycle = 1998), p1 AS (SELECT src AS source, dst AS target, [src, dst] AS path, weight FROM w WHERE src IN ('C00000001', 'C00000002') AND src <> dst),
-        p2 AS (SELECT source, dst AS target, list_append(path, dst) AS path, p1.weight * w.weight AS weight FROM p1 JOIN w ON p1.target = w.src WHERE NOT list_contains(path, dst)),
-        p3 AS (SELECT source, dst AS target, list_append(path, dst) AS path, p2.weight * w.weight AS weight FROM p2 JOIN w ON p2.target = w.src WHERE NOT list_contains(path, dst))
-        SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY source, target""",
-    "graph_edges": f"SELECT cycle, src, dst, edge_type, {_avg('amt', 'received')} AS weight FROM (SELECT *, sum(amt) OVER (PARTITION BY cycle, dst, edge_type) AS received FROM flows)",
+    # Paths are followed from committee to committee, those of one set of nodes and one end together; each gives its last edge at the end.
+    "total_pct": f"""SELECT cycle, source, target, round(sum(pct), 9) AS pct, CAST(sum(paths) AS BIGINT) AS paths, CAST(NULL AS INT) AS max_hops FROM (
+        WITH RECURSIVE gives AS MATERIALIZED (SELECT * FROM shares WHERE src LIKE 'C%' AND length(src) = 9 AND src <> dst),
+        onward AS MATERIALIZED (SELECT * FROM gives g WHERE EXISTS (FROM gives h WHERE h.cycle = g.cycle AND h.src = g.dst)),
+        walk AS (SELECT DISTINCT cycle, src AS source, src AS at, [src] AS nodes, CAST(1 AS DOUBLE) AS pct, CAST(1 AS HUGEINT) AS paths FROM gives
+            UNION ALL SELECT w.cycle, w.source, o.dst, list_sort(list_append(w.nodes, o.dst)), sum(w.pct * o.weight), CAST(sum(w.paths) AS HUGEINT)
+            FROM walk w JOIN onward o ON o.cycle = w.cycle AND o.src = w.at WHERE NOT list_contains(w.nodes, o.dst) GROUP BY w.cycle, w.source, o.dst, list_sort(list_append(w.nodes, o.dst)))
+        SELECT w.cycle, w.source, g.dst AS target, w.pct * g.weight AS pct, w.paths FROM walk w JOIN gives g ON g.cycle = w.cycle AND g.src = w.at WHERE NOT list_contains(w.nodes, g.dst)) GROUP BY cycle, source, target""",
+    # Amount over the receiver's total incoming money, taken from the transactions themselves.
+    "graph_edges": f"""SELECT f.cycle, f.src, f.dst, f.edge_type, {_avg("f.amt", "coalesce(r.received, 0)")} AS weight FROM flows f LEFT JOIN (
+        SELECT cycle, id, sum(tx_amt) AS received FROM (
+            SELECT cycle, filer_id AS id, tx_amt FROM ledger WHERE incoming AND NOT is_memo
+            UNION ALL SELECT cycle, other_id, tx_amt FROM ledger WHERE NOT incoming AND tx_type <> '24T' AND NOT is_memo AND bucket <> 'committee'
+            UNION ALL SELECT cycle, person, tx_amt FROM expenses) GROUP BY cycle, id) r ON r.cycle = f.cycle AND r.id = f.dst""",
     "graph_nodes": """SELECT id, CASE WHEN length(id) >= 16 THEN 'indv' WHEN left(id, 1) IN ('H', 'S', 'P') THEN 'cand' WHEN left(id, 1) <> 'C' THEN 'indv' WHEN id IN (SELECT pcc FROM fx_candidates) THEN 'pcc' ELSE 'pac' END AS node_type
         FROM (SELECT src AS id FROM flows UNION SELECT dst FROM flows)""",
     "graph_reach": f"""SELECT cycle, id, hop FROM (WITH RECURSIVE links AS MATERIALIZED (SELECT DISTINCT cycle, src, dst FROM flows), reached(cycle, id, hop) USING KEY (cycle, id) AS (

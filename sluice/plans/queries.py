@@ -486,14 +486,14 @@ def direct_pct(b: Book) -> DataFrame:
 
 @query
 def total_pct(b: Book) -> DataFrame:
-    weighted = graph.shares(b.edges, b.committee_totals).where("cycle = 1998")
-    sources = b.committees.where("cmte_id in ('C00000001', 'C00000002')").select(F.lit(1998).alias("cycle"), F.col("cmte_id").alias("source"))
-    return graph.total_share(weighted, sources, hops=3)
+    """Every committee's total ownership of every other, in every cycle, over all simple paths."""
+    weighted = written(graph.shares(b.edges, b.committee_totals).where(X.entity_bucket(F.col("src")) == "committee"), "shares")
+    return graph.total_share(weighted, weighted.select("cycle", F.col("src").alias("source")).distinct())
 
 
 @query
 def graph_edges(b: Book) -> DataFrame:
-    return graph.flow_edges(b.edges)
+    return graph.flow_edges(b.edges, graph.received(b.committee_totals, b.individual_totals, b.candidate_totals))
 
 
 @query

@@ -39,3 +39,28 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     path = new_folder(frame.sparkSession, purpose)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+class Steps:
+    """Tables of an iteration, written to one shared folder, which is removed when the iteration ends."""
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.purpose, self.made = spark, purpose, 0
+
+    def __enter__(self) -> Steps:
+        self.folder = new_folder(self.spark, self.purpose)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _remove(self.spark, self.folder)
+
+    def keep(self, frame: DataFrame) -> DataFrame:
+        """The frame as a table of the iteration."""
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def result(self, frame: DataFrame) -> DataFrame:
+        """The frame as a table that stays."""
+        return written(frame, self.purpose)
