@@ -23,7 +23,7 @@ LEAST_DOCS = 3
 SCALE = 1_000_000_000
 TERM_RANKS = 200
 #: Bytes of text that are packed and sorted at once; a longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Numbers of the dense tables of shares that are compared at once.
 BLOCK_CELLS = 1 << 18
 
@@ -44,12 +44,22 @@ def _radix_order(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def _packed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, words: int) -> list[np.ndarray]:
-    """Terms as big-endian uint64 words, filled up with zeros, so that their order is that of their bytes."""
-    at = np.arange(8 * words)
-    cells = data[np.minimum(starts[:, None] + at, len(data) - 1)]
-    cells[at >= lengths[:, None]] = 0
-    packed = np.ascontiguousarray(cells).view(">u8").astype(np.uint64)
-    return [packed[:, k] for k in range(words)]
+    """Terms as big-endian uint64 words, filled up with zeros, so that their order is that of their bytes. `data` goes on 16 bytes beyond the last term."""
+    at_byte = np.ndarray(len(data) - 7, dtype=">u8", buffer=data, strides=(1,))
+    out = []
+    for k in range(words):
+        word = at_byte[starts + 8 * k].astype(np.uint64)
+        rest = np.minimum(lengths - 8 * k, 8)  # bytes of the term in this word
+        out.append((word >> ((8 - rest) * 8).astype(np.uint64)) << ((8 - rest) * 8).astype(np.uint64))
+    return out
+
+
+def _texts(terms: np.ndarray) -> pa.StringArray:
+    """Terms of fixed width, filled up with zeros, as an Arrow array."""
+    cells = terms.view(np.uint8).reshape(len(terms), -1)
+    held = cells != 0
+    ends = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(terms), pa.py_buffer(ends), pa.py_buffer(cells[held]))
 
 
 def _runs(changed: np.ndarray) -> np.ndarray:
@@ -69,16 +79,17 @@ def _counted(keys: list[np.ndarray], group: np.ndarray, doc: np.ndarray) -> tupl
 
 def count_slice(data: np.ndarray, doc_ends: np.ndarray, groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(terms, group, n, docs) of each bucket of lengths, of texts that lie one after the other in `data`."""
-    data = _LOWER[data]
+    size = len(data)
+    data = np.concatenate([_LOWER[data], np.zeros(16, np.uint8)])
     # A text's end separates terms as well: 0 is no byte of a term.
-    flags = np.zeros(len(data) + 2, bool)
-    flags[1:-1] = _IS_TERM[data]
-    edge = np.zeros(len(data) + 1, bool)
+    flags = np.zeros(size + 2, bool)
+    flags[1:-1] = _IS_TERM[data[:size]]
+    edge = np.zeros(size + 1, bool)
     edge[doc_ends[:-1]] = True
     starts = np.flatnonzero(flags[1:-1] & (~flags[:-2] | edge[:-1]))
     ends = np.flatnonzero(flags[1:-1] & (~flags[2:] | edge[1:])) + 1
     lengths = ends - starts
-    doc = np.searchsorted(doc_ends, starts, side="right")
+    doc = np.searchsorted(doc_ends, starts, side="right").astype(np.uint32)
     group = groups[doc].astype(np.uint32)
     low = 0
     width = 8
@@ -123,7 +134,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Equal ends of empty texts are told apart by nothing that matters: no term begins in them.
             for terms, which, n, docs in count_slice(data[offsets[low] : offsets[high]], ends, group[low:high]):
                 at = pa.array(which.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pairs[0].take(at), pairs[1].take(at), pa.array([t.decode() for t in terms.tolist()], pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], schema=_COUNTS)
+                yield pa.RecordBatch.from_arrays([pairs[0].take(at), pairs[1].take(at), _texts(terms), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], schema=_COUNTS)
             low = high
 
 
@@ -152,13 +163,14 @@ _VALUES = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa
 def _compared(sources: dict[str, list[str]], totals: dict[tuple[str, str], int], kept: dict[str, int]):
     """Of rows (lang, term, held): sums of distances between the sources of a language, and the terms that may rank for a source."""
 
-    def block(lang: str, terms: list[str], held: list, sums: np.ndarray) -> tuple[list, list, list]:
+    def block(lang: str, terms: pa.Array, held: pa.ListArray, sums: np.ndarray) -> tuple[list, list, list]:
         names = sources[lang]
         place = {s: k for k, s in enumerate(names)}
+        met, n = held.flatten().flatten()
+        met = met.dictionary_encode()
+        column = np.array([place[s] for s in met.dictionary.to_pylist()], np.int64)[met.indices.to_numpy(zero_copy_only=False)]
         counts = np.zeros((len(terms), len(names)), np.int64)
-        for row, found in enumerate(held):
-            for one in found:
-                counts[row, place[one["source"]]] = one["n"]
+        counts[np.repeat(np.arange(len(terms)), held.value_lengths().to_numpy(zero_copy_only=False)), column] = n.to_numpy(zero_copy_only=False)
         p = np.stack([shares(counts[:, k], totals[lang, s], kept[lang]) for k, s in enumerate(names)], axis=1)
         q = shares(counts.sum(axis=1), sum(totals[lang, s] for s in names), kept[lang])
         out: tuple[list, list, list] = [], [], []
@@ -170,7 +182,7 @@ def _compared(sources: dict[str, list[str]], totals: dict[tuple[str, str], int],
                 stays = value >= np.partition(value, -TERM_RANKS)[-TERM_RANKS]
                 rows, value = rows[stays], value[stays]
             out[0].extend([source] * len(rows))
-            out[1].extend(terms[r] for r in rows.tolist())
+            out[1].extend(terms.take(pa.array(rows)).to_pylist())
             out[2].extend(value.tolist())
         return out
 
@@ -183,7 +195,7 @@ def _compared(sources: dict[str, list[str]], totals: dict[tuple[str, str], int],
                 size = max(1, BLOCK_CELLS // len(sources[lang]))
                 for at in range(0, len(own), size):
                     part = batch.take(pa.array(own[at : at + size]))
-                    names, items, values = block(lang, part.column("term").to_pylist(), part.column("held").to_pylist(), sums[lang])
+                    names, items, values = block(lang, part.column("term"), part.column("held"), sums[lang])
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(["term"] * len(names), pa.string()), pa.array(items, pa.string()), pa.array(values, pa.int64())], schema=_VALUES)
         rows = [(lang, a, "pair", b, int(sums[lang][i, j])) for lang, names in sources.items() for i, a in enumerate(names) for j, b in enumerate(names) if i != j and sums[lang][i, j]]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t.type) for k, t in enumerate(_VALUES)], schema=_VALUES)
@@ -192,16 +204,18 @@ def _compared(sources: dict[str, list[str]], totals: dict[tuple[str, str], int],
 
 
 def kept_terms(docs: DataFrame, scratch: Scratch, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(lang, term, held) of the terms that each language keeps, held being (source, n) of the sources that have it; and (lang, source, total, kept) of the groups."""
+    """(lang, term, held) of the terms that each language keeps, held being (source, n) of the sources that have it; and (lang, source, total, kept) of the groups.
+
+    A row without a term holds all sources of its language.
+    """
     named = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
     counts = named.mapInArrow(_count_terms, "lang string, source string, term string, n long, docs long")
-    counts = scratch.keep(counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
-    terms = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("held"))
-    terms = scratch.keep(terms.where(F.col("docs") >= LEAST_DOCS).select("lang", "term", "held"), "terms")
+    counts = counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("held"))
+    terms = scratch.keep(terms.where((F.col("docs") >= LEAST_DOCS) | F.col("term").isNull()).select("lang", "term", "held"), "terms")
     sums = terms.select("lang", F.explode("held").alias("h")).groupBy("lang", F.col("h.source").alias("source")).agg(F.sum("h.n").alias("total"))
-    sizes = terms.groupBy("lang").agg(F.count("*").alias("kept"))
-    groups = counts.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(sizes, "lang", "left")
-    return terms, groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kept", F.lit(0)).alias("kept"))
+    sizes = terms.groupBy("lang").agg(F.count("term").alias("kept"))
+    return terms.where("term is not null"), sums.join(sizes, "lang").select("lang", "source", "total", "kept")
 
 
 def divergence_report(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
