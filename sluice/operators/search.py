@@ -100,7 +100,11 @@ def search(postings: DataFrame, lookup: DataFrame, text: str, limit: int = MAX_R
     """Lookup rows of the query's results, newest first, then those with most years, then by id; none beyond the limit."""
     found = match(postings, text)
     few = found.limit(limit + 1).agg(F.count("*").alias("results")).where(F.col("results") <= limit).select(F.lit(True).alias("few"))
-    rows = found.join(F.broadcast(few), F.col("few")).drop("few").join(lookup, "id")  # one row at most
+    return result_order(found.join(F.broadcast(few), F.col("few")).drop("few").join(lookup, "id"))  # one row at most
+
+
+def result_order(rows: DataFrame) -> DataFrame:
+    """Lookup rows as results are shown: newest first, then those with most years, then by id."""
     return rows.orderBy(F.desc(F.col("years")[0]), F.desc(F.size("years")), "id")
 
 
@@ -117,9 +121,13 @@ def search_status(postings: DataFrame, texts: Sequence[str], limit: int = MAX_RE
 
 
 def lookup_by_ids(lookup: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """(position, id, ...) in the order of the request; an unknown id gives a row named Unknown."""
+    """(position, id, ...) in the order of the request; an unknown id gives a row named Unknown.
+
+    The lookup is cut to the asked ids first, which are sent to its scan; only their rows meet the request.
+    """
     asked = lookup.sparkSession.createDataFrame([(k, i) for k, i in enumerate(ids)], "position int, asked string").withColumn("id", canonical_id(F.col("asked"))).drop("asked")
-    return F.broadcast(asked).join(lookup, "id", "left").withColumn("name", F.coalesce("name", F.lit("Unknown"))).orderBy("position")
+    found = lookup.join(F.broadcast(asked.select("id").distinct()), "id", "left_semi")  # a request's ids
+    return asked.join(F.broadcast(found), "id", "left").withColumn("name", F.coalesce("name", F.lit("Unknown"))).orderBy("position")
 
 
 def missing_ids(lookup: DataFrame, ids: DataFrame) -> DataFrame:

@@ -285,6 +285,11 @@ _BODIES = {
     "index_stats": """SELECT count(*) AS terms, CAST(sum(n) AS BIGINT) AS postings, CAST(sum(ceil(n / 1250.0)) AS BIGINT) AS shards, (SELECT count(*) FROM lookup) AS lookup_rows,
         (SELECT string_agg(CAST(cycle AS VARCHAR), ',' ORDER BY cycle) FROM (SELECT DISTINCT cycle FROM yearly_entities)) AS cycles FROM (SELECT term, count(*) AS n FROM postings GROUP BY term)""",
     "index_update": "SELECT * FROM postings",
+    "index_update_shards": """SELECT term, shard, min(id) AS min_id, CASE WHEN shard = last THEN '!' ELSE max(id) END AS max_id, count(*) AS entries FROM (SELECT *, max(shard) OVER (PARTITION BY term) AS last FROM (
+        SELECT term, id, CAST(floor((row_number() OVER (PARTITION BY term ORDER BY id) - 1) / 1250) AS BIGINT) AS shard FROM postings)) GROUP BY term, shard, last""",
+    "search_order": " UNION ALL ".join(f"""SELECT query, CAST(row_number() OVER (ORDER BY shards, entries, term) - 1 AS INT) AS place, term, shards, entries FROM (
+        SELECT '{t}' AS query, term, CAST(ceil(count(*) / 1250.0) AS BIGINT) AS shards, count(*) AS entries FROM postings WHERE term IN (SELECT unnest({_terms(f"'{t}'")})) GROUP BY term)
+        WHERE (SELECT count(DISTINCT term) FROM postings WHERE term IN (SELECT unnest({_terms(f"'{t}'")}))) = len({_terms(f"'{t}'")})""" for t in SEARCHES),
     "search_keywords": f"SELECT {_LOOKUP} FROM lookup WHERE id IN (SELECT id FROM ({_search(SEARCHES[0])})) AND (SELECT count(*) FROM ({_search(SEARCHES[0])})) <= 500",
     "search_status": " UNION ALL ".join(f"SELECT '{t}' AS query, count(*) AS results, CASE WHEN count(*) = 0 THEN 'NO_RESULTS' WHEN count(*) > 500 THEN 'MAX_LENGTH' ELSE 'OK' END AS status FROM ({_search(t)})" for t in SEARCHES),
     "search_documents": _search(DOCUMENT_SEARCH).replace("FROM postings", "FROM doc_postings"),

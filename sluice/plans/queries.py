@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sluice.functions import codes
 from sluice.functions import expressions as X
 from sluice.operators import edges, graph, ledger, merge, rankings, search, tables, totals
+from sluice.operators.index_store import IndexStore
+from sluice.plans import stored
 from sluice.plans.book import Book
 from sluice.sources import filings, fixtures
 from sluice.sources.shared import new_folder, written
@@ -416,9 +418,8 @@ def posting_shards(b: Book) -> DataFrame:
 
 @query
 def document_shards(b: Book) -> DataFrame:
-    """Shards of the terms of whole documents; ids in text order."""
-    made = search.posting_shards(b.document_postings.withColumn("id", F.lpad(F.col("id").cast("string"), 12, "0")), 100)
-    return made
+    """Shards of the terms of whole documents, from the directory of the stored index; ids in text order."""
+    return stored.document_index(b).directory()
 
 
 @query
@@ -438,31 +439,56 @@ def index_stats(b: Book) -> DataFrame:
 
 @query
 def index_update(b: Book) -> DataFrame:
-    """Postings after the first two cycles are indexed, then all of them: equal to one build."""
-    old = b.search_texts.where("cycle <= 1998")
-    done = old.select("bucket", "cycle").distinct()
-    return search.update_index(search.tokenize(old), done, b.search_texts)[0]
+    """Postings after the first two cycles are stored, and all of them are added: equal to one build."""
+    return _updated_index(b).postings.select("term", "id")
+
+
+@query
+def index_update_shards(b: Book) -> DataFrame:
+    """The directory of shards after the same update."""
+    return _updated_index(b).directory()
+
+
+def _updated_index(b: Book) -> IndexStore:
+    """An index of the first two cycles to which the texts of all cycles are added, twice."""
+    def make(folder: str) -> IndexStore:
+        texts = written(b.search_texts, "texts")
+        old = texts.where("cycle <= 1998")
+        made = IndexStore(b.spark, folder).build(search.tokenize(old), done=old.select("bucket", "cycle").distinct())
+        for _ in range(2):
+            made.update_texts(texts)
+        return made
+
+    return stored.once(b, "updated-index", make)
 
 
 @query
 def search_keywords(b: Book) -> DataFrame:
-    return search.search(b.postings, b.lookup, SEARCHES[0]).withColumn("years", joined("years"))
+    return stored.entity_index(b).search(SEARCHES[0]).withColumn("years", joined("years"))
 
 
 @query
 def search_status(b: Book) -> DataFrame:
-    return search.search_status(b.postings, SEARCHES)
+    return stored.entity_index(b).status(SEARCHES)
 
 
 @query
 def search_documents(b: Book) -> DataFrame:
-    """Documents that hold all terms of a query."""
-    return search.match(b.document_postings, DOCUMENT_SEARCH)
+    """Documents that hold all terms of a query, from the stored index."""
+    return stored.document_index(b).match(DOCUMENT_SEARCH).select(F.col("id").cast("long").alias("id"))
+
+
+@query
+def search_order(b: Book) -> DataFrame:
+    """Terms of the queries in the order in which their postings are met: fewest shards first, then fewest entries."""
+    index = stored.entity_index(b)
+    rows = [(text, place, *one) for text in SEARCHES for place, one in enumerate(index.plan(text))]
+    return b.spark.createDataFrame(rows, "query string, place int, term string, shards long, entries long")
 
 
 @query
 def lookup_by_ids(b: Book) -> DataFrame:
-    return search.lookup_by_ids(b.lookup, ["c00000007", "C00000001", "nothing", "C90000001"]).withColumn("years", joined("years"))
+    return stored.entity_index(b).by_ids(["c00000007", "C00000001", "nothing", "C90000001"]).withColumn("years", joined("years"))
 
 
 @query
@@ -473,7 +499,7 @@ def missing_lookup_ids(b: Book) -> DataFrame:
 
 @query
 def term_entities(b: Book) -> DataFrame:
-    return search.term_entities(b.postings, b.lookup, TERM).withColumn("years", joined("years"))
+    return stored.entity_index(b).term_entities(TERM).withColumn("years", joined("years"))
 
 
 # Graph -----------------------------------------------------------------------------------------------------------
@@ -610,7 +636,7 @@ def stream_ingest(b: Book) -> DataFrame:
 def _shown(b: Book, owner: str, *names: str) -> DataFrame:
     """Lists of one owner with the names of the counterparties."""
     rows = written(edges.edges_of(b.ledger, b.expenses, owner, names), "shown")
-    asked = F.broadcast(rows.select(F.col("cp_id").alias("id")).distinct())  # an owner's counterparties
+    asked = rows.select(F.col("cp_id").alias("id")).distinct()
     words = b.entities.join(asked, "id", "left_semi").select(F.col("id").alias("cp_id"), F.col("name").alias("cp_name"))
     return rows.join(words, "cp_id", "left").select("cycle", "list_name", "owner_id", "cp_id", F.coalesce("cp_name", F.lit("Unknown")).alias("cp_name"), "amt", "txs", X.ratio(F.col("amt").cast("decimal(28,2)"), F.col("txs")).alias("avg_amt"))
 
