@@ -35,8 +35,8 @@ def classify(normalized: DataFrame) -> DataFrame:
 
 
 def expense_ledger(disbursements: DataFrame) -> DataFrame:
-    """cycle, cmte_id, person, tx_amt: operating expenses with their receivers named."""
-    return disbursements.select("cycle", "cmte_id", organisation_key(F.col("name"), F.col("zip")).alias("person"), "tx_amt", "name", "zip")
+    """cycle, cmte_id, person, tx_amt, name, zip, sub_id: operating expenses with their receivers named."""
+    return disbursements.select("cycle", "cmte_id", organisation_key(F.col("name"), F.col("zip")).alias("person"), "tx_amt", "name", "zip", "sub_id")
 
 
 def resolve_filers(ledger: DataFrame, expenses: DataFrame, committees: DataFrame) -> DataFrame:
@@ -51,11 +51,17 @@ def _with_placeholders(registered: DataFrame, wanted: DataFrame, key: str) -> Da
     return registered.withColumn("registered", F.lit(True)).unionByName(unknown)
 
 
+def named_persons(ledger: DataFrame, expenses: DataFrame) -> DataFrame:
+    """(indv_id, name, employer, occupation, zip, tx_key): persons as each transaction names them; contributions come before expenses."""
+    given = ledger.where("bucket = 'individual'").select(F.col("other_id").alias("indv_id"), "name", "employer", "occupation", "zip", F.concat(F.lit("0"), "tx_id").alias("tx_key"))
+    paid = expenses.select(F.col("person").alias("indv_id"), "name", F.lit("").alias("employer"), F.lit("").alias("occupation"), "zip", F.concat(F.lit("1"), F.col("sub_id").cast("string")).alias("tx_key"))
+    return given.union(paid)
+
+
 def individuals(ledger: DataFrame, expenses: DataFrame) -> DataFrame:
-    """indv_id, name, employer, occupation, zip. Of several rows, the attributes that sort first, so that the result is one."""
-    given = ledger.where("bucket = 'individual'").select(F.col("other_id").alias("indv_id"), F.struct("name", "employer", "occupation", "zip").alias("who"))
-    paid = expenses.select(F.col("person").alias("indv_id"), F.struct("name", F.lit("").alias("employer"), F.lit("").alias("occupation"), "zip").alias("who"))
-    return given.union(paid).groupBy("indv_id").agg(F.min("who").alias("who")).select("indv_id", "who.*")
+    """indv_id, name, employer, occupation, zip: the attributes that the first transaction by its key gives, contributions first."""
+    who = F.struct("name", "employer", "occupation", "zip")
+    return named_persons(ledger, expenses).groupBy("indv_id").agg(F.min_by(who, "tx_key").alias("who")).select("indv_id", "who.*")
 
 
 def resolve_counterparties(ledger: DataFrame, filers: DataFrame, candidates: DataFrame) -> DataFrame:

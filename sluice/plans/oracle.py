@@ -6,7 +6,8 @@ import re
 
 from sluice.functions import codes
 from sluice.functions.codes import INDEPENDENT, TRANSFER_TYPES
-from sluice.plans.queries import DOCUMENT_SEARCH, MERGED_CYCLES, REACH_ROOTS, SEARCHES, TERM
+from sluice.operators.profiles import LISTS
+from sluice.plans.queries import DOCUMENT_SEARCH, MERGED_CYCLES, REACH_ROOTS, SEARCHES, TERM, VIEWED_CANDIDATE, VIEWED_COMMITTEE, VIEWED_NAME
 from sluice.sources.fixtures import LOADED_CYCLES
 
 
@@ -86,9 +87,9 @@ CTES = {
     "expenses": "SELECT cycle, cmte_id, md5(name || ' - ' || zip) AS person, tx_amt, name, zip, sub_id FROM fx_disbursements",
     "filers": """SELECT cmte_id, name, city, state, party, true AS registered FROM fx_committees UNION ALL
         SELECT DISTINCT id, 'Unknown', '???', '???', 'UNK', false FROM (SELECT filer_id AS id FROM ledger UNION SELECT cmte_id FROM expenses) WHERE id NOT IN (SELECT cmte_id FROM fx_committees)""",
-    "people": """SELECT indv_id, min(who).name AS name, min(who).employer AS employer, min(who).occupation AS occupation, min(who).zip AS zip FROM (
-        SELECT other_id AS indv_id, {'name': name, 'employer': employer, 'occupation': occupation, 'zip': zip} AS who FROM ledger WHERE bucket = 'individual' UNION ALL
-        SELECT person, {'name': name, 'employer': '', 'occupation': '', 'zip': zip} FROM expenses) GROUP BY indv_id""",
+    "named_persons": """SELECT other_id AS indv_id, {'name': name, 'employer': employer, 'occupation': occupation, 'zip': zip} AS who, {'kind': 0, 'tx': tx_id} AS tx, cycle FROM ledger WHERE bucket = 'individual' UNION ALL
+        SELECT person, {'name': name, 'employer': '', 'occupation': '', 'zip': zip}, {'kind': 1, 'tx': CAST(sub_id AS VARCHAR)}, cycle FROM expenses""",
+    "people": "SELECT indv_id, w.name AS name, w.employer AS employer, w.occupation AS occupation, w.zip AS zip FROM (SELECT indv_id, min_by(who, tx) AS w FROM named_persons GROUP BY indv_id)",
     "entities": """SELECT cmte_id AS id, 'committee' AS bucket, name, city, state, party AS employer FROM filers UNION ALL
         SELECT cand_id, 'candidate', name, city, state, party FROM fx_candidates UNION ALL
         SELECT DISTINCT other_id, 'candidate', 'Unknown', '???', '???', 'UNK' FROM ledger WHERE bucket = 'candidate' AND other_id NOT IN (SELECT cand_id FROM fx_candidates) UNION ALL
@@ -187,6 +188,16 @@ def _profile(name: str, owner: str) -> str:
         FROM ({edge}) x LEFT JOIN entities e ON x.cp_id = e.id WHERE x.owner_id = '{owner}'"""
 
 
+def _profiled(kind: str, owner: str, totals: str, shown: str, key: str) -> str:
+    """One entity's lists over the merged cycles, cut where they are limited, beside its own words and totals."""
+    lists = f"""SELECT list_name, owner_id, cp_id, amt, txs, row_number() OVER (PARTITION BY list_name ORDER BY amt DESC, cp_id) AS rank FROM (
+        SELECT list_name, owner_id, cp_id, sum(amt) AS amt, CAST(sum(txs) AS BIGINT) AS txs FROM edges WHERE owner_id = {owner} AND cycle IN ({_MERGED}) AND list_name IN ({_list(LISTS[kind])}) GROUP BY ALL)"""
+    return f"""SELECT e.id AS owner_id, e.name, e.city, e.state, e.employer, {shown}, CAST(t.i - t.o AS DOUBLE) AS net_balance, l.list_name, l.cp_id, l.cp_name, l.amt, l.txs, l.avg_amt, l.rank
+        FROM (SELECT * FROM entities WHERE id = {owner} AND bucket = '{kind}') e LEFT JOIN ({totals} WHERE {key} = {owner} AND cycle IN ({_MERGED}) GROUP BY {key}) t ON e.id = t.owner_id
+        LEFT JOIN (SELECT x.list_name, x.owner_id, x.cp_id, coalesce(c.name, 'Unknown') AS cp_name, CAST(x.amt AS DOUBLE) AS amt, x.txs, {_avg("x.amt", "x.txs")} AS avg_amt, x.rank
+            FROM ({lists}) x LEFT JOIN (SELECT id, max(name) AS name FROM entities GROUP BY id) c ON x.cp_id = c.id WHERE x.list_name NOT LIKE 'top%' OR x.rank <= 100) l ON e.id = l.owner_id"""
+
+
 def _search(text: str) -> str:
     return f"""SELECT id FROM postings WHERE term IN (SELECT unnest({_terms(f"'{text}'")})) GROUP BY id HAVING count(*) = len({_terms(f"'{text}'")})"""
 
@@ -213,6 +224,7 @@ _BODIES = {
     "resolve_counterparties": """SELECT DISTINCT l.other_id AS id, l.bucket, coalesce(k.name, 'Unknown') AS name, coalesce(k.registered, false) AS registered FROM ledger l LEFT JOIN (
         SELECT cmte_id AS id, name, registered FROM filers UNION ALL SELECT cand_id, name, true FROM fx_candidates) k ON l.other_id = k.id WHERE l.bucket <> 'individual'""",
     "individuals_dim": "SELECT * FROM people",
+    "individuals_kept": "SELECT indv_id, w.name AS name, w.employer AS employer, w.occupation AS occupation, w.zip AS zip FROM (SELECT indv_id, min_by(who, {'load': CASE WHEN cycle > 1998 THEN 0 ELSE 1 END, 'tx': tx}) AS w FROM named_persons GROUP BY indv_id)",
     "unresolved_tx": """SELECT side, cycle, filer_id, other_id, count(*) AS txs, CAST(sum(tx_amt) AS DOUBLE) AS amt FROM (
         SELECT 'filer' AS side, * FROM ledger WHERE filer_id NOT IN (SELECT cmte_id FROM fx_committees UNION SELECT cand_id FROM fx_candidates) UNION ALL
         SELECT 'counterparty', * FROM ledger WHERE bucket <> 'individual' AND other_id NOT IN (SELECT cmte_id FROM fx_committees UNION SELECT cand_id FROM fx_candidates)) GROUP BY side, cycle, filer_id, other_id""",
@@ -343,6 +355,9 @@ _BODIES = {
     "view_candidate_profile": f"""SELECT p.cycle, c.cand_id, c.name, c.party, CASE left(c.cand_id, 1) WHEN 'H' THEN 'House' WHEN 'S' THEN 'Senate' ELSE 'President' END AS office_name, c.city, c.state, c.pcc,
         coalesce(t.in_amt, 0) AS in_amt, coalesce(t.out_amt, 0) AS out_amt, coalesce(t.net_balance, 0) AS net_balance, p.rec, p.donor, p.exp
         FROM fx_candidates c JOIN pcc_totals p ON p.cand_id = c.cand_id LEFT JOIN cand_totals t ON t.cand_id = c.cand_id AND t.cycle = p.cycle""",
+    "profile_committee": _profiled("committee", f"'{VIEWED_COMMITTEE}'", "SELECT cmte_id AS owner_id, sum(CAST(total_in_amt AS DECIMAL(28,2))) AS i, sum(CAST(total_out_amt AS DECIMAL(28,2))) AS o FROM cmte_totals", "CAST(t.i AS DOUBLE) AS total_in_amt, CAST(t.o AS DOUBLE) AS total_out_amt", "cmte_id"),
+    "profile_candidate": _profiled("candidate", f"'{VIEWED_CANDIDATE}'", "SELECT cand_id AS owner_id, sum(i) AS i, sum(o) AS o FROM cand_sums", "CAST(t.i AS DOUBLE) AS in_amt, CAST(t.o AS DOUBLE) AS out_amt", "cand_id"),
+    "profile_individual": _profiled("individual", f"(SELECT min(indv_id) FROM people WHERE name = '{VIEWED_NAME}')", "SELECT indv_id AS owner_id, sum(i) AS i, sum(o) AS o FROM indv_sums", "CAST(t.i AS DOUBLE) AS in_amt, CAST(t.o AS DOUBLE) AS out_amt", "indv_id"),
     "read_filing_files": "SELECT cycle, cmte_id, name, zip, CAST(tx_amt AS DOUBLE) AS tx_amt, sub_id, '' AS category FROM fx_disbursements",
     "year_gates": f"""SELECT 'contributions' AS file, cycle, count(*) AS lines FROM fx_contributions GROUP BY cycle UNION ALL SELECT 'disbursements', cycle, count(*) FROM fx_disbursements WHERE cycle >= 2004 GROUP BY cycle
         UNION ALL SELECT 'committee_financials', CAST(y.cycle AS INT), count(*) FROM fx_committees CROSS JOIN {_CYCLES} WHERE y.cycle >= 1996 GROUP BY y.cycle""",

@@ -11,6 +11,7 @@ from sluice.functions import codes
 from sluice.functions import expressions as X
 from sluice.operators import edges, graph, ledger, merge, rankings, search, tables, totals
 from sluice.operators.index_store import IndexStore
+from sluice.operators.serving import ServingTable
 from sluice.plans import stored
 from sluice.plans.book import Book
 from sluice.sources import filings, fixtures
@@ -21,7 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEARCHES = ("customer 000000001", "The Supplier", "supplier#000000007", "the of", "automobile building", "zzz nothing")
 TERM = "building"
 DOCUMENT_SEARCH = "De La"
-VIEWED_COMMITTEE, VIEWED_CANDIDATE = "C00000003", "S00000085"
+VIEWED_COMMITTEE, VIEWED_CANDIDATE, VIEWED_NAME = "C00000003", "S00000085", "Customer#000000007"
 MERGED_CYCLES = (1998, 2000)
 REACH_ROOTS = ("C00000011", "C00000012")
 
@@ -144,6 +145,17 @@ def individuals_dim(b: Book) -> DataFrame:
     return b.people
 
 
+@query
+def individuals_kept(b: Book) -> DataFrame:
+    """Persons after two loads, the first of the later cycles: known ones stay as the first load named them."""
+    named = ledger.named_persons(b.ledger, b.expenses)
+    early = ledger.named_persons(b.ledger.where("cycle > 1998"), b.expenses.where("cycle > 1998"))
+    table = ServingTable(b.spark, new_folder(b.spark, "people"), named.drop("tx_key").schema, "indv_id")
+    for load in (early, named):
+        table.insert_new(load, order=["tx_key"])
+    return table.rows
+
+
 @query
 def unresolved_tx(b: Book) -> DataFrame:
     rows = ledger.unresolved(b.ledger, b.committees, b.candidates)
@@ -538,8 +550,12 @@ def graph_reach(b: Book) -> DataFrame:
 
 @query
 def keyed_upsert(b: Book) -> DataFrame:
-    new = b.committees.where("party = 'REP'").withColumn("city", F.lit("MOVED")).union(b.committees.limit(0))
-    return tables.keyed_upsert(b.committees, new, "cmte_id")
+    """Stored committees after an upsert, which is done twice."""
+    new = b.committees.where("party = 'REP'").withColumn("city", F.lit("MOVED"))
+    table = ServingTable(b.spark, new_folder(b.spark, "committees"), b.committees.schema, "cmte_id").write(b.committees)
+    for _ in range(2):
+        table.upsert(new)
+    return table.rows
 
 
 @query
@@ -549,7 +565,7 @@ def insert_new_keys(b: Book) -> DataFrame:
 
 @query
 def get_object(b: Book) -> DataFrame:
-    return tables.get_object(b.committee_totals, cycle=1998, cmte_id="C00000003").select("cycle", "cmte_id", "total_in_amt", "total_out_amt", "net_balance")
+    return stored.committee_table(b).get("C00000003", cycle=1998).select("cycle", "cmte_id", "total_in_amt", "total_out_amt", "net_balance")
 
 
 @query
@@ -682,6 +698,26 @@ def view_individual(b: Book) -> DataFrame:
     return made.select("cycle", "owner_id", "list_name", "cp_id", "cp_name", F.col("amt").cast("double").alias("amt"), "txs", "in_amt", "out_amt", "net_balance")
 
 
+@query
+def profile_committee(b: Book) -> DataFrame:
+    """A committee by its id over two cycles, from stored tables."""
+    return stored.profiles(b).committee(VIEWED_COMMITTEE, MERGED_CYCLES)
+
+
+@query
+def profile_candidate(b: Book) -> DataFrame:
+    """A candidate by id over two cycles, from stored tables."""
+    return stored.profiles(b).candidate(VIEWED_CANDIDATE, MERGED_CYCLES)
+
+
+@query
+def profile_individual(b: Book) -> DataFrame:
+    """A person by id over two cycles, from stored tables; the id is that of the first person of a name."""
+    made = stored.profiles(b)
+    found = made.tables["entities"].rows.where((F.col("bucket") == "individual") & (F.col("name") == VIEWED_NAME)).agg(F.min("id")).first()[0]
+    return made.individual(found or "", MERGED_CYCLES)
+
+
 # Files, saved tables and exports ---------------------------------------------------------------------------------
 
 
@@ -705,7 +741,7 @@ def year_gates(b: Book) -> DataFrame:
 
 @query
 def get_years(b: Book) -> DataFrame:
-    return tables.get_years(b.committee_totals, MERGED_CYCLES, cmte_id=VIEWED_COMMITTEE).select("cycle", "cmte_id", "total_in_amt", "total_out_amt", "net_balance")
+    return stored.committee_table(b).get(VIEWED_COMMITTEE, cycle=list(MERGED_CYCLES)).select("cycle", "cmte_id", "total_in_amt", "total_out_amt", "net_balance")
 
 
 @query

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sluice.operators import search
 from sluice.operators.index_store import IndexStore
+from sluice.operators.profiles import Profiles
+from sluice.operators.serving import ServingTable
 from sluice.plans.book import Book
 from sluice.sources.shared import new_folder, written
 
@@ -40,3 +42,14 @@ def document_index(b: Book) -> IndexStore:
     """The index of whole documents; ids are of twelve digits, so that their order as text is that of the numbers."""
     rows = b.document_postings.withColumn("id", F.lpad(F.col("id").cast("string"), 12, "0"))
     return once(b, "documents", lambda folder: IndexStore(b.spark, folder, size=DOCUMENT_SHARD).build(rows))
+
+
+def profiles(b: Book) -> Profiles:
+    """All entities, totals and counterparties under the entities' ids."""
+    return once(b, "profiles", lambda folder: Profiles(b.spark, folder).build(b.entities, b.edges, b.committee_totals, b.individual_totals, b.candidate_totals))
+
+
+def committee_table(b: Book) -> ServingTable:
+    """Totals of committees under id and cycle."""
+    made = b.committee_totals
+    return once(b, "committee-table", lambda folder: ServingTable(b.spark, folder, made.schema, "cmte_id", ["cycle"]).write(made))
