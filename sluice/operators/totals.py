@@ -32,12 +32,20 @@ def committee_postings(ledger: DataFrame, expenses: DataFrame | None = None, see
     return rows
 
 
+def committee_sums(postings: DataFrame) -> DataFrame:
+    """(cycle, cmte_id, measure, amt, txs): one sum and one count for each measure, which can be added to others of the kind."""
+    return postings.groupBy("cycle", "cmte_id", "measure").agg(F.sum("tx_amt").alias("amt"), F.count("*").alias("txs"))
+
+
 def committee_totals(postings: DataFrame) -> DataFrame:
     """(cycle, cmte_id): amounts, counts and averages of each measure, of all incoming and outgoing money, and their balance."""
+    return totals_of_sums(committee_sums(postings))
+
+
+def totals_of_sums(measured: DataFrame) -> DataFrame:
+    """Committee totals of sums by measure, one row a measure: the few rows of a committee are put side by side."""
     zero = {"amt": F.lit(0).cast("decimal(28,2)"), "txs": F.lit(0)}
     sums = [F.coalesce(F.max(F.when(F.col("measure") == m, F.col(n))), zero[n]).alias(f"{m}_{n}") for m in MEASURES for n in ("amt", "txs")]
-    # One sum and one count for each measure; the few rows of a committee are then put side by side.
-    measured = postings.groupBy("cycle", "cmte_id", "measure").agg(F.sum("tx_amt").alias("amt"), F.count("*").alias("txs"))
     made = measured.groupBy("cycle", "cmte_id").agg(*sums)
     made = made.withColumns({f"total_{side}_{n}": F.col(f"{a}_{n}") + F.col(f"{b}_{n}") for side, a, b in (("in", "contributions", "other"), ("out", "transfers", "expenditures")) for n in ("amt", "txs")})
     parts = (*MEASURES, "total_in", "total_out")
@@ -52,22 +60,42 @@ def cycle_seeds(entities: DataFrame, key: str, cycles: Sequence[int]) -> DataFra
 
 def _in_out(postings: DataFrame, key: str) -> DataFrame:
     made = postings.groupBy("cycle", key).agg(_amount(F.col("out")).alias("o"), _count(F.col("out")).alias("n"), _amount(~F.col("out")).alias("i"), _count(~F.col("out")).alias("m"))
+    return _in_out_columns(made, key)
+
+
+def _in_out_columns(made: DataFrame, key: str) -> DataFrame:
     return made.select(
         "cycle", key, F.col("o").cast("double").alias("out_amt"), F.col("n").cast("long").alias("out_txs"), ratio(F.col("o"), F.col("n")).alias("out_avg"),
         F.col("i").cast("double").alias("in_amt"), F.col("m").cast("long").alias("in_txs"), ratio(F.col("i"), F.col("m")).alias("in_avg"), (F.col("i") - F.col("o")).cast("double").alias("net_balance"),
     )
 
 
-def individual_totals(ledger: DataFrame, expenses: DataFrame) -> DataFrame:
-    """(cycle, indv_id): money given to and received from committees, expenses included."""
+def in_out_of_sums(sums: DataFrame, key: str) -> DataFrame:
+    """Totals of sums (cycle, key, measure, amt, txs), one row for `out` and one for `in`."""
+    zero = F.lit(0).cast("decimal(28,2)")
+    held = [F.coalesce(F.max(F.when(F.col("measure") == m, F.col(c))), z).alias(n) for m, c, z, n in (("out", "amt", zero, "o"), ("out", "txs", F.lit(0), "n"), ("in", "amt", zero, "i"), ("in", "txs", F.lit(0), "m"))]
+    return _in_out_columns(sums.groupBy("cycle", key).agg(*held), key)
+
+
+def individual_postings(ledger: DataFrame, expenses: DataFrame) -> DataFrame:
+    """(cycle, indv_id, out, tx_amt): money given to and received from committees, expenses included."""
     rows = ledger.where("bucket = 'individual' and not is_memo and counted").select("cycle", F.col("other_id").alias("indv_id"), F.col("incoming").alias("out"), "tx_amt")
-    return _in_out(rows.union(expenses.select("cycle", F.col("person"), F.lit(False), "tx_amt")), "indv_id")
+    return rows.union(expenses.select("cycle", F.col("person"), F.lit(False), "tx_amt"))
+
+
+def individual_totals(ledger: DataFrame, expenses: DataFrame) -> DataFrame:
+    """(cycle, indv_id): totals of persons and organisations."""
+    return _in_out(individual_postings(ledger, expenses), "indv_id")
+
+
+def candidate_postings(ledger: DataFrame) -> DataFrame:
+    """(cycle, cand_id, out, tx_amt): money that candidates gave to and received from committees directly."""
+    return ledger.where("bucket = 'candidate' and not is_memo and counted").select("cycle", F.col("other_id").alias("cand_id"), F.col("incoming").alias("out"), "tx_amt")
 
 
 def candidate_totals(ledger: DataFrame) -> DataFrame:
-    """(cycle, cand_id): money that candidates gave to and received from committees directly."""
-    rows = ledger.where("bucket = 'candidate' and not is_memo and counted")
-    return _in_out(rows.select("cycle", F.col("other_id").alias("cand_id"), F.col("incoming").alias("out"), "tx_amt"), "cand_id")
+    """(cycle, cand_id): direct totals of candidates."""
+    return _in_out(candidate_postings(ledger), "cand_id")
 
 
 def candidate_affiliates(ledger: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -346,6 +346,12 @@ _BODIES = {
     "export_lookup": "SELECT partition AS pk, id AS sk, id, name FROM lookup",
     "export_top_individuals": "SELECT * FROM people WHERE indv_id IN (SELECT entity_id FROM rankings WHERE bucket = 'individuals' AND rank <= 50)",
     "incremental_totals": "SELECT cycle, cmte_id, CAST(sum(tx_amt) AS DOUBLE) AS amt, count(*) AS txs FROM fx_disbursements GROUP BY cycle, cmte_id",
+    "streamed_ledger": """SELECT 'contributions' AS kind, cycle, count(*) AS txs, CAST(sum(tx_amt) AS DOUBLE) AS amt FROM fx_contributions GROUP BY cycle UNION ALL
+        SELECT 'disbursements', cycle, count(*), CAST(sum(tx_amt) AS DOUBLE) FROM fx_disbursements GROUP BY cycle""",
+    "streamed_committee_totals": "SELECT * FROM cmte_totals",
+    "streamed_individual_totals": "SELECT * FROM indv_totals",
+    "streamed_candidate_totals": "SELECT * FROM cand_totals",
+    "streamed_lists": """SELECT cycle, list_name, owner_id, cp_id, CAST(amt AS DOUBLE) AS amt, txs, CASE WHEN list_name LIKE 'top%' THEN CAST(rank AS INT) END AS rank FROM ranked_edges WHERE list_name NOT LIKE 'top%' OR rank <= 100""",
     "stream_ingest": "SELECT user_id, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) AS total FROM events GROUP BY user_id",
     "view_committee": f"""SELECT x.*, t.total_in_amt, t.total_out_amt, t.net_balance, f.name, f.party FROM ({" UNION ALL ".join(_profile(n, "C00000003") for n in ("top_indv_contributors", "top_cmte_contributors", "transfer_recipients", "top_exp_recipients"))}) x
         JOIN cmte_totals t ON t.cycle = x.cycle AND t.cmte_id = x.owner_id JOIN filers f ON f.cmte_id = x.owner_id""",

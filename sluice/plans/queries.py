@@ -646,6 +646,35 @@ def stream_ingest(b: Book) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count("*").alias("events"), F.sum(F.col("value").cast("decimal(28,6)")).cast("double").alias("total"))
 
 
+@query
+def streamed_ledger(b: Book) -> DataFrame:
+    """Rows and money of what was loaded from growing files, by kind and cycle."""
+    book, paid = stored.streamed(b).stored()
+    rows = book.select(F.lit("contributions").alias("kind"), "cycle", "tx_amt").union(paid.select(F.lit("disbursements"), "cycle", "tx_amt"))
+    return rows.groupBy("kind", "cycle").agg(F.count("*").alias("txs"), F.sum("tx_amt").cast("double").alias("amt"))
+
+
+@query
+def streamed_committee_totals(b: Book) -> DataFrame:
+    return stored.streamed(b).rollup.committee_totals()
+
+
+@query
+def streamed_individual_totals(b: Book) -> DataFrame:
+    return stored.streamed(b).rollup.individual_totals()
+
+
+@query
+def streamed_candidate_totals(b: Book) -> DataFrame:
+    return stored.streamed(b).rollup.candidate_totals()
+
+
+@query
+def streamed_lists(b: Book) -> DataFrame:
+    """All eight lists, limited ones with the ranks that each run gave the owners that it met."""
+    return stored.streamed(b).rollup.lists().withColumn("amt", F.col("amt").cast("double"))
+
+
 # Profiles --------------------------------------------------------------------------------------------------------
 
 

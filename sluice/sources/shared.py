@@ -7,6 +7,8 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A folder of its own in the shared one, removed when Python ends."""
     path = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
@@ -35,7 +37,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended before
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -48,6 +50,26 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the session's Python workers, once; they may run where it is not installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_sluice_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        archive = f"{tempfile.mkdtemp(prefix='spark-ship-')}/sluice.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        context.addPyFile(archive)
+        context._sluice_shipped = True
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it doesn't exist."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in system.listStatus(at)) if system.exists(at) else []
+
+
 class Steps:
     """Tables of an iteration, written to one shared folder, which is removed when the iteration ends."""
 
@@ -59,7 +81,7 @@ class Steps:
         return self
 
     def __exit__(self, *_: object) -> None:
-        _remove(self.spark, self.folder)
+        remove(self.spark, self.folder)
 
     def keep(self, frame: DataFrame) -> DataFrame:
         """The frame as a table of the iteration."""
