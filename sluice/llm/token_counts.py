@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import whole_text
 
-#: Pre-tokens in a leaf when a tree is made; a leaf that grows beyond four times that has the tree made anew.
+#: Pre-tokens in a leaf when a tree is made; a leaf that grows beyond four times that is spread over its neighbours.
 LEAF = 32
 #: Patterns whose matches look at most LOOKAHEAD characters past their end: `'re` needs two, a run of blanks one. With
 #: any other pattern every edit splits the whole text again.
 LOCAL_PATTERNS = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"])
 LOOKAHEAD = 2
-REMEMBERED = 500_000
+#: Pre-tokens in each of two halves of what is remembered; longer ones are counted each time.
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 
 
 class Counter:
@@ -49,6 +50,8 @@ class Counter:
     def _count(self, piece: str) -> int:
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
+        if len(piece) > LONGEST_REMEMBERED:
+            return len(self.encoding.encode_ordinary(piece))
         got = self.older.get(piece)
         self.known[piece] = got = len(self.encoding.encode_ordinary(piece)) if got is None else got
         return got
@@ -64,21 +67,30 @@ class CountedText:
     def __init__(self, text: str, counter: Counter):
         self.counter = counter
         self.recounted = 0  # pre-tokens counted again by edits
+        self.spread = 0  # pre-tokens moved to other leaves
         pieces = counter.split(text)
         self._make(pieces, counter.counts(pieces))
 
     def _make(self, pieces: list[str], counts: list[int]) -> None:
         self.leaves = [(pieces[k : k + LEAF], counts[k : k + LEAF]) for k in range(0, len(pieces), LEAF)] or [([], [])]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
+        self.leaves += [([], []) for _ in range(self.width - len(self.leaves))]
         at = np.arange(0, len(pieces), LEAF)
-        self.sums = np.zeros((2 * self.width, 2), dtype=np.int64)  # characters, tokens
+        self.sums = np.zeros((2 * self.width, 3), dtype=np.int64)  # characters, tokens, pre-tokens
         if len(pieces):
-            self.sums[self.width : self.width + len(at), 0] = np.add.reduceat(np.fromiter(map(len, pieces), np.int64, len(pieces)), at)
-            self.sums[self.width : self.width + len(at), 1] = np.add.reduceat(np.array(counts, dtype=np.int64), at)
-        level = self.width
-        while level > 1:
-            self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
-            level //= 2
+            own = self.sums[self.width : self.width + len(at)]
+            own[:, 0] = np.add.reduceat(np.fromiter(map(len, pieces), np.int64, len(pieces)), at)
+            own[:, 1] = np.add.reduceat(np.array(counts, dtype=np.int64), at)
+            own[:, 2] = np.diff(np.append(at, len(pieces)))
+        self._sum_above(self.width, 2 * self.width)
+
+    def _sum_above(self, low: int, high: int) -> None:
+        """Sums of all nodes above those from `low` to `high`, which are all the leaves below one node."""
+        while high - low > 1:
+            low, high = low // 2, high // 2
+            self.sums[low:high] = self.sums[2 * low : 2 * high : 2] + self.sums[2 * low + 1 : 2 * high : 2]
+        while low := low // 2:
+            self.sums[low] = self.sums[2 * low] + self.sums[2 * low + 1]
 
     @property
     def n_chars(self) -> int:
@@ -95,8 +107,9 @@ class CountedText:
         """Leaf, pre-token in it, and start of the pre-token that holds the character; at the end, the place behind the last."""
         node, start = 1, 0
         if char >= self.n_chars:
-            leaf = max((k for k, (p, _) in enumerate(self.leaves) if p), default=0)
-            return leaf, len(self.leaves[leaf][0]), self.n_chars
+            while node < self.width:  # to the last leaf that holds anything
+                node = 2 * node + (self.sums[2 * node + 1, 2] > 0)
+            return node - self.width, len(self.leaves[node - self.width][0]), self.n_chars
         while node < self.width:
             node *= 2
             if char >= start + self.sums[node, 0]:
@@ -175,12 +188,34 @@ class CountedText:
             self._sum(after)
             n -= taken
         if len(self.leaves[leaf][0]) > 4 * LEAF:
-            self._make([p for x, _ in self.leaves for p in x], [c for _, x in self.leaves for c in x])
+            self._spread(leaf)
+
+    def _spread(self, leaf: int) -> None:
+        """Deal the pre-tokens of a leaf that is too full evenly over the leaves below the lowest node that has room for them.
+
+        A node's leaves may be the less full the higher it stands, so a place that grows on and on costs few steps for
+        each pre-token. Where even the root has no room, a tree with more leaves is made.
+        """
+        height, top = 0, max(1, self.width.bit_length() - 1)
+        while (self.sums[(leaf + self.width) >> height, 2]) > (4 * LEAF - 2 * LEAF * height / top) * (1 << height):
+            height += 1
+            if 1 << height > self.width:
+                return self._make([p for x, _ in self.leaves for p in x], [c for _, x in self.leaves for c in x])
+        size = 1 << height
+        low = leaf >> height << height
+        pieces = [p for x, _ in self.leaves[low : low + size] for p in x]
+        counts = [c for _, x in self.leaves[low : low + size] for c in x]
+        for k in range(size):
+            a, b = len(pieces) * k // size, len(pieces) * (k + 1) // size
+            self.leaves[low + k] = pieces[a:b], counts[a:b]
+            self.sums[self.width + low + k] = sum(map(len, pieces[a:b])), sum(counts[a:b]), b - a
+        self.spread += len(pieces)
+        self._sum_above(self.width + low, self.width + low + size)
 
     def _sum(self, leaf: int) -> None:
         pieces, counts = self.leaves[leaf]
         node = leaf + self.width
-        self.sums[node] = sum(map(len, pieces)), sum(counts)
+        self.sums[node] = sum(map(len, pieces)), sum(counts), len(pieces)
         while node := node // 2:
             self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
 
