@@ -23,8 +23,11 @@ from sluice.llm.common import whole_text
 
 SPACE = "▁"
 #: Runs of text remembered by a task, in each of two halves; pairs of pieces known to fit or not.
-REMEMBERED_RUNS = 400_000
+#: Runs in each of two halves of what is remembered, and about how many bytes they may take; longer runs are not remembered.
+REMEMBERED_RUNS, REMEMBERED_BYTES, LONGEST_REMEMBERED = 400_000, 128 << 20, 256
 REMEMBERED_PAIRS = 2_000_000
+#: What a remembered run takes besides its characters.
+ENTRY_BYTES = 300
 
 
 class PieceModel:
@@ -70,6 +73,7 @@ class PieceCodec:
         self.matcher.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.held = 0  # bytes of `known`, about
         self.older: dict[str, tuple[int, str, str]] = {}
         # A line end is no piece of its own in most models; runs then end there, and are met again more often.
         single = "\n" if not any("\n" in t for t in self.model.ids) else ""
@@ -161,9 +165,12 @@ class PieceCodec:
         if got is None:
             ids = self._ids(self.pieces(run))
             got = len(ids), "".join(f" {i}" for i in ids), self._surface(ids)
-        if len(self.known) > REMEMBERED_RUNS:  # what is met again comes back from the older half
-            self.older, self.known = self.known, {}
+        if len(run) > LONGEST_REMEMBERED:
+            return got
+        if len(self.known) > REMEMBERED_RUNS or self.held > REMEMBERED_BYTES:  # what is met again comes back from the older half
+            self.older, self.known, self.held = self.known, {}, 0
         self.known[run] = got
+        self.held += ENTRY_BYTES + 2 * len(run) + len(got[1]) + 2 * len(got[2])
         return got
 
     def _encoded_runs(self, text: str) -> list[tuple[int, str, str]]:
