@@ -33,6 +33,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Runs of text remembered by a Python worker, in each of two halves; longer runs go through the library.
 REMEMBERED_RUNS = 600_000
+#: About how many bytes the runs of one half of what is remembered may take, besides those of the last block.
+REMEMBERED_BYTES = 128 << 20
 LONGEST_RUN = 64
 #: Bytes of texts that are tokenised together.
 BLOCK_BYTES = 4 << 20
@@ -169,6 +171,7 @@ class WordTokenizer:
         self.unsteady = re.compile(f"[^{_steady()}]")
         self.rows: dict[str, int] = {}  # of each run in `known`
         self.known = _NOTHING
+        self.held = 0  # bytes of `known`, about
         self.older: tuple[dict[str, int], Ragged] = ({}, _NOTHING)
 
     def _library_ids(self, text: str) -> np.ndarray:
@@ -195,8 +198,8 @@ class WordTokenizer:
             yield self._library_ids(texts[k].as_py()) if by_library else own.values[own.starts[k] : own.starts[k + 1]]
 
     def _learn(self, runs: list[str]) -> None:
-        if len(self.rows) > REMEMBERED_RUNS:  # what is met again comes back from the older half
-            self.older, self.rows, self.known = (self.rows, self.known), {}, _NOTHING
+        if len(self.rows) > REMEMBERED_RUNS or self.held > REMEMBERED_BYTES:  # what is met again comes back from the older half
+            self.older, self.rows, self.known, self.held = (self.rows, self.known), {}, _NOTHING, 0
         rows, (old, held) = self.rows, self.older
         fresh = [run for run in runs if run not in rows]
         again = [run for run in fresh if run in old]
@@ -221,6 +224,7 @@ class WordTokenizer:
     def _add(self, runs: list[str], ids: Ragged) -> None:
         self.rows.update(zip(runs, range(len(self.rows), len(self.rows) + len(runs)), strict=True))
         self.known = self.known + ids
+        self.held += 150 * len(runs) + 2 * sum(map(len, runs)) + ids.values.nbytes
 
     def _split(self, run: str) -> list[str] | None:
         """The run's words, normalised as the library does it; none for a run that the library has to split."""
