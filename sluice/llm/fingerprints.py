@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import whole_text
+from sluice.llm.common import Scratch, whole_text
 
 BUCKETS = 128
 #: Which bytes before a byte make a triplet with it.
@@ -95,7 +95,10 @@ class Ranges:
 
 
 def _ranges(rows: DataFrame) -> Ranges:
-    """Ends that deal about the same number of bytes to each range, from a sample. They take about 4 bytes on the driver for a megabyte of text."""
+    """Ends that deal about the same number of bytes to each range, from a sample.
+
+    The sampled keys are put in order and counted by Spark; only the ends come to the driver, as columns: 24 bytes for RANGE_BYTES of text.
+    """
     weight = F.octet_length("text") + ROW_BYTES
     size, top = rows.agg(F.sum(weight), F.max("at")).first()
     if top is None:
@@ -104,12 +107,19 @@ def _ranges(rows: DataFrame) -> Ranges:
     unit = max(1, size // (wanted * OVERSAMPLE))
     sampled = rows.where(F.rand(9) * unit < weight).select("at", "tie")  # only the sizes of ranges depend on chance
     last = rows.where(F.col("at") == top).agg(F.max("tie")).first()[0]
-    held = sampled.groupBy("at", "tie").agg(F.count("*").alias("n")).collect()
-    keys = np.array(sorted((r["at"], r["tie"], r["n"]) for r in held), dtype=[*_KEY.descr, ("n", "i8")])
-    before = np.cumsum(keys["n"]) - keys["n"]
-    parts = (before + keys["n"]) // OVERSAMPLE - before // OVERSAMPLE
-    ends = np.concatenate([keys[["at", "tie"]][parts > 0].astype(_KEY), np.array([(top, last)], _KEY)])
-    parts = np.concatenate([parts[parts > 0], [1]])
+    scratch = Scratch(rows.sparkSession, "ranges")
+    held = sampled.groupBy("at", "tie").agg(F.count("*").alias("n")).repartitionByRange("at", "tie").sortWithinPartitions("at", "tie")
+    held = scratch.keep(held.withColumn("piece", F.spark_partition_id()), "sample")
+    pieces = held.groupBy("piece").agg(F.sum("n").alias("total"))
+    pieces = pieces.withColumn("ahead", F.sum("total").over(Window.orderBy("piece")) - F.col("total")).drop("total")  # a row a partition
+    before = F.col("ahead") + F.sum("n").over(Window.partitionBy("piece").orderBy("at", "tie")) - F.col("n")
+    counted = held.join(pieces, "piece").withColumn("before", before)
+    parts = F.floor((F.col("before") + F.col("n")) / OVERSAMPLE) - F.floor(F.col("before") / OVERSAMPLE)
+    made = counted.select("at", "tie", parts.alias("parts")).where("parts > 0").toArrow().sort_by([("at", "ascending"), ("tie", "ascending")])
+    scratch.remove()
+    ends = np.empty(made.num_rows + 1, _KEY)
+    ends["at"], ends["tie"] = np.append(made["at"].to_numpy(), top), np.append(made["tie"].to_numpy(), last)
+    parts = np.append(made["parts"].to_numpy(), 1).astype(np.int64)
     if len(ends) > 1 and ends[-1] == ends[-2]:
         ends, parts = ends[:-1], parts[:-1]
     return Ranges(ends, parts)
