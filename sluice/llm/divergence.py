@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import Scratch
@@ -22,6 +22,8 @@ from sluice.llm.common import Scratch
 LEAST_DOCS = 3
 SCALE = 1_000_000_000
 TERM_RANKS = 200
+#: Parts in which a group's terms are ranked first.
+RANK_PARTS = 32
 #: Bytes of text that are packed and sorted at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 #: Numbers of the dense tables of shares that are compared at once.
@@ -232,12 +234,18 @@ def divergence_report(docs: DataFrame, text_col: str = "text", lang_col: str = "
     for lang, source, _, _ in rows:
         sources.setdefault(lang, []).append(source)
     compare = _compared(sources, {(a, b): n for a, b, n, _ in rows}, {a: v for a, _, _, v in rows})
-    values = terms.mapInArrow(compare, "lang string, source string, part string, item string, value long")
+    values = scratch.keep(terms.mapInArrow(compare, "lang string, source string, part string, item string, value long"), "values")
     none = docs.sparkSession.createDataFrame([(lang, a, "pair", b, 0) for lang, names in sources.items() for a in names for b in names if a != b], "lang string, source string, part string, item string, value long")
-    sums = values.union(none).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = sums.withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= TERM_RANKS))
+    pairs = values.where("part = 'pair'").union(none).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    # Each task gives as many terms as are ranked, so a group's terms are first cut in parts.
+    first = _ranked(values.where("part = 'term'"), F.pmod(F.xxhash64("item"), F.lit(RANK_PARTS)))
+    return _ranked(pairs, limit=None).unionByName(_ranked(first.drop("rank")))
+
+
+def _ranked(values: DataFrame, *parts: Column, limit: int | None = TERM_RANKS) -> DataFrame:
+    order = Window.partitionBy("lang", "source", "part", *parts).orderBy(F.desc("value"), "item")
+    rows = values.withColumn("rank", F.row_number().over(order))
+    return rows if limit is None else rows.where(F.col("rank") <= limit)
 
 
 def oracle() -> str:
