@@ -30,8 +30,8 @@ BLOCK_WORDS = 65_536
 SHARD_WORDS, LEAST_SHARDS = 1 << 24, 8
 #: Bits of an order's keys, and how many of them one pass tells apart.
 KEY_BITS, PASS_BITS = 60, 12
-#: A source that misses more than this part of its target has single documents turned, one in a round.
-NEAR, ROUNDS = 1e-4, 4
+#: A source that misses more than this part of its target has so many documents around the end of its order chosen anew, longer ones left out.
+NEAR, AROUND, LONGEST_AROUND = 1e-4, 40, 1 << 18
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -173,28 +173,48 @@ def _ends(compact: DataFrame, targets: list, most: int) -> dict[str | None, tupl
     return {s: (whole, low, need, frozenset()) for s, (whole, low, need) in state.items()}
 
 
+def nearest_sum(words: list[int], wanted: float) -> list[bool]:
+    """Which of the numbers to take so that their sum comes nearest to the wanted one; of two equally near the lower."""
+    reached, bits = [1], 1
+    for w in words:
+        bits |= bits << w
+        reached.append(bits)
+    floor = max(0, int(wanted))
+    low = (bits & ((1 << (floor + 1)) - 1)).bit_length() - 1
+    above = bits >> (floor + 1)
+    total = low
+    if above:
+        high = floor + (above & -above).bit_length()
+        total = high if high - wanted < wanted - low else low
+    taken = [False] * len(words)
+    for k in range(len(words) - 1, -1, -1):
+        if not reached[k] >> total & 1:
+            taken[k], total = True, total - words[k]
+    return taken
+
+
 def _adjusted(compact: DataFrame, ends: dict, targets: list) -> dict:
-    """The ends with single documents taken or left against them, where a source misses more than NEAR of its target.
+    """The ends with the documents around them chosen anew, where a source misses more than NEAR of its target.
 
-    Each round turns the one document of a source whose size comes nearest to what is missing, or is too much.
+    Of such a source, the AROUND documents next to the end of its order come to the driver as (key, size), and those are
+    taken that bring its words nearest to the target.
     """
-    spark = compact.sparkSession
-    by_source, wide = {t["source"]: t["target"] for t in targets}, "source string, epoch int, low long, need double, turned array<long>"
-    for _ in range(ROUNDS):
-        todo = [(s, whole, low, need, sorted(turned)) for s, (whole, low, need, turned) in ends.items() if abs(need) > NEAR * by_source[s]]
-        if not todo:
-            break
-        now = spark.createDataFrame(todo, wide).withColumnRenamed("source", "s")
-        rows = compact.join(now, F.col("source").eqNullSafe(F.col("s"))).withColumn("key", _order_key(F.col("content"), F.col("epoch"))).where(~F.array_contains("turned", F.col("key")))
-        one = rows.groupBy("s", "need", "low", "key").agg(F.sum("size").alias("words"))  # equal rows turn together
-        change = F.when(F.col("key") < F.col("low"), -F.col("words")).otherwise(F.col("words"))
-        near = one.groupBy("s", "need").agg(F.min(F.struct(F.abs(F.col("need") - change).alias("miss"), "key", change.alias("change"))).alias("near"))
-        found = near.where(F.col("near.miss") < F.abs("need")).select("s", "near.*").collect()  # one row a source
-        for r in found:
-            whole, low, need, turned = ends[r["s"]]
-            ends[r["s"]] = (whole, low, need - r["change"], turned | {r["key"]})
-        if not found:
-            break
+    by_source = {t["source"]: t["target"] for t in targets}
+    todo = [(s, whole, low, need) for s, (whole, low, need, _) in ends.items() if abs(need) > NEAR * by_source[s]]
+    if not todo:
+        return ends
+    now = compact.sparkSession.createDataFrame(todo, "source string, epoch int, low long, need double").withColumnRenamed("source", "s")
+    rows = compact.where(F.col("size").between(1, LONGEST_AROUND)).join(now, F.col("source").eqNullSafe(F.col("s"))).withColumn("key", _order_key(F.col("content"), F.col("epoch")))
+    near = rows.withColumn("place", F.rank().over(Window.partitionBy("s").orderBy(F.abs(F.col("key") - F.col("low")), "key"))).where(F.col("place") <= AROUND)
+    found: dict[str | None, list[tuple[int, int]]] = {}
+    for r in near.groupBy("s", "key").agg(F.sum("size").alias("words")).where(F.col("words") <= LONGEST_AROUND).collect():  # AROUND rows a source; equal rows stay together
+        found.setdefault(r["s"], []).append((r["key"], r["words"]))
+    for s, own in found.items():
+        whole, low, need, _ = ends[s]
+        own.sort()
+        wanted = need + sum(w for key, w in own if key < low)
+        taken = nearest_sum([w for _, w in own], wanted)
+        ends[s] = (whole, low, wanted - sum(w for (_, w), t in zip(own, taken, strict=True) if t), frozenset(key for (key, _), t in zip(own, taken, strict=True) if t != (key < low)))
     return ends
 
 
