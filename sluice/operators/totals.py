@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.codes import SHARD_IDS
 from sluice.functions.expressions import ratio
+from sluice.operators.search import shard_postings
 
 #: Name of each measure of a committee, by the flag of the posting.
 MEASURES = ("contributions", "other", "transfers", "expenditures")
@@ -106,13 +108,28 @@ def candidate_affiliates(ledger: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def transaction_list(ledger: DataFrame, condition: str, key: str, name: str) -> DataFrame:
-    """(cycle, name, transactions): sorted ids of the rows that meet the condition."""
+    """(cycle, name, transactions): sorted ids of the rows that meet the condition, one row an owner; transaction_rows has them in long form."""
     return ledger.where(condition).groupBy("cycle", F.col(key).alias(name)).agg(F.array_sort(F.collect_list("tx_id")).alias("transactions"))
 
 
+#: Which rows the two lists hold, and whose they are.
+LISTED = {
+    "individual": ("bucket = 'individual' and incoming and not is_memo", "other_id", "indv_id"),
+    "committee": ("bucket = 'committee' and not incoming and transfer and counted and not is_memo", "filer_id", "cmte_id"),
+}
+
+
+def transaction_rows(ledger: DataFrame, kind: str, size: int = SHARD_IDS) -> DataFrame:
+    """(cycle, owner, shard, tx_id): the rows of a list, in order and cut every `size`, for owners with very many of them."""
+    condition, key, name = LISTED[kind]
+    rows = ledger.where(condition).select(F.concat_ws("|", F.col("cycle").cast("string"), key).alias("term"), F.col("tx_id").alias("id"))
+    made = shard_postings(rows, size)
+    return made.select(F.split_part("term", F.lit("|"), F.lit(1)).cast("int").alias("cycle"), F.split_part("term", F.lit("|"), F.lit(2)).alias(name), "shard", F.col("id").alias("tx_id"))
+
+
 def individual_transactions(ledger: DataFrame) -> DataFrame:
-    return transaction_list(ledger, "bucket = 'individual' and incoming and not is_memo", "other_id", "indv_id")
+    return transaction_list(ledger, *LISTED["individual"])
 
 
 def committee_transfers(ledger: DataFrame) -> DataFrame:
-    return transaction_list(ledger, "bucket = 'committee' and not incoming and transfer and counted and not is_memo", "filer_id", "cmte_id")
+    return transaction_list(ledger, *LISTED["committee"])

@@ -238,6 +238,8 @@ _BODIES = {
         WHERE l.bucket = 'candidate' AND l.incoming AND NOT l.is_memo AND (c.pcc IS NULL OR c.pcc <> l.filer_id) GROUP BY l.cycle, l.other_id""",
     "individual_tx_list": "SELECT cycle, other_id AS indv_id, array_to_string(list_sort(list(tx_id)), ',') AS transactions FROM ledger WHERE bucket = 'individual' AND incoming AND NOT is_memo GROUP BY cycle, other_id",
     "cmte_transfer_list": "SELECT cycle, filer_id AS cmte_id, array_to_string(list_sort(list(tx_id)), ',') AS transactions FROM ledger WHERE bucket = 'committee' AND NOT incoming AND transfer AND NOT is_memo GROUP BY cycle, filer_id",
+    "individual_tx_rows": "SELECT cycle, other_id AS indv_id, CAST(floor((row_number() OVER (PARTITION BY cycle, other_id ORDER BY tx_id) - 1) / 1250) AS BIGINT) AS shard, tx_id FROM ledger WHERE bucket = 'individual' AND incoming AND NOT is_memo",
+    "cmte_transfer_rows": "SELECT cycle, filer_id AS cmte_id, CAST(floor((row_number() OVER (PARTITION BY cycle, filer_id ORDER BY tx_id) - 1) / 1250) AS BIGINT) AS shard, tx_id FROM ledger WHERE bucket = 'committee' AND NOT incoming AND transfer AND NOT is_memo",
     **{q: _edge(n, False) for q, n in (("edges_indv_recipients", "indv_recipients"), ("edges_indv_senders", "indv_senders"), ("edges_cand_recipients", "cand_recipients"), ("edges_cand_senders", "cand_senders"), ("edges_transfer_recipients", "transfer_recipients"))},
     **{n: _edge(n, True) for n in ("top_indv_contributors", "top_cmte_contributors", "top_exp_recipients")},
     "counterparty_averages": f"SELECT cycle, list_name, owner_id, cp_id, {_avg('amt', 'txs')} AS avg_amt FROM edges",
@@ -290,6 +292,8 @@ _BODIES = {
     "inverted_index": "SELECT left(term, 1) AS partition, term, array_to_string(list_sort(list(id)), ',') AS ids FROM postings GROUP BY term",
     "posting_shards": """SELECT term, shard, min(id) AS min_id, CASE WHEN shard = last THEN '!' ELSE max(id) END AS max_id, count(*) AS entries FROM (SELECT *, max(shard) OVER (PARTITION BY term) AS last FROM (
         SELECT term, id, CAST(floor((row_number() OVER (PARTITION BY term ORDER BY id) - 1) / 1250) AS BIGINT) AS shard FROM postings)) GROUP BY term, shard, last""",
+    "posting_rows": "SELECT term, CAST(floor((row_number() OVER (PARTITION BY term ORDER BY id) - 1) / 1250) AS BIGINT) AS shard, id FROM postings",
+    "lookup_overlay": f"SELECT * REPLACE (CASE WHEN bucket = 'committee' THEN 'MOVED' ELSE city END AS city) FROM (SELECT {_LOOKUP} FROM lookup)",
     "document_shards": """SELECT term, shard, min(id) AS min_id, CASE WHEN shard = last THEN '!' ELSE max(id) END AS max_id, count(*) AS entries FROM (SELECT *, max(shard) OVER (PARTITION BY term) AS last FROM (
         SELECT term, lpad(CAST(id AS VARCHAR), 12, '0') AS id, CAST(floor((row_number() OVER (PARTITION BY term ORDER BY id) - 1) / 100) AS BIGINT) AS shard FROM doc_postings)) GROUP BY term, shard, last""",
     "term_frequencies": "SELECT left(term, 1) AS partition, term, count(*) AS ids FROM doc_postings GROUP BY term",

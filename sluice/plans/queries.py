@@ -213,6 +213,17 @@ def cmte_transfer_list(b: Book) -> DataFrame:
     return totals.committee_transfers(b.ledger).select("cycle", "cmte_id", joined("transactions"))
 
 
+@query
+def individual_tx_rows(b: Book) -> DataFrame:
+    """The same as rows, in shards."""
+    return totals.transaction_rows(b.ledger, "individual")
+
+
+@query
+def cmte_transfer_rows(b: Book) -> DataFrame:
+    return totals.transaction_rows(b.ledger, "committee")
+
+
 # Edges -----------------------------------------------------------------------------------------------------------
 
 for _query, _list in {
@@ -423,6 +434,21 @@ def inverted_index(b: Book) -> DataFrame:
     return search.inverted_index(b.postings).select("partition", "term", joined("ids"))
 
 
+@query
+def posting_rows(b: Book) -> DataFrame:
+    """The index in long form: a row for each term and id, with its shard."""
+    return stored.entity_index(b).postings.select("term", "shard", "id")
+
+
+@query
+def lookup_overlay(b: Book) -> DataFrame:
+    """Stored lookup rows after those of committees are overlaid by newer ones, twice."""
+    table = ServingTable(b.spark, new_folder(b.spark, "lookup"), b.lookup.schema, "id").write(b.lookup)
+    for _ in range(2):
+        table.upsert(b.lookup.where("bucket = 'committee'").withColumn("city", F.lit("MOVED")))
+    return table.rows.withColumn("years", joined("years"))
+
+
 @query
 def posting_shards(b: Book) -> DataFrame:
     return search.posting_shards(b.postings)

@@ -153,3 +153,15 @@ def test_a_batch_that_ran_without_being_recorded_replaces_itself(spark, stream,
         if os.path.exists(f"{commits}/{name}"):
             os.rename(f"{commits}/{name}", f"{tmp_path}/{name}")
     assert stream() == [1, 2, 3] and stream(4) == [1, 2, 3, 4]
+
+
+def test_transaction_rows_are_the_lists_in_shards(spark):
+    from sluice.operators import totals
+
+    columns = "cycle int, filer_id string, other_id string, bucket string, incoming boolean, is_memo boolean, transfer boolean, counted boolean, tx_id string"
+    rows = [(2000, "C1", "p", "individual", True, False, False, True, f"{n:02d}") for n in range(7)] + [(2002, "C1", "p", "individual", True, False, False, True, "x")] * 2 + [(2000, "C1", "p", "individual", True, True, False, True, "memo")]
+    ledger = spark.createDataFrame(rows, columns)
+    got = sorted(map(tuple, totals.transaction_rows(ledger, "individual", 3).collect()))
+    assert got == [*((2000, "p", n // 3, f"{n:02d}") for n in range(7)), (2002, "p", 0, "x"), (2002, "p", 0, "x")]
+    assert {(r.cycle, len(r.transactions)) for r in totals.individual_transactions(ledger).collect()} == {(2000, 7), (2002, 2)}
+    assert totals.transaction_rows(ledger, "committee").collect() == []
