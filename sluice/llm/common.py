@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.sources.shared import shared_folder, ship
+
+__all__ = ["Scratch", "lower_ascii", "ship", "table", "whole_text"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -29,20 +30,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the package to the session's Python workers, once; they may run where it is not installed."""
-    context = spark.sparkContext
-    if getattr(context, "_sluice_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = f"{tempfile.mkdtemp(prefix='spark-ship-')}/sluice.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for source in sorted(package.rglob("*.py")):
-            z.write(source, source.relative_to(package.parent))
-    context.addPyFile(archive)
-    context._sluice_shipped = True
-
-
 class Scratch:
     """Intermediate tables in the folder that all executors share.
 
@@ -55,13 +42,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            root = tempfile.mkdtemp(prefix="spark-shared-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.root = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
         for collector in self._collectors:
             collector.append(self)
         atexit.register(self._at_exit)
