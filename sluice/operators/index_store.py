@@ -21,7 +21,7 @@ from sluice.functions.codes import MAX_RESULTS, SHARD_IDS
 from sluice.functions.expressions import canonical_id, lookup_partition
 from sluice.operators.search import index_metadata, lookup_by_ids, result_order, shard_postings, tokenize
 from sluice.operators.search import query_terms as terms_of
-from sluice.sources.shared import exists, written
+from sluice.sources.shared import exists, remove, written
 
 #: Folders by hash of the term, and shards of one term that share a folder.
 PIECES, SLOT_SHARDS = 32, 64
@@ -39,6 +39,7 @@ class IndexStore:
     def __init__(self, spark: SparkSession, folder: str, size: int = SHARD_IDS, pieces: int = PIECES, slot_shards: int = SLOT_SHARDS):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.size, self.pieces, self.slot_shards = size, pieces, slot_shards
+        self._finish()
 
     # Tables
 
@@ -131,14 +132,25 @@ class IndexStore:
         self._replace(changed, first, here)
 
     def _replace(self, changed: DataFrame, first: DataFrame, here: Column) -> None:
-        """Write the folders that hold changed shards: their other rows with the changed ones."""
+        """Make the folders that hold changed shards ready, their other rows with the changed ones, and put them in place."""
         touched = changed.select("piece", "slot").distinct()
         stays = self.postings.where(here).join(touched, ["piece", "slot"], "left_semi").join(first, ["term", "piece"], "left").where("first is null or shard < first").select("term", "id", "shard", "piece", "slot")
-        rows = written(stays.unionByName(changed.select("term", "id", "shard", "piece", "slot")), "postings")
+        rows = stays.unionByName(changed.select("term", "id", "shard", "piece", "slot"))
         old = self.shards.where(here).join(first, ["term", "piece"], "left").where("first is null or shard < first").select("term", "shard", "min_id", "max_id", "entries", "piece")
-        ranges = written(old.unionByName(self._ranges(changed)), "shards")
-        self._write(rows, "postings", "piece", "slot")
-        self._write(ranges, "shards", "piece")
+        ranges = old.unionByName(self._ranges(changed))
+        for name, made in (("postings", rows), ("shards", ranges)):
+            made.write.mode("overwrite").parquet(f"{self.folder}/_pending/{name}")
+        self._finish()
+
+    def _finish(self) -> None:
+        """Move what an update has ready into its folders. A driver that died meanwhile leaves it to whoever opens the index next."""
+        tables = (("postings", _POSTINGS, ("piece", "slot")), ("shards", _SHARDS, ("piece",)))
+        if not exists(self.spark, f"{self.folder}/_pending"):
+            return
+        if all(exists(self.spark, f"{self.folder}/_pending/{name}/_SUCCESS") for name, _, _ in tables):
+            for name, schema, by in tables:
+                self._write(self.spark.read.schema(schema).parquet(f"{self.folder}/_pending/{name}"), name, *by)
+        remove(self.spark, f"{self.folder}/_pending")
 
     def update_texts(self, texts: DataFrame) -> None:
         """Add rows (id, bucket, cycle, texts) of buckets and cycles that are not done, and mark these as done."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sluice.operators.tables import keyed_upsert
-from sluice.sources.shared import exists, written
+from sluice.sources.shared import exists, remove, written
 
 PARTS = 32
 
@@ -25,6 +25,7 @@ class ServingTable:
     def __init__(self, spark: SparkSession, folder: str, schema: StructType, pk: str, sk: Sequence[str] = (), parts: int = PARTS):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
         self.pk, self.sk, self.parts = pk, list(sk), parts
+        self._finish()
 
     @property
     def keys(self) -> list[str]:
@@ -76,7 +77,7 @@ class ServingTable:
         alike = [one[c].eqNullSafe(old[f"old_{c}"]) for c in self.schema.names]
         fresh = written(one.join(old, alike, "left_anti"), "fresh")
         if not fresh.isEmpty():
-            self.write(written(keyed_upsert(self._of_parts(fresh).drop("part"), fresh, *self.keys), "merged"))
+            self._put(keyed_upsert(self._of_parts(fresh).drop("part"), fresh, *self.keys))
 
     def insert_new(self, new: DataFrame, order: Sequence[str] = ()) -> None:
         """Rows of keys that are not stored; of several the first by `order`. What is stored stays as it is."""
@@ -85,4 +86,16 @@ class ServingTable:
         first = written(first, "insert")
         fresh = written(first.join(self._of_parts(first).select(*self.keys), self.keys, "left_anti"), "fresh")
         if not fresh.isEmpty():
-            self.write(written(self._of_parts(fresh).drop("part").unionByName(fresh), "merged"))
+            self._put(self._of_parts(fresh).drop("part").unionByName(fresh))
+
+    def _put(self, rows: DataFrame) -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/_pending")
+        self._finish()
+
+    def _finish(self) -> None:
+        """Put folders that are ready in their places. A driver that died meanwhile leaves it to whoever opens the table next."""
+        path = f"{self.folder}/_pending"
+        if exists(self.spark, f"{path}/_SUCCESS"):
+            self.write(self.spark.read.schema(self.schema).parquet(path))
+        if exists(self.spark, path):
+            remove(self.spark, path)

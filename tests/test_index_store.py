@@ -46,6 +46,19 @@ def test_updates_equal_one_build(spark, tmp_path):
     assert sorted(r.id for r in store.match("HOT t1").collect()) == want
 
 
+def test_an_update_that_was_cut_off_is_finished_when_the_index_is_opened(spark, tmp_path, monkeypatch):
+    rows, new = {("a", f"{k:03d}") for k in range(0, 60, 2)}, {("a", "001"), ("b", "7")}
+    store = IndexStore(spark, f"{tmp_path}/index", size=5, pieces=4, slot_shards=2).build(postings(spark, rows))
+    put = IndexStore._write
+    monkeypatch.setattr(IndexStore, "_write", lambda self, frame, name, *by: put(self, frame, name, *by) if name == "postings" else (_ for _ in ()).throw(OSError(name)))
+    with pytest.raises(OSError, match="shards"):
+        store.update(postings(spark, new))
+    monkeypatch.setattr(IndexStore, "_write", put)
+    store = IndexStore(spark, f"{tmp_path}/index", size=5, pieces=4, slot_shards=2)
+    assert shown(store) == cut(rows | new, 5) and not os.path.exists(f"{tmp_path}/index/_pending")
+    assert sorted(map(tuple, store.directory().collect())) == sorted(map(tuple, search.posting_shards(postings(spark, rows | new), 5).collect()))
+
+
 def test_a_small_batch_leaves_other_files(spark, tmp_path):
     rows = {("hot", f"{k:05d}") for k in range(1_000)} | {(f"t{k}", "00001") for k in range(64)}
     store = IndexStore(spark, f"{tmp_path}/index", size=10, pieces=16, slot_shards=4).build(postings(spark, rows))

@@ -55,6 +55,16 @@ def test_an_upsert_writes_only_folders_with_a_change(spark, table):
     assert files(table.folder) == first
 
 
+def test_an_upsert_that_was_cut_off_is_finished_when_the_table_is_opened(spark, table, monkeypatch):
+    put = ServingTable.write
+    monkeypatch.setattr(ServingTable, "write", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        table.upsert(spark.createDataFrame([("k0003", 2000, "new", [1])], SCHEMA))
+    monkeypatch.setattr(ServingTable, "write", put)
+    again = ServingTable(spark, table.folder, table.schema, "k", ["c"], parts=16)
+    assert [r.v for r in again.get("k0003").orderBy("c").collect()] == ["new", "old"] and again.rows.count() == 1_000
+
+
 def test_ten_keys_leave_other_folders(spark, tmp_path):
     rows = spark.createDataFrame([(f"k{n:05d}", 0, "old", [n]) for n in range(5_000)], SCHEMA)
     table = ServingTable(spark, f"{tmp_path}/wide", rows.schema, "k", parts=64).write(rows)
