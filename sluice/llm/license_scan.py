@@ -76,6 +76,29 @@ TEMPLATES = (
     ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", "software developed by the openssl project"),
     ("sleepycat", "redistributions in any form must be accompanied by information on how to obtain complete source code for the software", "accompanied by information on how to obtain complete source code"),
     ("proprietary", "no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher", "no part of this publication may be reproduced"),
+    ("gpl-2.0", "licensed under the gnu general public license version 2", "general public license version 2"),
+    ("gpl-or-later", "either version 2 of the license or at your option any later version", "at your option any later version"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gnu free documentation license"),
+    ("x11", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization", "promote the sale use or other dealings in this software"),
+    ("hpnd", "not be used in advertising or publicity pertaining to distribution of the software without specific written prior permission", "advertising or publicity pertaining to distribution"),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license", "governs use of the accompanying software"),
+    ("artistic-2.0", "this is free software licensed under the artistic license 2 0", "the artistic license 2 0"),
+    ("perl", "you can redistribute it and or modify it under the same terms as perl itself", "under the same terms as perl itself"),
+    ("ruby", "you can redistribute it and or modify it under either the terms of the 2 clause bsdl", "either the terms of the 2 clause bsdl"),
+    ("json", "the software shall be used for good not evil", "used for good not evil"),
+    ("beerware", "as long as you retain this notice you can do whatever you want with this stuff", "retain this notice you can do whatever"),
+    ("ijg", "this software is based in part on the work of the independent jpeg group", "independent jpeg group"),
+    ("php-3.01", "this product includes php software freely available from", "includes php software freely available"),
+    ("upl-1.0", "subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software associated documentation and or data", "condition set forth below"),
+    ("sspl-1.0", "licensed under the server side public license version 1", "server side public license"),
+    ("elastic-2.0", "licensed under the elastic license 2 0", "elastic license 2 0"),
+    ("busl-1.1", "licensed under the business source license 1 1", "business source license"),
+    ("spdx-mit", "spdx license identifier mit", "spdx license identifier mit"),
+    ("spdx-apache-2.0", "spdx license identifier apache 2 0", "license identifier apache 2 0"),
+    ("spdx-gpl-2.0", "spdx license identifier gpl 2 0", "license identifier gpl 2 0"),
+    ("spdx-gpl-3.0", "spdx license identifier gpl 3 0", "license identifier gpl 3 0"),
+    ("spdx-bsd-3-clause", "spdx license identifier bsd 3 clause", "license identifier bsd 3 clause"),
+    ("spdx-mpl-2.0", "spdx license identifier mpl 2 0", "license identifier mpl 2 0"),
 )
 
 
