@@ -24,7 +24,7 @@ from sluice.llm.common import whole_text
 SPACE = "▁"
 #: Runs of text remembered by a task, in each of two halves; pairs of pieces known to fit or not.
 #: Runs in each of two halves of what is remembered, and about how many bytes they may take; longer runs are not remembered.
-REMEMBERED_RUNS, REMEMBERED_BYTES, LONGEST_REMEMBERED = 400_000, 128 << 20, 256
+REMEMBERED_RUNS, REMEMBERED_BYTES, LONGEST_REMEMBERED = 400_000, 192 << 20, 256
 REMEMBERED_PAIRS = 2_000_000
 #: What a remembered run takes besides its characters.
 ENTRY_BYTES = 300
