@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from sluice.functions.expressions import entity_bucket, ratio
 from sluice.operators.ownership import total_ownership
-from sluice.sources.shared import new_folder, written
+from sluice.sources.shared import BucketedTables, written
 
 
 def shares(all_edges: DataFrame, totals: DataFrame) -> DataFrame:
@@ -92,24 +91,24 @@ def reach(edges: DataFrame, roots: Sequence[str], hops: int | None = None, keys:
     """(*keys, id, hop): all nodes that can be reached from the roots, each with its first hop; edges of all given types are followed.
 
     Rows that differ in `keys` (such as the cycle) are graphs of their own. The search ends where a hop finds nothing
-    new, or after `hops` if given. Links and what each hop finds are written to the shared folder, each node once.
+    new, or after `hops` if given. Links are stored in buckets of their source and what is found in buckets of its id, in the shared
+    folder, so a hop joins both as they lie and shuffles only the nodes that it meets.
     """
     spark = edges.sparkSession
-    links = written(edges.select(*keys, "src", "dst").distinct(), "links")
-    if keys:
-        start = links.select(*keys).distinct().withColumn("id", F.explode(F.array(*map(F.lit, dict.fromkeys(roots)))))
-    else:
-        start = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "id string")
-    folder = new_folder(spark, "reach")
-    schema = StructType([*start.schema, StructField("hop", IntegerType())])
-    start.write.parquet(f"{folder}/hop=0")
-    hop = 0
-    while hops is None or hop < hops:
-        seen = spark.read.schema(schema).parquet(folder)
-        front = seen.where(F.col("hop") == hop).select(*keys, F.col("id").alias("src"))
-        hop += 1
-        fresh = links.join(front, [*keys, "src"]).select(*keys, F.col("dst").alias("id")).distinct().join(seen.select(*keys, "id"), [*keys, "id"], "left_anti")
-        fresh.write.parquet(f"{folder}/hop={hop}")
-        if spark.read.schema(start.schema).parquet(f"{folder}/hop={hop}").isEmpty():
-            break
-    return spark.read.schema(schema).parquet(folder)
+    with BucketedTables(spark, "reach") as tables:
+        links = tables.append("links", edges.select(*keys, "src", "dst"), [*keys, "src"], distinct=True)
+        if keys:
+            start = links.select(*keys).distinct().withColumn("id", F.explode(F.array(*map(F.lit, dict.fromkeys(roots)))))
+        else:
+            start = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "id string")
+        seen = tables.append("seen", start.withColumn("hop", F.lit(0)), [*keys, "id"])
+        hop = 0
+        while hops is None or hop < hops:
+            front = seen.where(F.col("hop") == hop).select(*keys, F.col("id").alias("src"))
+            hop += 1
+            met = tables.dealt(links.join(front, [*keys, "src"]).select(*keys, F.col("dst").alias("id")), [*keys, "id"]).distinct()
+            fresh = met.join(seen.select(*keys, "id"), [*keys, "id"], "left_anti")
+            seen = tables.append("seen", fresh.withColumn("hop", F.lit(hop)), [*keys, "id"])
+            if seen.where(F.col("hop") == hop).isEmpty():
+                break
+        return tables.rows("seen", [*keys, "id", "hop"])

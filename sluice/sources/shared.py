@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,3 +94,41 @@ class Steps:
     def result(self, frame: DataFrame) -> DataFrame:
         """The frame as a table that stays."""
         return written(frame, self.purpose)
+
+
+class BucketedTables:
+    """Tables of an iteration in the shared folder, bucketed by keys, so that joins on them don't shuffle what is stored.
+
+    The catalog knows them, under names of their own, until the iteration ends; their files stay as long as Python runs.
+    """
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.purpose = spark, purpose
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def __enter__(self) -> BucketedTables:
+        self.folder = new_folder(self.spark, self.purpose)
+        self.prefix = f"sluice_{self.purpose}_{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.prefix}_{name}")
+
+    def dealt(self, frame: DataFrame, by: Sequence[str]) -> DataFrame:
+        """The frame in as many partitions as the tables have buckets, by the same keys."""
+        return frame.repartition(self.buckets, *by)
+
+    def append(self, name: str, frame: DataFrame, by: Sequence[str], distinct: bool = False) -> DataFrame:
+        """Add rows to a table, which is made if it isn't there, and read all of it."""
+        rows = self.dealt(frame, by)
+        rows = rows.distinct() if distinct else rows
+        rows.write.mode("append").bucketBy(self.buckets, by[0], *by[1:]).option("path", f"{self.folder}/{name}").format("parquet").saveAsTable(f"{self.prefix}_{name}")
+        self.names.add(name)
+        return self.spark.table(f"{self.prefix}_{name}")
+
+    def rows(self, name: str, columns: Sequence[str]) -> DataFrame:
+        """A table's rows, which can be read after the iteration."""
+        schema = self.spark.table(f"{self.prefix}_{name}").schema
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}").select(*columns)
