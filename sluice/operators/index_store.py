@@ -13,14 +13,15 @@ again finds its ids and writes nothing.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.codes import MAX_RESULTS, SHARD_IDS
-from sluice.functions.expressions import canonical_id, lookup_partition
+from sluice.functions.expressions import canonical_id, lookup_partition, terms
 from sluice.operators.search import index_metadata, lookup_by_ids, result_order, shard_postings, tokenize
-from sluice.operators.search import query_terms as terms_of
 from sluice.sources.shared import exists, remove, written
 
 #: Folders by hash of the term, and shards of one term that share a folder.
@@ -33,6 +34,16 @@ _SHARDS = "term string, shard long, min_id string, max_id string, entries long,
 _LOOKUP = "id string, name string, city string, state string, employer string, bucket string, years array<int>, partition string"
 
 
+class Term(NamedTuple):
+    """What the directory has of a query's term."""
+
+    term: str
+    shards: int
+    entries: int
+    low: str
+    high: str
+
+
 class IndexStore:
     """An index in a folder that all executors share."""
 
@@ -161,46 +172,51 @@ class IndexStore:
 
     # Searching
 
-    def _terms(self, text: str) -> list[str]:
-        return [r["term"] for r in terms_of(self.spark, text).collect()]  # a query's own words
-
-    def _of(self, table: DataFrame, terms: Sequence[str]) -> DataFrame:
-        """Rows of the terms; both comparisons are literals, which reach folders and files."""
-        pieces = self.spark.range(1).select(F.array_distinct(F.array(*(self._piece(F.lit(t)) for t in terms)))).first()[0]
-        return table.where(F.col("piece").isin(pieces) & F.col("term").isin(list(terms)))
+    def _of(self, table: DataFrame, words: Sequence[str]) -> DataFrame:
+        """Rows of the terms; both comparisons are with constants, which reach folders and files."""
+        piece = reduce(lambda a, b: a | b, (F.col("piece") == self._piece(F.lit(t)) for t in words))
+        return table.where(piece & F.col("term").isin(list(words)))
+
+    def _plans(self, texts: Sequence[str]) -> dict[str, list[Term]]:
+        """The terms of each text in the order in which they are met, rarest first; none if one of them has no entries."""
+        asked = self.spark.createDataFrame([(t,) for t in texts], "q string")
+        wanted = {r["q"]: r["terms"] for r in asked.select("q", terms(F.array("q")).alias("terms")).collect()}  # the queries' own words
+        every = sorted({t for own in wanted.values() for t in own})
+        if not every:
+            return dict.fromkeys(texts, [])
+        sums = self._of(self.shards, every).groupBy("term").agg(F.count("*").alias("shards"), F.sum("entries").alias("entries"), F.min("min_id").alias("low"), F.max("max_id").alias("high"))
+        found = {r["term"]: Term(*r) for r in sums.collect()}  # a row a term of the queries
+        return {t: sorted((found[w] for w in own), key=lambda x: (x.shards, x.entries, x.term)) if all(w in found for w in own) else [] for t, own in wanted.items()}
 
     def plan(self, text: str) -> list[tuple[str, int, int]]:
         """(term, shards, entries) of a query's terms in the order in which they are met, rarest first; empty if one of them has none."""
-        terms = self._terms(text)
-        if not terms:
-            return []
-        found = self._of(self.shards, terms).groupBy("term").agg(F.count("*").alias("shards"), F.sum("entries").alias("entries")).collect()  # a row a term of the query
-        made = sorted(((r["term"], r["shards"], r["entries"]) for r in found), key=lambda x: (x[1], x[2], x[0]))
-        return made if len(made) == len(terms) else []
-
-    def _ranges_of(self, term: str) -> list[tuple[str, str]]:
+        return [(x.term, x.shards, x.entries) for x in self._plans([text])[text]]
+
+    def _ranges_of(self, term: Term) -> list[tuple[str, str]]:
         """Up to RANGES ranges that hold all ids of the term: those of its shards, neighbours joined."""
-        rows = self._of(self.shards, [term]).select("shard", "min_id", "max_id")
-        shards = rows.agg(F.max("shard")).first()[0] + 1
-        part = F.floor(F.col("shard") * RANGES / max(shards, RANGES)) if shards > RANGES else F.col("shard")
-        return [(r["low"], r["high"]) for r in rows.groupBy(part.alias("part")).agg(F.min("min_id").alias("low"), F.max("max_id").alias("high")).orderBy("part").collect()]
+        if term.shards == 1:
+            return [(term.low, term.high)]
+        part = F.floor(F.col("shard") * RANGES / max(term.shards, RANGES)) if term.shards > RANGES else F.col("shard")
+        rows = self._of(self.shards, [term.term]).groupBy(part.alias("part")).agg(F.min("min_id").alias("low"), F.max("max_id").alias("high"))
+        return [(r["low"], r["high"]) for r in rows.orderBy("part").collect()]
 
     def match(self, text: str) -> DataFrame:
         """(id): what holds all terms of the query; none for a query without terms."""
-        order = self.plan(text)
+        return self._met(self._plans([text])[text])
+
+    def _met(self, order: list[Term]) -> DataFrame:
         if not order:
             return self.spark.createDataFrame([], "id string")
-        rarest = order[0][0]
-        found = self._of(self.postings, [rarest]).select("id")
+        found = self._of(self.postings, [order[0].term]).select("id")
         if len(order) == 1:
             return found
-        ranges = self._ranges_of(rarest)
+        ranges = self._ranges_of(order[0])
         meets = self._any(ranges, lambda low, high: (F.col("max_id") >= low) & (F.col("min_id") <= high))
         within = self._any(ranges, lambda low, high: F.col("id").between(low, high))
-        for term, shards, _ in order[1:]:
-            rows = self._of(self.postings, [term])
-            if shards > self.slot_shards:
-                slots = self._of(self.shards, [term]).where(meets).select(F.floor(F.col("shard") / self.slot_shards).cast("int").alias("slot")).distinct().collect()
+        for term in order[1:]:
+            rows = self._of(self.postings, [term.term])
+            if term.shards > self.slot_shards:
+                slots = self._of(self.shards, [term.term]).where(meets).select(F.floor(F.col("shard") / self.slot_shards).cast("int").alias("slot")).distinct().collect()
                 rows = rows.where(F.col("slot").isin([r["slot"] for r in slots]))  # RANGES and a term's slots at most
             found = rows.where(within).select("id").join(found, "id")
         return found
@@ -215,9 +231,8 @@ class IndexStore:
     def status(self, texts: Sequence[str], limit: int = MAX_RESULTS) -> DataFrame:
         """(query, results, status) of each text: OK, NO_RESULTS, or MAX_LENGTH beyond the limit. A single term is counted in the directory."""
         made = None
-        for text in texts:
-            order = self.plan(text)
-            count = self.spark.createDataFrame([(order[0][2] if order else 0,)], "results long") if len(order) < 2 else self.match(text).agg(F.count("*").alias("results"))
+        for text, order in self._plans(texts).items():
+            count = self.spark.createDataFrame([(order[0].entries if order else 0,)], "results long") if len(order) < 2 else self._met(order).agg(F.count("*").alias("results"))
             row = count.select(F.lit(text).alias("query"), "results")
             made = row if made is None else made.union(row)
         return made.withColumn("status", F.when(F.col("results") == 0, "NO_RESULTS").when(F.col("results") > limit, "MAX_LENGTH").otherwise("OK"))
