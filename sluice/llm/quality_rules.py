@@ -1,8 +1,9 @@
 """Quality rules: counts per document, and an isolation forest on the statistics made of them.
 
 The base rules fail a text for fixed reasons. The forest isolates the statistics of every other text with random
-splits: odd ones need few. It is fitted on one half of a bounded sample of labelled rows, whatever their labels; its
-threshold is calibrated on the other half, with a wrongly rejected clean row costing far more than a kept bad one.
+splits: odd ones need few. Its trees draw their rows, as the method has it, from all of one half of the labelled rows,
+whatever their labels; its threshold is calibrated on all rows of the other half, with a wrongly rejected clean row costing
+far more than a kept bad one.
 """
 
 from __future__ import annotations
@@ -15,22 +16,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import whole_text
+from sluice.llm.common import Scratch, whole_text
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Labelled rows that the forest and its threshold are fitted on, half of them each; with fewer than so many in a half,
+#: The forest is fitted on one half of the labelled rows and its threshold on the other; with fewer than so many in a half,
 #: the base rules decide alone.
-SAMPLE_ROWS = 4_000
 LEAST_ROWS = 16
 TREES = 200
 SUBSAMPLE = 256
+#: Rows that all trees draw together; a half with more of them deals each tree rows of its own.
+SAMPLE_ROWS = TREES * SUBSAMPLE
+#: Parts of the scores' range in each of which rejected rows are added up from the highest score.
+SCORE_BINS = 1 << 14
 #: A clean row rejected weighs so many times a bad row kept.
 CLEAN_WEIGHT = 100.0
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -100,6 +104,14 @@ class IsolationForest:
         depth = int(np.ceil(np.log2(max(2, size)))) + 2
         return cls([cls._tree(rows[random.choice(len(rows), size, replace=False)], depth, random) for _ in range(trees)], size)
 
+    @classmethod
+    def fit_dealt(cls, rows: np.ndarray, trees: int = TREES, seed: int = 7) -> IsolationForest:
+        """Each tree from rows of its own: the k-th of `trees` from every `trees`-th row after the k-th."""
+        random = np.random.default_rng(seed)
+        size = len(rows) // trees
+        depth = int(np.ceil(np.log2(max(2, size)))) + 2
+        return cls([cls._tree(rows[k::trees][:size], depth, random) for k in range(trees)], size)
+
     @staticmethod
     def _tree(rows: np.ndarray, depth: int, random: np.random.Generator):
         nodes: list[list[float]] = []
@@ -174,38 +186,106 @@ def calibrate(scores: np.ndarray, clean: np.ndarray, weight: float = CLEAN_WEIGH
     return float((scores[order][best] + below) / 2)
 
 
+def _known(labels: DataFrame, label: str) -> DataFrame:
+    """(id, label): a label given twice counts with its largest value; null labels and ids are left out."""
+    return labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("int").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> DataFrame:
     """(text, label, id): at most `rows` labelled rows, chosen and ordered by a hash of their ids, then by their text.
 
     A label given twice counts with its largest value; null labels and ids are left out, and so are labels without a
     text.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
+    chosen = _known(labels, label).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
     # `chosen` has at most `rows` rows of two numbers.
     return texts.join(F.broadcast(chosen), "id").select("text", "label", "id").orderBy(F.xxhash64("id"), "text").limit(rows)
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> RuleModel:
-    """A forest and its threshold from at most `sample_rows` labelled rows; without enough of them the base rules alone."""
+def _measured(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(stats, failed, clean, h, t) of all labelled rows; h and t are hashes of the id and the text, by which they are ordered.
+
+    Texts are measured where they are read, and only what is measured meets the labels.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             counts = [rule_counts(t) for t in texts]
             stats = pa.array([statistics(t, c) for t, c in zip(texts, counts, strict=True)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([stats, pa.array([base_failed(c) for c in counts], pa.bool_()), batch.column(1)], names=["stats", "failed", "label"])
-
-    sample = labelled_sample(docs, labels, sample_rows, id_col, text_col)
-    found = sample.mapInArrow(measure, "stats array<double>, failed boolean, label int").collect()
-    rows, failed, clean = np.array([r["stats"] for r in found]), np.array([r["failed"] for r in found], dtype=bool), np.array([r["label"] == 1 for r in found], dtype=bool)
-    first = np.arange(len(found)) % 2 == 0
-    other = ~first & ~failed
-    if min(first.sum(), other.sum()) < LEAST_ROWS:
-        return RuleModel(None, np.inf)
-    forest = IsolationForest.fit(rows[first])
-    return RuleModel(forest, calibrate(forest.scores(rows[other]), clean[other]))
+            yield pa.RecordBatch.from_arrays([stats, pa.array([base_failed(c) for c in counts], pa.bool_()), *batch.columns[1:]], names=["stats", "failed", "id", "t"])
+
+    text = whole_text(text_col)
+    rows = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t")).where("id is not null")
+    measured = rows.mapInArrow(measure, "stats array<double>, failed boolean, id long, t long")
+    return measured.join(_known(labels, "quality"), "id").select("stats", "failed", (F.col("label") == 1).alias("clean"), F.xxhash64("id").alias("h"), "t")
+
+
+def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with their number, from 0, in the order of (h, t): a row's place in its range, after the ranges before."""
+    ordered = rows.repartitionByRange("h", "t").sortWithinPartitions("h", "t")
+    placed = scratch.keep(ordered.withColumns({"piece": F.spark_partition_id(), "place": F.monotonically_increasing_id()}), "placed")
+    starts, before = [], 0
+    for r in placed.groupBy("piece").agg(F.count("*").alias("n"), F.min("place").alias("first")).orderBy("piece").collect():  # one row a range
+        starts.append((r["piece"], before - r["first"]))
+        before += r["n"]
+    shift = rows.sparkSession.createDataFrame(starts, "piece int, shift long")
+    return placed.join(F.broadcast(shift), "piece").withColumn("number", F.col("place") + F.col("shift")).drop("piece", "place", "shift")
+
+
+def calibrate_rows(scored: DataFrame, scratch: Scratch, weight: float = CLEAN_WEIGHT) -> float:
+    """The threshold of calibrate(), for scores from 0 to 1 in a table (score, clean): rows are added up in bins of the score, after the bins above."""
+    each = scored.groupBy("score").agg(F.sum(F.when(F.col("clean"), 0).otherwise(1)).alias("bad"), F.sum(F.when(F.col("clean"), 1).otherwise(0)).alias("good"))
+    each = scratch.keep(each.withColumn("bin", F.floor(F.col("score") * SCORE_BINS).cast("int")), "scores")
+    bins = each.groupBy("bin").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.max("score").alias("top")).orderBy(F.desc("bin")).collect()  # SCORE_BINS + 1 at most
+    all_bad, all_good = sum(r["bad"] for r in bins), sum(r["good"] for r in bins)
+    if not all_bad or not all_good:
+        return np.inf
+    starts, bad, good = [], 0, 0
+    for r, below in zip(bins, [*bins[1:], None], strict=True):
+        starts.append((r["bin"], bad, good, below["top"] if below else None))
+        bad, good = bad + r["bad"], good + r["good"]
+    above = scored.sparkSession.createDataFrame(starts, "bin int, bad_above long, good_above long, next double")
+    down = Window.partitionBy("bin").orderBy(F.desc("score"))
+    rejected = [(F.col(f"{c}_above") + F.sum(c).over(down)) / F.lit(n) for c, n in (("bad", all_bad), ("good", all_good))]
+    gains = each.join(F.broadcast(above), "bin").select((rejected[0] - F.lit(weight) * rejected[1]).alias("gain"), "score", F.coalesce(F.lead("score").over(down), "next", "score").alias("below"))
+    best = gains.orderBy(F.desc("gain"), F.desc("score")).first()
+    return float((best["score"] + best["below"]) / 2) if best["gain"] > 0 else np.inf
+
+
+def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
+    """A forest and its threshold from all labelled rows; without enough of them the base rules alone.
+
+    Labelled rows are numbered by a hash of their ids. Trees draw from all rows of even number, SUBSAMPLE each; every row of
+    odd number that the base rules pass counts for the threshold.
+    """
+    scratch = Scratch(docs.sparkSession, "rules")
+    try:
+        rows = scratch.keep(_measured(docs, labels, id_col, text_col), "measured")
+        rows = _numbered(rows, scratch)
+        first, other = rows.where("number % 2 = 0"), rows.where("number % 2 = 1 and not failed")
+        n_first, n_other = first.count(), other.count()
+        if min(n_first, n_other) < LEAST_ROWS:
+            return RuleModel(None, np.inf)
+        drawn = np.random.default_rng(7).choice(n_first, SAMPLE_ROWS, replace=False) if n_first > SAMPLE_ROWS else None
+        if drawn is not None:
+            mine = docs.sparkSession.createDataFrame([(2 * int(k), place) for place, k in enumerate(drawn)], "number long, turn int")
+            first = first.join(F.broadcast(mine), "number").withColumn("number", F.col("turn"))  # SAMPLE_ROWS of two numbers
+        found = first.select("number", "stats").orderBy("number").collect()  # SAMPLE_ROWS at most, of seven numbers
+        stats = np.array([r["stats"] for r in found])
+        forest = IsolationForest.fit(stats) if drawn is None else IsolationForest.fit_dealt(stats)
+        shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    held = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(shared.value.scores(held)), batch.column(1)], names=["score", "clean"])
+
+        return RuleModel(forest, calibrate_rows(other.select("stats", "clean").mapInArrow(score, "score double, clean boolean"), scratch))
+    finally:
+        scratch.remove()
 
 
 def rule_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -139,3 +139,26 @@ def test_trees_split_between_their_rows():
         assert mine[:, feature[at]].min() <= split[at] <= mine[:, feature[at]].max()
         left = mine[:, feature[at]] < split[at]
         todo += [(child[at], mine[left], level + 1), (child[at] + 1, mine[~left], level + 1)]
+
+
+def test_the_forest_is_fitted_on_all_labelled_rows(spark, tmp_path, monkeypatch):
+    """Threshold and trees come from every labelled row, not from the 4,000 that hashes put first."""
+    rows = [(k, "".join("word%d " % (k * 7 % 997 + j) for j in range(60)) + "#" * (k % 50)) for k in range(9_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 50 < 40)) for k, _ in rows], "doc_id long, quality int")
+    seen = []
+    own = quality_rules.calibrate_rows
+
+    def calibrated(scored, scratch, *more):
+        held = scored.collect()
+        scores, clean = np.array([r["score"] for r in held]), np.array([r["clean"] for r in held])
+        seen.append((len(held), quality_rules.calibrate(scores, clean), own(scored, scratch, *more)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(quality_rules, "calibrate_rows", calibrated)
+    quality_rules.fit_rules(docs, labels)
+    assert seen[0][0] == 4_500
+    assert abs(seen[0][1] - seen[0][2]) < 1e-12
+    monkeypatch.setattr(quality_rules, "SAMPLE_ROWS", quality_rules.TREES * 16)  # fewer than there are: each tree has rows of its own
+    model = quality_rules.fit_rules(docs, labels)
+    assert model.forest.subsample == 16 and len(model.forest.trees) == quality_rules.TREES
