@@ -29,10 +29,13 @@ class Profiles:
         self.tables: dict[str, ServingTable] = {}
 
     def build(self, entities: DataFrame, edges: DataFrame, committees: DataFrame, individuals: DataFrame, candidates: DataFrame) -> Profiles:
-        """Store the tables. `edges` are the lists without their limits; the others have one row an id (and cycle)."""
+        """Store the tables. `edges` are the lists without their limits, of which rows with the same keys are added up; the others have one row an id (and cycle)."""
         totals = individuals.withColumnRenamed("indv_id", "id").select(F.lit("individual").alias("kind"), "*").unionByName(candidates.withColumnRenamed("cand_id", "id").select(F.lit("candidate").alias("kind"), "*"))
         self._store("entities", entities, "id", "bucket")
-        self._store("adjacency", edges.select("owner_id", "list_name", "cycle", "cp_id", "amt", "txs"), "owner_id", "list_name", "cycle", "cp_id")
+        keys = ("owner_id", "list_name", "cycle", "cp_id")
+        schema = edges.select(*keys, F.col("amt").cast("decimal(28,2)").alias("amt"), F.col("txs").cast("long").alias("txs")).schema
+        adjacency = ServingTable(self.spark, f"{self.folder}/adjacency", schema, keys[0], keys[1:])
+        self.tables["adjacency"] = adjacency.write_sums(edges, F.sum("amt").cast("decimal(28,2)").alias("amt"), F.sum("txs").alias("txs"))
         self._store("committees", committees, "cmte_id", "cycle")
         self._store("totals", totals, "id", "kind", "cycle")
         return self

@@ -44,8 +44,18 @@ class ServingTable:
 
     def write(self, rows: DataFrame) -> ServingTable:
         """Store rows; the folders of their keys are replaced, all others stay."""
-        made = rows.select(*self.schema.names).withColumn("part", self._part(F.col(self.pk)))
-        made = made.repartitionByRange("part", *self.keys).sortWithinPartitions("part", *self.keys)
+        return self._save(self._dealt(rows.select(*self.schema.names)))
+
+    def write_sums(self, rows: DataFrame, *sums: Column) -> ServingTable:
+        """Store one row a key, with sums over all of its rows. Rows are dealt over the ranges in which they are stored before they
+        are added up, so that they are shuffled once; for keys of few rows each."""
+        return self._save(self._dealt(rows).groupBy("part", *self.keys).agg(*sums).select(*self.schema.names, "part"))
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("part", self._part(F.col(self.pk))).repartitionByRange("part", *self.keys)
+
+    def _save(self, dealt: DataFrame) -> ServingTable:
+        made = dealt.sortWithinPartitions("part", *self.keys)
         writer = made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(f"parquet.bloom.filter.enabled#{self.pk}", "true")
         writer.partitionBy("part").parquet(self.folder)
         return self
