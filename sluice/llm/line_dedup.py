@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, lower_ascii, whole_text
+from sluice.llm.common import Scratch, lean, lower_ascii, whole_text
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -272,7 +272,7 @@ def _probe(keys: DataFrame, state: LineState) -> DataFrame:
             yield made.filter(pa.array(batch.column("kind").to_numpy() == 1))
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema.fields)
-    return _behind_filters(keys, state).mapInArrow(probe, f"{types}, maybe boolean")
+    return _behind_filters(keys, state).mapInArrow(lean(probe), f"{types}, maybe boolean")
 
 
 def _changed(state: LineState, keys: DataFrame, add: bool) -> DataFrame:
@@ -297,7 +297,7 @@ def _changed(state: LineState, keys: DataFrame, add: bool) -> DataFrame:
         if at is not None:
             yield made()
 
-    return _behind_filters(keys, state).mapInArrow(change, "shard long, filter binary")
+    return _behind_filters(keys, state).mapInArrow(lean(change), "shard long, filter binary")
 
 
 def _drops(state: LineState, min_docs: int) -> DataFrame:

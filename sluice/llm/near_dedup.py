@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, whole_text
+from sluice.llm.common import Scratch, lean, whole_text
 from sluice.llm.components import components
 
 BANDS = 32
@@ -139,7 +139,7 @@ def signatures(docs: DataFrame, shingle_words: int, id_col: str = "doc_id", text
                 names=["doc_id", "n", "s1", "s2", "keys", "sig"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), whole_text(text_col)).mapInArrow(sign, "doc_id long, n long, s1 long, s2 long, keys array<long>, sig binary")
+    return docs.select(F.col(id_col).cast("long"), whole_text(text_col)).mapInArrow(lean(sign), "doc_id long, n long, s1 long, s2 long, keys array<long>, sig binary")
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -152,7 +152,7 @@ def _likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(estimate(a, b) >= least))
 
     sided = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return sided.select("a", "b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long").distinct()
+    return sided.select("a", "b", "sig_a", "sig_b").mapInArrow(lean(keep), "a long, b long").distinct()
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -182,7 +182,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: in
                     b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    return wanted.mapInArrow(compare, "a long, b long")
+    return wanted.mapInArrow(lean(compare), "a long, b long")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -247,7 +247,7 @@ def _across(shared: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFr
         if parts:
             yield flush()
 
-    groups = signed.mapInArrow(sift, kind).join(texts, "id").select("key", "pair", "side", "id", "component", "text").repartition("key", "pair").sortWithinPartitions("key", "pair")
+    groups = signed.mapInArrow(lean(sift), kind).join(texts, "id").select("key", "pair", "side", "id", "component", "text").repartition("key", "pair").sortWithinPartitions("key", "pair")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(shingle_words), Signer()
@@ -267,7 +267,7 @@ def _across(shared: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFr
         if group:
             yield flush()
 
-    return groups.mapInArrow(scan, "a long, b long").distinct()
+    return groups.mapInArrow(lean(scan), "a long, b long").distinct()
 
 
 def _partnered(rows: pa.RecordBatch, least: float) -> np.ndarray:

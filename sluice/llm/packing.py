@@ -27,14 +27,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, whole_text
+from sluice.llm.common import Scratch, lean, whole_text
 
 CAPACITY = 4096
 END_ID = 1
 #: Runs of text remembered by a Python worker, in each of two halves; longer runs go through the library.
 REMEMBERED_RUNS = 600_000
 #: About how many bytes the runs of one half of what is remembered may take, besides those of the last block.
-REMEMBERED_BYTES = 128 << 20
+REMEMBERED_BYTES = 24 << 20
 LONGEST_RUN = 64
 #: Bytes of texts that are tokenised together.
 BLOCK_BYTES = 4 << 20
@@ -265,7 +265,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, e
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), whole_text(text_col)).mapInArrow(cut, PIECE_SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), whole_text(text_col)).mapInArrow(lean(cut), PIECE_SCHEMA)
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -368,4 +368,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                 offset[mine] = rows[:, 3] + within % rows[:, 2] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, PIECE_SCHEMA + ", sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), PIECE_SCHEMA + ", sequence_id long, offset long")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import whole_text
+from sluice.llm.common import lean, whole_text
 from sluice.llm.quality_rules import keep_rows, labelled_sample
 
 DIMENSIONS = 48
@@ -228,7 +228,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     doc_id = F.col(id_col).cast("long")
     rows = docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), whole_text(text_col).alias("text"))
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(score), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def filter_by_quality(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

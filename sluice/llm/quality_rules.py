@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Scratch, whole_text
+from sluice.llm.common import Scratch, lean, whole_text
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -218,7 +218,7 @@ def _measured(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
 
     text = whole_text(text_col)
     rows = docs.select(text.alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t")).where("id is not null")
-    measured = rows.mapInArrow(measure, "stats array<double>, failed boolean, id long, t long")
+    measured = rows.mapInArrow(lean(measure), "stats array<double>, failed boolean, id long, t long")
     return measured.join(_known(labels, "quality"), "id").select("stats", "failed", (F.col("label") == 1).alias("clean"), F.xxhash64("id").alias("h"), "t")
 
 
@@ -283,7 +283,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                     held = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
                     yield pa.RecordBatch.from_arrays([pa.array(shared.value.scores(held)), batch.column(1)], names=["score", "clean"])
 
-        return RuleModel(forest, calibrate_rows(other.select("stats", "clean").mapInArrow(score, "score double, clean boolean"), scratch))
+        return RuleModel(forest, calibrate_rows(other.select("stats", "clean").mapInArrow(lean(score), "score double, clean boolean"), scratch))
     finally:
         scratch.remove()
 
@@ -306,7 +306,7 @@ def rule_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(failed), pa.array(kept), pa.array(score)], names=["doc_id", *COUNTS, "base_failed", "kept", "anomaly"])
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, anomaly double"
-    return docs.select(F.col(id_col).cast("long"), whole_text(text_col)).mapInArrow(report, schema)
+    return docs.select(F.col(id_col).cast("long"), whole_text(text_col)).mapInArrow(lean(report), schema)
 
 
 def keep_rows(docs: DataFrame, verdict: Callable[[list[str]], np.ndarray], text_col: str = "text") -> DataFrame:
@@ -317,7 +317,7 @@ def keep_rows(docs: DataFrame, verdict: Callable[[list[str]], np.ndarray], text_
             texts = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)), "").to_pylist()
             yield batch.filter(pa.array(verdict(texts), pa.bool_()))
 
-    return docs.mapInArrow(filtered, docs.schema)
+    return docs.mapInArrow(lean(filtered), docs.schema)
 
 
 def filter_by_rules(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
