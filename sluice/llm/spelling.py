@@ -141,15 +141,17 @@ def near_words(vocab: DataFrame, scratch: Scratch) -> DataFrame:
     """(word, near, near_n): every two words of a vocabulary (word, n) that differ by one edit, in both directions."""
     numbered = scratch.keep(vocab.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "numbered")
     keyed = scratch.keep(numbered.mapInArrow(_keyed, "id long, word string, n long, key long"), "keyed")
-    edits = numbered.select("id", "word").mapInArrow(_neighbours, "id long, word string, key long")
+    # Spark sizes neighbourhoods like the words that they are made of, a hundred times too low, and would broadcast them.
+    edits = numbered.select("id", "word").mapInArrow(_neighbours, "id long, word string, key long").hint("merge")
     short = F.length("word") <= CARRIED + 1
     others = keyed.where(short).select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
     # The word of a neighbour is null where it is not carried, and then meets nothing here.
     carried = edits.where("word is not null").join(others, "key").where(_is_near("word", "near")).select("word", "near", "near_n")
     long = numbered.where(F.length("word") > CARRIED)
-    far = long.select("id", "word").mapInArrow(_neighbours, "id long, word string, key long").select("id", "key")
-    met = far.join(keyed.where(F.length("word") >= CARRIED).select("key", F.col("id").alias("near_id")), "key").select("id", "near_id").distinct()
-    named = met.join(long.select("id", "word"), "id").join(keyed.select(F.col("id").alias("near_id"), F.col("word").alias("near"), F.col("n").alias("near_n")), "near_id")
+    far = long.select("id", "word").mapInArrow(_neighbours, "id long, word string, key long").select("id", "key").hint("merge")
+    meeting = keyed.where(F.length("word") >= CARRIED)
+    met = far.join(meeting.select("key", F.col("id").alias("near_id")), "key").select("id", "near_id").distinct().hint("merge")
+    named = met.join(long.select("id", "word"), "id").hint("merge").join(meeting.select(F.col("id").alias("near_id"), F.col("word").alias("near"), F.col("n").alias("near_n")), "near_id")
     return carried.union(named.where(_is_near("word", "near")).select("word", "near", "near_n"))
 
 

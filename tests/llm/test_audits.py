@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from sluice.llm import divergence, mixing, spelling
+from sluice.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -97,6 +98,14 @@ def test_variants_of_words_too_long_to_be_carried(spark, monkeypatch):
     assert rows(spelling.group_variants(frame)) == grouped(words)
 
 
+def test_neighbourhoods_are_never_broadcast(spark):
+    """They are sized by the words that they are made of, so a small vocabulary would have them all pass through the driver."""
+    scratch = Scratch(spark, "spelling")
+    frame = spark.range(2_000).selectExpr("concat(repeat('abcdefgh', if(id % 100 = 0, 7, 1)), chr(97 + id % 26), chr(97 + id div 26 % 26), id) AS word", "id + 5 AS n")
+    assert "BroadcastExchange" not in spelling.near_words(frame, scratch)._jdf.queryExecution().executedPlan().toString()
+    scratch.remove()
+
+
 def test_neighbours_are_distinct_and_all_there():
     symbols = np.array([[1, 1, 2, 3, 3, 3], [8, 8, 8, 8, 8, 8]], np.uint64)
     made = collections.defaultdict(list)
